@@ -90,3 +90,63 @@ def crc32_text(value: object) -> int:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+#: Schema of partial vectors: which task, which block, the values.
+PARTIAL = "part int, block int, data binary"
+
+
+def emit_partial(values: np.ndarray, block: int) -> pa.RecordBatch:
+    """A task's sums as rows of blocks; blocks of zeros are left out."""
+    from pyspark import TaskContext
+
+    part, flat = TaskContext.get().partitionId(), values.reshape(-1)
+    rows = [(part, k // block, flat[k : k + block].tobytes()) for k in range(0, len(flat), block) if flat[k : k + block].any()]
+    columns = list(zip(*rows, strict=True)) or [[], [], []]
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary())], names=["part", "block", "data"])
+
+
+def add_up(partials: DataFrame, dtype: str, size: int, block: int) -> np.ndarray:
+    """The sum of all partial vectors of ``size`` values, on the driver: ``size`` is a constant of the caller, whatever the input.
+
+    Two rounds, so that no task gets the blocks of more than a 256th of all tasks at once.
+    """
+
+    def fold(table: pa.Table) -> pa.Table:
+        total = None
+        for data in table.column("data").to_pylist():
+            own = np.frombuffer(data, dtype)
+            total = own.copy() if total is None else total + own
+        return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "block": pa.array([table.column("block")[0].as_py()], pa.int32()), "data": pa.array([total.tobytes()], pa.binary())})
+
+    once = partials.withColumn("part", F.expr("cast(part % 256 as int)")).groupBy("part", "block").applyInArrow(fold, PARTIAL)
+    twice = once.groupBy("block").applyInArrow(fold, PARTIAL)
+    out = np.zeros(size, dtype)
+    for row in twice.select("block", "data").toLocalIterator():
+        own = np.frombuffer(row[1], dtype)
+        out[row[0] * block : row[0] * block + len(own)] = own
+    return out
+
+
+def fraction_of(rows: int, bound: int) -> float:
+    """Share of ``rows`` that gives about 0.95 of ``bound`` rows, 1 where all fit."""
+    return 1.0 if rows <= bound else 0.95 * bound / rows
+
+
+def hashed_share(share: float, *columns: str) -> F.Column:
+    """True for a share of the rows, chosen by a hash of ``columns``."""
+    return F.lit(True) if share >= 1 else F.expr(f"pmod(xxhash64({', '.join(columns)}, 'sample'), 1000000)") < int(share * 1_000_000)
+
+
+def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
+    """The temperature under which the softmax of ``logits`` gives ``labels`` the least log loss."""
+    if not len(labels):
+        return 1.0
+
+    def loss(t: float) -> float:
+        z = logits / t
+        z = z - z.max(axis=1, keepdims=True)
+        return float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(labels)), labels]).mean())
+
+    grid = np.exp(np.linspace(np.log(0.05), np.log(20), 121))
+    return float(min(grid, key=loss))
