@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import chat, decontamination, language, line_dedup, near_dup, packing, quality, rules, token_files
+from marlstone.llm import chat, class_lm, decontamination, language, line_dedup, near_dup, packing, quality, rules, token_files
 from marlstone.llm.common import read
 
 
@@ -47,11 +47,15 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(token_files.write_segments(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end=2))
 
 
+def op9_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.score(read(spark, sf_dir, "documents"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
     return chat.conversation_digests(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_packing, op3_quality, op4_line_dedup, op5_language, op6_near_dup, op7_rules, op8_token_files, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_packing, op3_quality, op4_line_dedup, op5_language, op6_near_dup, op7_rules, op8_token_files, op9_class_lm, op10_chat)}
 ORACLE_SQL: dict[str, str] = {"op7_rules": rules.ORACLE}
