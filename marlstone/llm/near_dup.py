@@ -11,13 +11,14 @@ the probability of their weighted Jaccard similarity) are grouped into bands.
 Texts that share a band are candidates:
 
 1. in each band bucket every text is verified against the smallest one;
-2. verified links make classes; in buckets that still hold several classes,
-   every pair across classes is verified, the smaller side against all, after a
-   comparison of the whole signatures.
+2. verified links make classes; a bucket that still holds several classes is
+   dealt in blocks, and every two blocks meet in a task that verifies pairs
+   across classes (after a comparison of the whole signatures) and merges
+   classes as it goes, so that it returns no more links than it has texts.
 
-So a bucket never expands into all its pairs, no candidate across classes is
-left out, and a bucket of many copies costs one comparison for each.
-Verification is by exact weighted Jaccard similarity of the whole texts.
+So pairs are never rows, no candidate across classes is left out, and a bucket
+of many copies costs one comparison for each.  Verification is by exact
+weighted Jaccard similarity of the whole texts.
 
 Defined results: equal texts are one class; null texts and texts without words
 are a class each; ties between representatives go to the smallest document id
@@ -45,6 +46,8 @@ TABLE, DF_BITS = 4096, 18
 STRENGTH = 0.25
 #: Equal samples below which two signatures can't belong to similar texts: expected 51 of 64 at 0.8, five deviations less.
 AGREE = 36
+#: Texts of a block; two blocks meet in one task.
+BLOCK = 512
 #: Keys that may be broadcast (16 bytes each); beyond, the join shuffles.
 BROADCAST_KEYS = 2_000_000
 CACHE = 400_000
@@ -213,6 +216,60 @@ def verified(pairs: DataFrame, docs: DataFrame, idf: object, threshold: float, l
     return common.materialise(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary"), f"{label}-links")
 
 
+def links_across(members: DataFrame, texts: DataFrame, docs: DataFrame, idf: object, threshold: float) -> DataFrame:
+    """Links between the classes that meet in a bucket, enough to merge them; stored.
+
+    ``members`` (``band``, ``bucket``, ``key``, ``label``, ``n``) of mixed buckets.  A pair counts in the first band it shares.
+    """
+    wanted = common.materialise(members.select("key").distinct(), "across-keys")
+    own = docs.select(F.unhex(F.md5(F.col("text").cast("string"))).alias("key"), F.col("text").cast("string").alias("text"))
+    own = own.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted, "key", "left_semi")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(t) for t in common.text_bytes(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([h.tobytes() for h, _ in found], pa.binary()), pa.array([c.astype(np.uint32).tobytes() for _, c in found], pa.binary())], names=["key", "h", "times"])
+
+    opened = own.mapInArrow(sets, "key binary, h binary, times binary").groupBy("key").agg(F.any_value("h").alias("h"), F.any_value("times").alias("times"))
+    opened = common.materialise(opened.join(texts, "key"), "across-sets")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = members.withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("band", "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "label").join(opened, "key")
+
+    def link(table: pa.Table) -> pa.Table:
+        keys, block = table.column("key").to_pylist(), table.column("block").to_numpy()
+        order = np.array(sorted(range(len(keys)), key=keys.__getitem__))
+        group = np.unique(np.array([x.hex() for x in table.column("label").to_pylist()]), return_inverse=True)[1]
+        signs = np.array(table.column("signature").to_pylist(), np.int32)
+        bands = np.array(table.column("bands").to_pylist(), np.int64)
+        band, two = table.column("band")[0].as_py(), table.column("i")[0].as_py() != table.column("j")[0].as_py()
+        held: dict[int, tuple] = {}
+
+        def full(k: int) -> tuple[np.ndarray, np.ndarray]:
+            if k not in held:
+                h = np.frombuffer(table.column("h")[k].as_py(), np.uint64)
+                held[k] = h, weights(h, np.frombuffer(table.column("times")[k].as_py(), np.uint32).astype(np.int64), idf.value)
+            return held[k]
+
+        out = []
+        for at, k in enumerate(order.tolist()):
+            rest = order[at + 1 :]
+            rest = rest[group[rest] != group[k]]
+            if two:
+                rest = rest[block[rest] != block[k]]
+            rest = rest[(signs[rest] == signs[k]).sum(axis=1) >= AGREE]
+            rest = rest[(bands[rest] == bands[k]).argmax(axis=1) == band] if len(rest) else rest
+            for m in rest.tolist():
+                if group[m] != group[k] and similarity(full(k), full(m)) >= threshold:
+                    out.append((keys[k], keys[m]))
+                    group[group == group[m]] = group[k]
+        a, b = zip(*out, strict=True) if out else ([], [])
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return common.materialise(rows.groupBy("band", "bucket", "i", "j").applyInArrow(link, "a binary, b binary"), "across-links")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(``key``, ``label``) of every key in ``links`` (``a``, ``b``): the smallest key it is connected with.
 
@@ -247,28 +304,17 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # what is left: buckets with members of several classes
     members = buckets.join(stars.select("band", "bucket"), ["band", "bucket"]).join(labels, "key", "left").select("band", "bucket", "key", F.coalesce("label", "key").alias("label"))
     members = common.materialise(members, "members")
-    sizes = members.groupBy("band", "bucket", "label").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("band", "bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("kinds")).filter("kinds > 1").drop("kinds")
+    mixed = members.groupBy("band", "bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).filter("low <> high").select("band", "bucket", "n")
     mixed = common.materialise(mixed, "mixed")
     if not mixed.isEmpty():
-        signed = members.join(mixed, ["band", "bucket"]).join(texts.select("key", "signature"), "key")
-        signed = common.materialise(signed, "signed")
-        x = signed.filter("label != main").select("band", "bucket", F.col("key").alias("ka"), F.col("label").alias("la"), F.col("signature").alias("sa"))
-        y = signed.select(F.col("band").alias("band_b"), F.col("bucket").alias("bucket_b"), F.col("key").alias("kb"), F.col("label").alias("lb"), F.col("signature").alias("sb"))
-        agree = F.expr(f"size(filter(zip_with(sa, sb, (p, q) -> p = q), e -> e)) >= {AGREE}")
-        across = x.join(y, (F.col("band") == F.col("band_b")) & (F.col("bucket") == F.col("bucket_b")) & (F.col("la") != F.col("lb")) & agree)
-        more = across.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-        more = common.materialise(more, "more")
-        if not more.isEmpty():
-            found = verified(more, docs, idf, threshold, "across")
-            labels = components(links.union(found))
+        labels = components(links.union(links_across(members.join(mixed, ["band", "bucket"]), texts, docs, idf, threshold)))
     return rows.select("rid", "doc_id", "key").join(labels, "key", "left").select("rid", "doc_id", F.coalesce("label", "key").alias("class"))
 
 
 def firsts(rows: DataFrame) -> DataFrame:
     """Of every class its first row and its size."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
-    return rows.filter("class is not null").groupBy("class").agg(F.min(order).alias("first"), F.count("*").alias("n"))
+    return common.materialise(rows.filter("class is not null").groupBy("class").agg(F.min(order).alias("first"), F.count("*").alias("n")), "firsts")
 
 
 def report(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
