@@ -1,0 +1,391 @@
+"""The training-data operators against brute force, on small tables with nulls, empty and long texts, ties, repeats and extra columns."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+pytest.importorskip("marlstone.llm")
+
+from pyspark.sql import functions as F
+
+from marlstone.llm import chat, class_lm, common, decontamination, language, line_dedup, near_dup, packing, quality, queries, rules, token_files
+from marlstone.llm.tokens import Encoder
+
+DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint, rid string, label string"
+LONG = " ".join(f"word{k % 977} other{k % 31}." for k in range(30_000))
+PASSAGE = "The river ran past the mill. Nobody had seen the miller since spring came. His boat lay under the old willow tree. Children said that it sang at night."
+ROWS = [
+    (1, "One two three four five six seven eight nine ten eleven twelve.", "en", "a", 10, "x", None),
+    (2, "One two three four five six seven eight nine ten eleven twelve.", "en", "a", 10, "x", None),
+    (2, "One two three four five six seven eight nine ten eleven twelve.", "en", "a", 10, "x", None),
+    (3, None, None, None, None, None, None),
+    (4, "", "de", "a", 0, "y", "l"),
+    (None, "no id at all, but some words are here", "de", None, 5, "z", None),
+    (5, " \n\t ", "fr", "b", 4, None, None),
+    (6, LONG, "en", "b", len(LONG), None, None),
+    (7, "start of seven is its own. " + PASSAGE + " The end of seven differs.", "en", "b", 1, None, None),
+    (8, "Eight begins in another way. " + PASSAGE + " And it ends unlike the others.", "en", "c", 1, None, None),
+    (9, "é ñ ü 123 $$$ |||   İ ﬁ ​", "es", "c", 1, None, None),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(ROWS, DOC)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOC)
+
+
+@pytest.fixture(scope="module")
+def real(spark, sf):
+    return common.read(spark, sf, "documents")
+
+
+def key(v):
+    return tuple((x is not None, str(x)) for x in v)
+
+
+def words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def brute_hits(rows, items, window=10):
+    out = []
+    grams = {}
+    for item, text in items:
+        w = words(text)
+        for k in range(max(1, len(w) - window + 1) if w else 0):
+            grams.setdefault(tuple(w[k : k + window]), set()).add(item)
+    sizes = {len(g) for g in grams}
+    for doc, text in rows:
+        w, hit, found = words(text), set(), set()
+        for n in sizes:
+            for k in range(len(w) - n + 1):
+                if (g := tuple(w[k : k + n])) in grams:
+                    hit |= set(range(k, k + n))
+                    found |= grams[g]
+        ids = sorted(str(x) for x in found if x is not None)
+        out.append((doc, len(w), len(hit), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), bool(hit)))
+    return sorted(out, key=key)
+
+
+def test_decontamination_is_brute_force(spark, docs, none):
+    items = [(1, "two three FOUR five six seven eight nine ten eleven"), (12, "one two three"), (3, None), (4, "!!"), (None, "the old willow tree"), (5, "words are here"), (6, "word5 other5")]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    for vocabulary_block in (4_000_000, 20):  # one block, and many
+        got = decontamination.decontaminate(docs, benchmark, block_bytes=vocabulary_block)
+        assert sorted(map(tuple, got.collect()), key=key) == brute_hits([(r[0], r[1]) for r in ROWS], items)
+    assert decontamination.decontaminate(none, benchmark).count() == 0
+    assert decontamination.decontaminate(docs, benchmark.limit(0)).filter("contaminated").count() == 0
+    kept = decontamination.drop_contaminated(docs, benchmark)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {3, 4, 5, 9}
+
+
+def test_decontamination_on_real_rows(spark, real, sf):
+    benchmark = common.read(spark, sf, "benchmark")
+    got = sorted(map(tuple, queries.op1_decontamination(spark, sf).collect()), key=key)
+    assert got == brute_hits([(r.doc_id, r.text) for r in real.collect()], [(r.item_id, r.text) for r in benchmark.collect()])
+
+
+def test_proximity_finds_what_exact_search_misses(spark):
+    rows = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "alpha x beta gamma delta"), (3, "delta gamma beta alpha q q q q q q")], "doc_id bigint, text string")
+    blocks, _ = decontamination.query_blocks(rows, spark.createDataFrame([(7, "alpha beta gamma delta")], "item_id bigint, text string"), 10)
+    index = decontamination.build_index(rows)
+    found = {(r.id, r.start, r.exact) for r in decontamination.proximity(index, blocks, 1).collect()}
+    assert (1, 0, True) in found and any(d == 2 and not e for d, _, e in found) and not any(d == 3 for d, *_ in found)
+
+
+def test_encoder_gives_the_librarys_ids(real):
+    odd = ["", None, "  a  b\n\n c\t\td  \n", "it's 'S ''s l'd'lla don't", "A\r\n B İ ΣΑΣ é ﬁ x", "<|endoftext|> x", "a\x1cb\x85c", "ß ÿ Ý × ÷ ª º µ", " \n \n lead Éa!!", "123 45a6 __x__ --''--", " , .x a.'s b.,' c'.", LONG]
+    texts = odd + [r.text for r in real.limit(60).collect()]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        encoder = Encoder(queries.vocabulary(name))
+        assert encoder.encode(texts) == encoder.plain([t or "" for t in texts])
+        assert encoder.encode(texts) == encoder.plain([t or "" for t in texts])  # from the cache
+
+
+def test_packing(spark, docs, none):
+    path = queries.vocabulary("word_bpe_49k.json")
+    encoder = Encoder(path)
+    for group in (60_000, 3):
+        got = packing.pack_documents(docs, path, capacity=16, group=group).collect()
+        want = []
+        for doc, text, *_ in ROWS:
+            ids = encoder.plain([text or ""])[0] + b"\0\0\0\0"
+            want += [(doc, k // 64, k // 4, len(ids[k : k + 64]) // 4, zlib.crc32(ids[k : k + 64])) for k in range(0, len(ids), 64)]
+        assert sorted([(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got], key=key) == sorted(want, key=key)
+        places = {}
+        for r in got:
+            places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        for own in places.values():
+            at = 0
+            for offset, length in sorted(own):
+                assert offset == at
+                at += length
+            assert at <= 16
+        assert len(places) <= 1.05 * math.ceil(sum(w[3] for w in want) / 16) + 2
+    assert packing.pack_documents(none, path).count() == 0
+
+
+def test_sum_of_squares_takes_the_smallest_sum():
+    rng = np.random.default_rng(0)
+    lengths = rng.integers(1, 30, 200)
+    where, offsets, gaps = packing.sum_of_squares(lengths, 30)
+    open_gaps: list[int] = []
+    squares = lambda g: sum(n * n for x, n in Counter(g).items() if x)
+    for k, s in enumerate(lengths.tolist()):
+        costs = {b: squares([*open_gaps[:b], open_gaps[b] - s, *open_gaps[b + 1 :]]) for b, g in enumerate(open_gaps) if g >= s}
+        fresh = squares([*open_gaps, 30 - s])
+        took = int(where[k])
+        assert (costs[took] if took < len(open_gaps) else fresh) == min([*costs.values(), fresh])
+        open_gaps[took : took + 1] = [(open_gaps[took] if took < len(open_gaps) else 30) - s]
+    assert gaps.tolist() == open_gaps
+
+
+def test_line_dedup(docs, none):
+    got = {(r.doc_id, r.text): r for r in line_dedup.report(docs).collect()}
+    texts = {d: t for d, t in got}
+    assert "The river ran past the mill." in texts[7]
+    assert "old willow" not in texts[8] and texts[8].startswith("Eight begins") and texts[8].endswith("unlike the others.")
+    assert sorted((r.doc_id, r.text) for r in line_dedup.report(docs).collect() if r.doc_id in (1, 2)) == [(1, ROWS[0][1]), (2, ""), (2, "")]
+    assert texts[3] is None and texts[4] == "" and texts[5] == " \n\t "
+    kept = line_dedup.remove_repeats(docs)
+    assert kept.columns == docs.columns and kept.filter("doc_id = 2").count() == 0 and kept.filter("doc_id in (3, 4, 5)").count() == 3
+    assert line_dedup.remove_repeats(none).count() == 0
+
+
+def brute_lines(rows):
+    """Windows one after the other, in order of document id and row."""
+    seen, out = {}, []
+    for n, (doc, text) in sorted(enumerate(rows), key=lambda x: (x[1][0] is None, x[1][0] or 0, x[0])):
+        pieces = line_dedup.pieces(text or "")
+        own = [p.lower().split() for p in pieces if p.split()]
+        size, gone = min(3, len(own)), set()
+        for k in range(len(own) - size + 1 if own else 0):
+            window = tuple(" ".join(w) for w in own[k : k + size])
+            if sum(map(len, own[k : k + size])) < line_dedup.MIN_WORDS:
+                continue
+            if (first := seen.setdefault(window, (n, k))) != (n, k):
+                begin = max(k, first[1] + size) if first[0] == n else k
+                gone |= set(range(begin, k + size))
+        out.append((doc, len(gone)))
+    return sorted(out, key=key)
+
+
+def test_line_dedup_is_brute_force(real):
+    rows = [(r.doc_id, r.text) for r in real.collect()]
+    assert sorted([(r.doc_id, r.n_removed) for r in line_dedup.report(real).collect()], key=key) == brute_lines(rows)
+
+
+def brute_classes(rows, idf, threshold=0.8):
+    sets = []
+    for doc, text in rows:
+        h, c = near_dup.shingles((text or "").encode())
+        sets.append((doc, h, near_dup.weights(h, c, idf)))
+    parent = list(range(len(rows)))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if len(sets[a][1]) and len(sets[b][1]) and near_dup.similarity(sets[a][1:], sets[b][1:]) >= threshold:
+                parent[root(a)] = root(b)
+    groups = {}
+    for k in range(len(rows)):
+        groups.setdefault(root(k), []).append(rows[k][0])
+    return sorted((d, min(g)) for g in groups.values() for d in g)
+
+
+def test_near_duplicates_are_brute_force(spark, real):
+    base = real.select("doc_id", "text").collect()
+    rng = np.random.default_rng(3)
+    rows = [(r.doc_id, r.text) for r in base]
+    chain = base[5].text.split()[:120]
+    for k in range(60):  # a cloud of copies around one text, linked at the edge of the threshold
+        own = list(chain)
+        for at in rng.integers(0, len(own), 4):
+            own[at] = f"edit{k}x{at}"
+        rows.append((10_000 + k, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    idf = near_dup.inverse_frequencies(docs)
+    got = sorted((r.doc_id, r.class_id) for r in near_dup.report(docs).collect())
+    want = brute_classes(rows, idf)
+    assert sum(a != b for a, b in zip(got, want, strict=True)) <= 1  # a link at the very threshold can be missed by all bands
+
+
+def test_near_duplicates_edge_rows(docs, none):
+    got = sorted([(r.doc_id, r.class_id, r.class_size, r.kept) for r in near_dup.report(docs).collect()], key=key)
+    assert [g for g in got if g[0] in (1, 2)] == [(1, 1, 3, True), (2, 1, 3, False), (2, 1, 3, False)]
+    assert all(s == 1 and k for d, _, s, k in got if d in (3, 4, 5))
+    kept = near_dup.drop_copies(docs)
+    assert kept.columns == docs.columns and kept.count() == len(ROWS) - 2
+    assert near_dup.report(none).count() == 0 and near_dup.drop_copies(none).count() == 0
+
+
+def test_samples_agree_as_often_as_texts_are_similar():
+    rng = np.random.default_rng(1)
+    h = np.unique(rng.integers(0, 2**63, 400).astype(np.uint64))
+    w = rng.uniform(0.5, 3, len(h))
+    a, b = slice(0, 360), slice(40, len(h))
+    s = near_dup.Sampler()
+    x, y = (s.signatures(h[p], w[p], np.array([0]))[:, 0] for p in (a, b))
+    assert abs((x == y).mean() - near_dup.similarity((h[a], w[a]), (h[b], w[b]))) < 0.2
+
+
+def test_rules_match_sql(spark, docs, none, sf):
+    import duckdb
+
+    got = rules.verdicts(docs).collect()
+    assert len(got) == len(ROWS) and rules.verdicts(none).count() == 0
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_line_words_removed"]
+    want = sorted(con.sql(f"select {', '.join(columns)} from ({rules.ORACLE})").fetchall())
+    assert sorted(map(tuple, queries.op7_rules(spark, sf).select(columns).collect())) == want
+    often = spark.createDataFrame([(k, f"shared line\nown text {k} and more words", "h") for k in range(30)], "doc_id bigint, text string, source string")
+    cut = rules.without_frequent_lines(often)
+    assert cut.columns == often.columns and cut.filter("text like '%shared%'").count() == 0 and cut.filter("text like 'own text%'").count() == 30
+
+
+def test_token_files_round_trip(docs, none):
+    path = queries.vocabulary("byte_bpe_50k.json")
+    encoder = Encoder(path)
+    segments = token_files.write_segments(docs, path, end=2, segment=50_000, partitions=3)
+    got = sorted(token_files.read_documents(segments, with_ids=True).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted([r[0] for r in ROWS], key=lambda d: (d is not None, d or 0))
+    assert Counter((r.doc_id, bytes(r.ids)) for r in got) == Counter((d, encoder.plain([t or ""])[0] + b"\2\0\0\0") for d, t, *_ in ROWS)
+    at = 0
+    for r in got:
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(r.ids) // 4, zlib.crc32(bytes(r.ids)))
+        at += r.n_tokens
+    every = np.frombuffer(b"".join(bytes(r.ids) for r in got), "<u4")
+    for k in (0, 1, len(every) // 2, len(every) - 1):
+        assert token_files.read_token(segments, k) == every[k]
+    assert token_files.read_documents(token_files.write_segments(none, path, end=2)).count() == 0
+
+
+def test_addressable_codes_read_any_place():
+    ids = np.random.default_rng(0).choice([0, 1, 255, 256, 65_535, 65_536, 2**32 - 1], 3000).astype(np.uint32)
+    image = token_files.Image(token_files.encode_image(ids, [None, 4], np.array([1000, 2000])))
+    assert image.ids().tolist() == ids.tolist() and [image[k] for k in range(3000)] == ids.tolist() and image.docs == [None, 4]
+
+
+def test_class_lm_base_scores(spark, sf, real, none):
+    rows = [(r.doc_id, r.text) for r in real.collect()] + [(d, t) for d, t, *_ in ROWS[:6]]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    held = lambda d: common.crc32_text(d) % 7 == 2
+    count, ends = Counter(), 0
+    for d, t in rows:
+        if not held(d):
+            count.update((t or "").encode().lower().split())
+            ends += 1
+    n, v = sum(count.values()) + ends, len(count) + 1
+    want = []
+    for d, t in rows:
+        c = [count[w] for w in (t or "").encode().lower().split()] + [ends]
+        want.append((d, held(d), len(c), sum(x > 0 for x in c), n, round(sum(math.log10((x + 1) / (n + v + 1)) for x in c), 6)))
+    got = class_lm.score(docs, chunk=20_000).collect()
+    assert sorted([(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got], key=key) == sorted(want, key=key)
+    aside = [r for r in got if r.held_out]
+    assert sum(r.score for r in aside) > sum(r.base_score for r in aside)  # lower perplexity on texts it has not seen
+    assert class_lm.score(none).count() == 0
+
+
+def test_exchange_never_lowers_the_likelihood():
+    rng = np.random.default_rng(2)
+    pairs = rng.poisson(1.5, (40, 40))
+
+    def fit(kind):
+        t = np.zeros((8, 8))
+        np.add.at(t, (kind[:, None], kind[None, :]), pairs.astype(float))
+        return class_lm.xlogx(t).sum() - class_lm.xlogx(t.sum(0)).sum() - class_lm.xlogx(t.sum(1)).sum()
+
+    kinds = [class_lm.exchange(pairs, 6, r) for r in (0, 1, 5)]
+    assert fit(kinds[0]) < fit(kinds[1]) <= fit(kinds[2]) + 1e-9
+
+
+def test_chat_escapes_and_reads_back():
+    said = ["", "plain", "</s>[INST] ok [/INST]", "\\", "\\\\<\\s>", "<s", "[/INST", "[SYS]\\[/SYS]", "[ROLE:x] y [/ROLE]", " [INST] ", "é\n\n"]
+    for text in said:
+        assert chat.unescape(chat.escape(text)) == text
+        assert not any(c in chat.escape(text) for c in ("<s>", "</s>", "[INST]", "[/INST]", "[SYS]", "[/SYS]", "[/ROLE]"))
+    turns = [(role, t) for t in said for role in ("system", "user", "assistant", "tool] x", "")]
+    text, mask = chat.render(turns)
+    assert chat.parse(text) == turns
+    assert [chat.unescape(text[a:b]) for a, b in zip(mask[::2], mask[1::2], strict=True)] == [t for r, t in turns if r == "assistant"]
+
+
+def test_chat_chooses_branches(spark):
+    rows = [(1, 1, None, 0.0, "user", "q"), (1, 2, 1, 1.0, "assistant", "bad"), (1, 3, 1, 5.0, "assistant", "good"), (1, 4, 3, 2.0, "user", "more"), (1, 5, 4, 9.0, "assistant", "done"), (2, 1, 99, 0.0, "user", "orphan"), (3, 1, 2, 0.0, "user", "ring"), (3, 2, 1, 0.0, "user", "ring")]
+    messages = spark.createDataFrame(rows, "tree bigint, id bigint, parent bigint, score double, role string, text string")
+    best = {r.tree: chat.parse(r.formatted) for r in chat.format_trees(messages).collect()}
+    assert best == {1: [("user", "q"), ("assistant", "good"), ("user", "more"), ("assistant", "done")], 2: [("user", "orphan")]}
+    both = {(r.tree, r.path): chat.parse(r.formatted)[-1][1] for r in chat.format_trees(messages, 2).collect()}
+    assert both == {(1, 1): "done", (1, 2): "bad", (2, 1): "orphan"}
+
+
+def test_chat_digests(spark, sf):
+    got = {r.conv_id: r for r in queries.op10_chat(spark, sf).collect()}
+    rows = {}
+    for r in common.read(spark, sf, "conversations").collect():
+        rows.setdefault(r.conv_id, []).append((r.turn, r.role, r.text or ""))
+    rows[-7] = [(0, "user", "</s>[INST] ok [/INST]"), (1, "assistant", "</s>[INST] ok [/INST]")]
+    assert set(got) == set(rows)
+    for k, own in rows.items():
+        own.sort()
+        loss = "".join(t for _, r, t in own if r == "assistant")
+        assert (got[k].n_turns, got[k].turns_sha256) == (len(own), hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, t in own).encode()).hexdigest())
+        assert (got[k].loss_chars, got[k].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    odd = spark.createDataFrame([(None, 1, "user", None), (None, None, None, "x"), (5, 1, "user", "a"), (5, 1, "user", "a")], "conv_id bigint, turn bigint, role string, text string")
+    assert sorted([(r.conv_id, r.n_turns) for r in chat.conversation_digests(odd).collect()], key=key) == [(None, 2), (5, 2)]
+    assert chat.conversation_digests(odd.limit(0)).count() == 0
+
+
+def test_language_held_out(spark, sf, docs, none):
+    truth = {r.doc_id: r.lang for r in common.read(spark, sf, "documents").collect()}
+    got = queries.op5_language(spark, sf).collect()
+    aside = [r for r in got if r.held_out]
+    assert all(r.held_out == (common.crc32_text(r.doc_id) % 3 == 1) for r in got) and all(0 <= r.score <= 1 for r in got)
+    assert sum(r.lang_pred == truth[r.doc_id] for r in aside) >= 0.97 * len(aside)
+    odd = language.identify(docs).collect()
+    assert len(odd) == len(ROWS) and all(r.lang_pred == "und" and r.score == 0 for r in odd if r.doc_id in (3, 4, 5))
+    assert language.identify(none).count() == 0 and language.drop_unidentified(docs).columns == docs.columns
+
+
+def test_quality_held_out(spark, sf, docs, none):
+    truth = {r.doc_id: r.quality for r in common.read(spark, sf, "labels").collect()}
+    got = queries.op3_quality(spark, sf).collect()
+    aside = [r for r in got if r.held_out and r.doc_id in truth]
+    assert sum(r.predicted == truth[r.doc_id] for r in aside) >= 0.85 * len(aside)
+    labels = spark.createDataFrame([(1, 1), (4, 0), (None, 1), (6, None)], "doc_id bigint, quality int")
+    odd = quality.score(docs, labels).collect()
+    assert len(odd) == len(ROWS) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in odd)
+    assert quality.score(none, labels.limit(0)).count() == 0
+
+
+def test_pipeline_keeps_columns_and_drops_what_it_should(spark, sf):
+    import corpus_pipeline
+
+    docs = common.read(spark, sf, "documents")
+    columns, rows = docs.columns, docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.materialise(stage(spark, docs, sf), name)
+        assert docs.columns == columns
+        assert 0.7 * rows < docs.count() <= rows
+        rows = docs.count()
+    items = [(r.item_id, r.text) for r in common.read(spark, sf, "benchmark").collect()]
+    assert not any(h[-1] for h in brute_hits([(r.doc_id, r.text) for r in docs.collect()], items))
+    whole = corpus_pipeline.run(spark, sf)
+    assert {r.doc_id for r in whole.collect()} == {r.doc_id for r in docs.collect()}
+    assert whole.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 2048").count() == 0
