@@ -6,7 +6,8 @@ from marlstone.functions import text as T
 
 
 def one(spark, expr, **values):
-    rows = spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} {'array<string>' if isinstance(v, list) else 'string'}" for k, v in values.items()) or "x int")
+    values = values or {"x": "1"}
+    rows = spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} {'array<string>' if isinstance(v, list) else 'string'}" for k, v in values.items()))
     return rows.select(expr.alias("v")).first().v
 
 
