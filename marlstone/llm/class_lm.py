@@ -37,7 +37,7 @@ SYMBOLS = TOP + BANDS + 2
 #: Weight of the class prior in a transition, and share of the words seen once that stands for unseen words.
 PRIOR, UNSEEN_SHARE = 20.0, 0.5
 #: Tokens of a chunk.
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 BLOCK = 16_384
 
 CHUNKS = "chunk bigint, docs array<bigint>, held array<boolean>, lengths binary, ids binary, words array<binary>, counts array<bigint>"
