@@ -143,3 +143,18 @@ STATEMENTS = [
     "SELECT EXTRACT(YEAR FROM DATE '2025-01-01') AS y FROM companies WHERE name = 'from x'",
     "SELECT name FROM companies WHERE ticker IN (SELECT ticker FROM accounts)",
 ]
+
+
+def values(name: str, columns: str, rows: list[tuple]) -> str:
+    """Rows as a named SQL table: ``name(columns) as (values ...)``."""
+    return f"{name}({columns}) as (values " + ", ".join("(" + ", ".join(str(x) if isinstance(x, (int, bool)) and x is not None else _literal(x) for x in row) + ")" for row in rows) + ")"
+
+
+ITEMS = [(1, "Part I", "Item 1", "Business"), (2, "Part I", "Item 1A", "Risk Factors"), (3, "Part II", "Item 7A", None), (4, None, "Signatures", "End"), (5, "Part I", "Item 2", "")]
+SOURCES = [(1, "ABC_FY2025_10-K.pdf"), (2, "source.pdf"), (3, "xyz_fy2024_report.pdf")]
+LOOKUP = [("f", "g1", ["t1", "t2"], 0), ("f", "t1", None, 1), ("h", "t1", [], 2)]
+WORDS = [("f", 1, 50.0, 100.2, "income"), ("f", 1, 10.0, 100.0, "Net"), ("f", 1, 10.0, 120.0, "Total"), ("f", 2, 10.0, 30.0, "Cash")]
+JOBS = [(1, 1, "done"), (1, 2, "running"), (2, 1, "done"), (2, 2, "done"), (2, 3, "done"), (3, 1, "queued")]
+PARSES = [("f", "t1", 3, "success"), ("f", "t2", 1, None), ("f", "t3", 2, "error"), ("g", "t1", 1, "success")]
+SECTIONS = [("f", "Part II", 3, "Item 7"), ("f", "Part I", 1, "Item 1"), ("f", None, 4, "Other"), ("f", "Part I", 2, "Item 2")]
+CAPTIONS = [(1, "Sales rose $1,200.5 million or 12% in 2024"), (2, "Revenue FY2025"), (3, "The table shows revenue"), (4, "financial table"), (5, "revenue by region and product line")]

@@ -14,11 +14,16 @@ from pyspark.sql import functions as F
 WINDOW = 220
 SCHEMA = "array<struct<cue_type: string, target_type: string, target_label: string, raw_span: string, char_start: int, char_end: int, part: string, item: string, title: string>>"
 
-# Cue phrases; verbs are followed by "in" or "under".
-_VERBS_IN = ["discussed", "described", "noted", "detailed", "outlined", "explained"]
-_PLAIN = {
+# Cue phrases by name.
+CUES = {
     "refer_to": r"refer(?:s|red|ring)?\s+to",
     "see": r"see(?:\s+also)?",
+    "discussed_in": r"(?:as\s+)?discussed\s+in",
+    "described_in": r"(?:as\s+)?described\s+in",
+    "noted_in": r"(?:as\s+)?noted\s+in",
+    "detailed_in": r"(?:as\s+)?detailed\s+in",
+    "outlined_in": r"(?:as\s+)?outlined\s+in",
+    "explained_in": r"(?:as\s+)?explained\s+in",
     "presented_in": r"presented\s+in",
     "set_forth_in": r"set\s+forth\s+in",
     "included_in": r"included\s+in",
@@ -30,8 +35,9 @@ _PLAIN = {
     "under_the_heading": r"under\s+the\s+heading",
     "in_accordance_with": r"in\s+accordance\s+with",
     "for_more_information": r"for\s+more\s+information\s+(?:on|about|regarding)",
+    "described_under": r"(?:as\s+)?described\s+under",
+    "discussed_under": r"(?:as\s+)?discussed\s+under",
 }
-CUES = _PLAIN | {f"{v}_in": rf"(?:as\s+)?{v}\s+in" for v in _VERBS_IN} | {f"{v}_under": rf"(?:as\s+)?{v}\s+under" for v in ("described", "discussed")}
 _CUE = re.compile("|".join(rf"(?P<{name}>\b{pattern}\b)" for name, pattern in CUES.items()), re.I)
 
 # Target patterns, the more specific first.

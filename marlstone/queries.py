@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlstone import fixtures
-from marlstone.functions import chunker, crossrefs, scope, vectors
+from marlstone import fixtures, schemas
+from marlstone.functions import bodies, captions, chunker, crossrefs, scope, vectors
 from marlstone.functions import text as T
+from marlstone.operators import assets
 from marlstone.operators import chunks as C
 from marlstone.operators import facts as FA
 from marlstone.operators import layout as L
@@ -522,4 +523,122 @@ def scoped_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter(F.col("ticker").isin("en", "de") & F.col("fiscal_year").isin("src1", "src2")).select(F.col("ticker").alias("lang"), F.col("fiscal_year").alias("source"), "text")
 
 
+# --- identity, captions, assets ----------------------------------------------
+
+
+def literal(spark: SparkSession, rows: list, schema: str) -> DataFrame:
+    return ship(spark).createDataFrame(rows, schema)
+
+
+@query(fixtures.values("with i", "id, part, item, title", fixtures.ITEMS) + r""", n as (select *, nullif(regexp_extract(item, '(?i)^item\s+(\d+)([A-Z]?)$', 1), '') as num, nullif(upper(regexp_extract(item, '(?i)^item\s+(\d+)([A-Z]?)$', 2)), '') as letter, nullif(trim(coalesce(title, '')), '') as name from i)
+select id, array_to_string(list_filter([part, case when num is not null then 'Item ' || num else item end, case when letter is not null then 'Item ' || num || letter end, case when letter is null and num is not null then coalesce(name, item) else name end], lambda x: x is not null and x <> ''), ' > ') as header,
+case when num::int <= 4 then 'Part I' when num::int <= 9 then 'Part II' when num::int <= 14 then 'Part III' when num::int <= 16 then 'Part IV' end as part_of_item from n""")
+def item_header_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = literal(spark, fixtures.ITEMS, "id int, part string, item string, title string")
+    return rows.select("id", F.array_join(scope.header_path(F.col("part"), F.col("item"), F.col("title")), " > ").alias("header"), scope.part_of_item(F.col("item")).alias("part_of_item"))
+
+
+@query(fixtures.values("with s", "id, name", fixtures.SOURCES) + """select id, nullif(upper(regexp_extract(name, '(?i)^([A-Za-z]+)_FY([0-9]{4})_', 1)), '') as ticker, 'FY' || nullif(regexp_extract(name, '(?i)^([A-Za-z]+)_FY([0-9]{4})_', 2), '') as fiscal_year,
+case when name = 'source.pdf' then 'new.pdf' else name end as renamed from s""")
+def filing_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    who = scope.source_identity(F.col("name"))
+    return literal(spark, fixtures.SOURCES, "id int, name string").select("id", who["ticker"].alias("ticker"), who["fiscal_year"].alias("fiscal_year"), scope.renamed(F.col("name"), "source.pdf", "new.pdf").alias("renamed"))
+
+
+@query("""select doc_id, upper(trim(lang)) as ticker, 'FY' || lpad((doc_id % 4 + 2022)::varchar, 4, '0') as fiscal_year, sha1(source)[1:10] as short from documents""")
+def scope_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", scope.ticker(F.col("lang")).alias("ticker"), scope.fiscal_year((F.col("doc_id") % 4 + 2022).cast("string")).alias("fiscal_year"), F.substring(F.sha1(F.col("source").cast("binary")), 1, 10).alias("short"))
+
+
+@query(r"""select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), '(?i)\$[\d,]+(?:\.\d+)?(?:\s*(?:million|billion|thousand|m|b))?', '[amount]', 'g'), '\(?[\d,]+(?:\.\d+)?\)?%?', '[num]', 'g'), '\s+', ' ', 'g')) as masked from documents""")
+def caption_masking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", captions.masked_context(F.col("text")).alias("masked"))
+
+
+@query(fixtures.values("with c", "id, topic", fixtures.CAPTIONS) + r"""select id, topic = '' or regexp_matches(topic, '(?i)\bfinancial table\b$') or (len(regexp_split_to_array(trim(topic), '\s+')) <= 4 and regexp_matches(topic, '(?i)fy20\d{2}')) as weak,
+regexp_matches(topic, '(?i)^(?:(?:the\s+)?table\s+(?:presents|shows|displays|contains|summarizes|lists)\b|(?:key\s+)?financial performance metrics\b)') as boilerplate from c""")
+def caption_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = literal(spark, fixtures.CAPTIONS, "id int, topic string")
+    return rows.select("id", captions.weak_topic(F.col("topic")).alias("weak"), captions.boilerplate(F.col("topic")).alias("boilerplate"))
+
+
+@query(fixtures.values("with t", "source_file, table_id, ids, pos", [(a, b, c if c is not None else [], d) for a, b, c, d in fixtures.LOOKUP]).replace("[]", "[]::varchar[]") + """, k as (select source_file, table_id, pos, unnest([table_id] || ids || list_transform(ids, lambda x: x || '_merged')) as key from t),
+r as (select source_file || '::' || key as table_key, table_id, pos, row_number() over (partition by source_file || '::' || key order by pos, case when key = table_id then 0 else 1 end) as turn from k)
+select table_key, table_id from r where turn = 1""")
+def table_alias_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = literal(spark, fixtures.LOOKUP, "source_file string, table_id string, source_table_ids array<string>, load_pos int")
+    return R.table_lookup(rows).select("table_key", "table_id")
+
+
+@query(fixtures.values("with w", "file, page, x0, top, t", fixtures.WORDS) + "select file, page, string_agg(t, ' ' order by x0) as line from w group by file, page, round_even(top / 3, 0)")
+def word_layer_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = literal(spark, fixtures.WORDS, "file string, page int, x0 double, top double, text string")
+    return TB.word_rows(rows).select("file", "page", F.col("text").alias("line"))
+
+
+@query(fixtures.values("with p", "source_file, table_id, page, status", fixtures.PARSES) + "select source_file, count(*) as tables, count(*) filter (where status = 'success') as parsed, count(*) filter (where status is null) as missing, count(*) filter (where status <> 'success') as failed from p group by 1")
+def table_parse_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assets.parse_status(literal(spark, fixtures.PARSES, "source_file string, table_id string, page int, status string"))
+
+
+@query(fixtures.values("with s", "file, part, seq, item", fixtures.SECTIONS) + "select coalesce(part, 'Unknown') as part, string_agg(item, ',' order by seq) as items from s group by 1")
+def part_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = assets.parts(literal(spark, fixtures.SECTIONS, "file string, part string, seq int, item string"))
+    return rows.select("part", F.array_join("items", ",").alias("items"))
+
+
+@query(fixtures.values("with j", "job_id, step, state", fixtures.JOBS) + "select job_id, (case when count(*) filter (where state = 'done') >= 3 then 100 else least(95, floor(100 * count(*) filter (where state = 'done') / 3) + case when count(*) filter (where state = 'running') > 0 then 8 else 0 end) end)::int as percent from j group by 1")
+def job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assets.progress(literal(spark, fixtures.JOBS, "job_id int, step int, state string"))
+
+
+@query("select user_id as job_id, event_id as seq, event_type from (select *, row_number() over (partition by user_id order by event_id desc) as back from events) where back <= 80")
+def last_job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), "event_type")
+    return assets.last_events(rows)
+
+
+@query("""with s as (select conv_id as run_id, turn as step, role as tool, text as input, length(text)::varchar as output from conversations)
+select run_id, step * 2 - 1 as pos, 'tool_call' as kind, tool, input as content from s union all select run_id, step * 2, 'observation', tool, output from s""")
+def trace_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("run_id"), F.col("turn").alias("step"), F.col("role").alias("tool"), F.col("text").alias("input"), F.length("text").cast("string").alias("output"))
+    return assets.trace_rows(steps).select("run_id", "pos", "kind", "tool", "content")
+
+
+@query("""with p as (select *, lead(text) over w as answer, lead(role) over w as next_role from conversations window w as (partition by conv_id order by turn)),
+n as (select conv_id as session_id, turn, 'Q: ' || substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 220) || ' / A: ' || substr(trim(regexp_replace(answer, '\\s+', ' ', 'g')), 1, 480) as note, row_number() over (partition by conv_id order by turn desc) as back from p where role = 'user' and next_role = 'assistant' and trim(coalesce(answer, '')) <> '')
+select session_id, turn, note from n where back <= 50""".replace("\\\\", "\\"))
+def session_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.notes(turns(spark, sf_dir))
+
+
+@query("""with a as (select 'table_' || lpad(row_number() over (partition by source order by doc_id)::varchar, 3, '0') as table_id, source as source_file, doc_id from documents where n_chars > 1000) select source_file, table_id, doc_id from a""")
+def dense_asset_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "documents").filter("n_chars > 1000").select(F.col("source").alias("source_file"), "doc_id")
+    return TB.dense_ids(rows, "table", ["doc_id"])
+
+
+@query(HYBRID + """, sc as (select *, row_number() over (partition by query_id order by doc_id desc) as position, count(*) over (partition by query_id) as n from h)
+select query_id, doc_id, row_number() over (partition by query_id order by position, rank)::int as rank, (1.0 / position)::double as rerank_score from sc where n > 3 qualify row_number() over (partition by query_id order by position, rank) <= 3""")
+def rerank_by_service(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scorer's order joined back to hits: here the larger document ids first."""
+    hits = hybrid(spark, sf_dir)
+    w = Window.partitionBy("query_id").orderBy(F.desc("doc_id"))
+    scored = hits.select("query_id", "doc_id", F.row_number().over(w).alias("position")).withColumn("rerank_score", 1.0 / F.col("position"))
+    return R.reranked(hits, scored, 3).select("query_id", "doc_id", "rank", "rerank_score")
+
+
+@query()
+def layout_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings of a small page: candidates with score and level."""
+    lines = literal(spark, [("f", 1, 0, "MARKET RISK", False, 250.0, 362.0, 100.0, 112.0, 612.0, 12.0, False, False, ["A"]), ("f", 1, 1, "We hold notes that pay interest at fixed rates.", False, 72.0, 540.0, 140.0, 152.0, 612.0, 10.0, False, False, ["A"]), ("f", 1, 2, "Note 3 – Leases", False, 72.0, 200.0, 180.0, 192.0, 612.0, 10.0, True, False, ["A"])], schemas.LINE)
+    return L.heading_candidates(lines).select("file", "page", "line", "score", "level")
+
+
+@query()
+def table_marked_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = literal(spark, [("Heading Sales grew, as follows: Revenue 100 90 Costs 40 35", "Heading", [("t1", [["Revenue", "100", "90"]])])], "body string, heading string, tables array<struct<table_id: string, raw_rows: array<array<string>>>>")
+    return rows.select(bodies.clean_udf("body", "heading", "tables").alias("x")).select("x.body", F.array_join("x.table_refs", ",").alias("table_refs"))
+
+
 __all__ = ["ORACLE_SQL", "QUERIES", "chunker", "readers", "vectors"]
