@@ -162,3 +162,16 @@ def linear_messages(conversations: DataFrame) -> DataFrame:
 def conversation_digests(conversations: DataFrame) -> DataFrame:
     out = digests(format_trees(linear_messages(conversations)))
     return out.select(F.when(F.col("tree") != NO_TREE, F.col("tree")).alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+#: The rows of the registered query in DuckDB: digests of the texts themselves, lengths under the template.
+ORACLE = r"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e as (select *, length(regexp_replace(regexp_replace(replace(text, '\', '\\'), '<(/?s>)', '<#\1', 'g'), '\[(/?INST\]|/?SYS\]|ROLE:|/ROLE\])', '[#\1', 'g'))
+  + case role when 'user' then 15 when 'assistant' then 6 when 'system' then 13 else 15 + length(url_encode(role)) end as n from c)
+select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256, (3 + sum(n))::bigint as formatted_chars
+from e group by conv_id
+"""

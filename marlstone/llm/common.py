@@ -32,10 +32,21 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """Where this application's intermediate results are."""
+    return f"{shared_dir(spark)}/marlstone/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate results of this application; results that still read them must be written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back."""
     spark = ship(df.sparkSession)
-    path = f"{shared_dir(spark)}/marlstone/{label}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -255,3 +255,20 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -
     found = decontaminate(rows.select(rid, F.col(f"{common.P}row.text").alias("text")), benchmark, rid, window)
     hit = common.materialise(found.filter("contaminated").select(rid), "contaminated")
     return rows.join(hit, rid, "left_anti").select(f"{common.P}row.*")
+
+
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: The rows of :func:`decontaminate` with ten-word windows, in DuckDB.
+ORACLE = rf"""
+with d as (select row_number() over () as rid, doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (select item_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+g as (select distinct item_id, least(10, len(w)) as n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') as gram
+  from (select item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) as i from b where len(w) > 0)),
+x as (select rid, n, i, array_to_string(w[i:i + n - 1], ' ') as gram from (select rid, w, n, unnest(range(1, len(w) - n + 2)) as i from d, (select distinct n from g))),
+m as (select rid, i, n, item_id from x join g using (n, gram)),
+h as (select rid, count(distinct p) as n_hit from (select rid, unnest(range(i, i + n)) as p from m) group by rid),
+t as (select rid, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as ids from m group by rid)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join h using (rid) left join t using (rid)
+"""

@@ -58,4 +58,4 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_packing, op3_quality, op4_line_dedup, op5_language, op6_near_dup, op7_rules, op8_token_files, op9_class_lm, op10_chat)}
-ORACLE_SQL: dict[str, str] = {"op7_rules": rules.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": decontamination.ORACLE, "op7_rules": rules.ORACLE, "op10_chat": chat.ORACLE}

@@ -389,3 +389,14 @@ def test_pipeline_keeps_columns_and_drops_what_it_should(spark, sf):
     whole = corpus_pipeline.run(spark, sf)
     assert {r.doc_id for r in whole.collect()} == {r.doc_id for r in docs.collect()}
     assert whole.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 2048").count() == 0
+
+
+def test_results_can_be_cleared(spark):
+    kept = common.materialise(spark.range(3).toDF("x"), "clear")
+    assert kept.count() == 3
+    path = kept.inputFiles()[0].removeprefix("file:").replace("//", "/")
+    import os
+
+    assert os.path.exists(path)
+    common.clear(spark)
+    assert not os.path.exists(path)
