@@ -47,7 +47,7 @@ STRENGTH = 0.25
 #: Equal samples below which two signatures can't belong to similar texts: expected 51 of 64 at 0.8, five deviations less.
 AGREE = 36
 #: Texts of a block; two blocks meet in one task.
-BLOCK = 512
+BLOCK = 256
 #: Keys that may be broadcast (16 bytes each); beyond, the join shuffles.
 BROADCAST_KEYS = 2_000_000
 CACHE = 400_000
