@@ -103,6 +103,11 @@ def lexical_overlap(query: Column, text: Column) -> Column:
     return F.size(F.filter(query_terms(query), lambda t: F.contains(low, t))).cast("bigint")
 
 
+def terms_found(terms: Column, low: Column) -> Column:
+    """How many of ``terms`` occur in a lower-cased text; give both as columns of the input, so that neither is made anew per term."""
+    return F.size(F.filter(terms, lambda t: F.contains(low, t))).cast("bigint")
+
+
 def memory_score(query: Column, text: Column, age_days: Column | None = None) -> Column:
     """Share of the query's tokens in the text, at most halved by age."""
     q = memory_tokens(query)

@@ -39,17 +39,16 @@ def term_stats(tokens: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 def bm25_scores(docs: DataFrame, queries: DataFrame, content: Column) -> DataFrame:
     """(``query_id``, ``doc_id``, ``score``) of all documents with a query term.
 
-    Term frequencies are counted inside a row, only for terms some query asks
-    for; repeated query terms count with their multiplicity.
+    Only terms some query asks for become postings; repeated query terms count
+    with their multiplicity.
     """
     tokens = tokenised(docs, content)
     asked = queries.select("query_id", F.explode(text.bm25_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     wanted = small(asked.select("term").distinct())
     stats = collection_stats(tokens)
-    # a posting for each distinct wanted term of a document
-    posting = tokens.select("doc_id", "dl", "tokens", F.explode(F.array_distinct("tokens")).alias("term")).join(wanted, "term", "left_semi")
-    posting = posting.select("doc_id", "dl", "term", F.size(F.filter("tokens", lambda x: x == F.col("term"))).alias("tf"))
-    df = term_stats(tokens).join(wanted, "term", "left_semi")
+    # postings of the wanted terms only, counted before they are shuffled
+    posting = tokens.select("doc_id", "dl", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    df = posting.groupBy("term").agg(F.count("*").alias("df"))
     rated = asked.join(df, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", "times", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # stats: one row
     hit = posting.join(small(rated), "term")
     length = F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0)

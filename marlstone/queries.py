@@ -163,8 +163,9 @@ def retrieval_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with w as (select item_id, list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z][a-z0-9-]+')), lambda x: length(x) > 2) as terms from benchmark)
 select item_id, doc_id, len(list_filter(terms, lambda t: contains(lower(coalesce(text, '')), t)))::bigint as overlap from documents, w where item_id < 8""")
 def lexical_overlap_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = R.small(read(spark, sf_dir, "benchmark").filter("item_id < 8").select("item_id", F.col("text").alias("query")))
-    return read(spark, sf_dir, "documents").crossJoin(items).select("item_id", "doc_id", T.lexical_overlap(F.col("query"), F.col("text")).alias("overlap"))
+    items = R.small(read(spark, sf_dir, "benchmark").filter("item_id < 8").select("item_id", T.query_terms(F.col("text")).alias("terms")))
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    return docs.crossJoin(items).select("item_id", "doc_id", T.terms_found(F.col("terms"), F.col("low")).alias("overlap"))
 
 
 # --- text --------------------------------------------------------------------
