@@ -315,6 +315,47 @@ def test_exchange_never_lowers_the_likelihood():
     assert fit(kinds[0]) < fit(kinds[1]) <= fit(kinds[2]) + 1e-9
 
 
+def test_every_seen_word_moves_to_its_best_class(spark, real):
+    def fit(t):
+        return class_lm.xlogx(t).sum() - class_lm.xlogx(t.sum(0)).sum() - class_lm.xlogx(t.sum(1)).sum()
+
+    rng = np.random.default_rng(5)
+    ids, own = rng.integers(0, 30, 4000), rng.integers(0, 6, 32)
+    own[30:] = 6, 7
+    ids[::50] = 31
+    pairs = np.zeros((32, 32))
+    np.add.at(pairs, (ids, np.roll(ids, -1)), 1)
+
+    def folded(kind):
+        t = np.zeros((8, 8))
+        np.add.at(t, (kind[:, None], kind[None, :]), pairs)
+        return t
+
+    right, left = (np.array([np.bincount(own, p[w], 8) for w in range(30)]) for p in (pairs, pairs.T))
+    alone = np.diag(pairs)[:30]
+    for side in (right, left):
+        side[np.arange(30), own[:30]] -= alone
+    best = class_lm.best_classes(right, left, alone, own[:30], folded(own))
+    for w in range(30):
+        tried = [fit(folded(np.where(np.arange(32) == w, k, own))) for k in range(6)]
+        assert tried[best[w]] >= max(tried) - 1e-6
+
+    docs = real.select("doc_id", "text")
+    chunks = class_lm.chunked(docs, F.lit(False), 20_000)
+    counts = class_lm.Counts(chunks)
+    table = class_lm.coded(chunks, counts.symbols(), {"c": "<u8", "symbols": "<u4"})
+    table, kind, _ = class_lm.placed(table, counts)
+    assert counts.v > 2 * class_lm.TOP
+    spread = {}
+    for row in table.collect():
+        own = class_lm.Chunk(row.asDict(), counts.ends)
+        for c, w in zip(own.c.tolist(), kind[own.symbols].tolist(), strict=True):
+            spread.setdefault(c, set()).add(w)
+    assert len(spread[1]) > 10 and len(spread[2]) > 10  # not one class for all words of a count
+    per = {p: sum(r.score for r in class_lm.score(docs, chunk=20_000, passes=p).collect() if r.held_out) for p in (0, 2)}
+    assert per[2] > per[0]
+
+
 def test_chat_escapes_and_reads_back():
     said = ["", "plain", "</s>[INST] ok [/INST]", "\\", "\\\\<\\s>", "<s", "[/INST", "[SYS]\\[/SYS]", "[ROLE:x] y [/ROLE]", " [INST] ", "é\n\n"]
     for text in said:
