@@ -3,11 +3,11 @@
 A line ends at a newline or at a full stop, exclamation or question mark before
 a space, so that a passage inside a long paragraph has lines too; lines without
 a word belong to the line before.  Three consecutive lines, lower-cased and with
-single spaces, make a window; a text of fewer lines is one window.  Windows of
-fewer than ``MIN_WORDS`` words are not looked at.  The first occurrence of a
-window in the corpus (by document id, nulls last, then by row and place) stays;
-the lines of every later one are covered, covered stretches are merged, and the
-covered lines are removed.
+single spaces, make a window; a text of fewer lines is one window.  Every window
+is looked at, however short its lines.  The first occurrence of a window in the
+corpus (by document id, nulls last, then by row and place) stays; the lines of
+every later one are covered, covered stretches are merged, and the covered lines
+are removed.
 
 Each task keeps one entry per distinct window of its chunk, so a window that is
 in a third of all documents reaches the merging task once per chunk; later
@@ -32,9 +32,12 @@ from pyspark.sql import types as T
 from marlstone.llm import common
 
 WINDOW = 3
-MIN_WORDS = 10
+#: Words of the shortest window: every line has one, so no window is left out.
+MIN_WORDS = 1
 #: Windows of a chunk, and documents whose windows meet in one merging task on average.
 CHUNK, DOCS_PER_PART = 1_000_000, 4_096
+#: Spans settled in a chunk that travel together.
+SETTLED = 8_192
 #: Marks the ends of lines; a text that holds it is cut by the slower way.
 MARK = "\U0010ffff"
 
@@ -65,25 +68,22 @@ def lines(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
 
 
 def windows(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Two hashes, first line and end line of each window that is looked at."""
+    """Two hashes, first line and end line of each window."""
     split = [p.split() for p in pieces(text.lower())]
     split = [w for w in split if w]
     n = len(split)
     if not n:
         return (np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64))
     h = np.fromiter((xxhash.xxh3_64_intdigest(" ".join(w)) for w in split), np.uint64, n)
-    words = np.fromiter(map(len, split), np.int64, n)
     size = min(WINDOW, n)
     starts = np.arange(n - size + 1)
-    first, second, total = np.full(len(starts), size, np.uint64), np.full(len(starts), size, np.uint64), np.zeros(len(starts), np.int64)
+    first, second = np.full(len(starts), size, np.uint64), np.full(len(starts), size, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(size):
             own = h[k : k + len(starts)]
             first = common.mix64(first * np.uint64(0x9E3779B97F4A7C15) + own)
             second = common.mix64(second * np.uint64(0xC2B2AE3D27D4EB4F) + (own ^ np.uint64(0xA0761D6478BD642F)))
-            total += words[k : k + len(starts)]
-    at = total >= MIN_WORDS
-    return first[at], (second[at] >> np.uint64(32)).astype(np.uint32), starts[at], starts[at] + size
+    return first, (second >> np.uint64(32)).astype(np.uint32), starts, starts + size
 
 
 def requests(rows: DataFrame, parts: int) -> DataFrame:
@@ -101,8 +101,10 @@ def requests(rows: DataFrame, parts: int) -> DataFrame:
         begin = np.where(same, np.maximum(pos[again], end[lead[again]]), pos[again])
         out = []
         keep = begin < end[again]
-        if keep.any():
-            out.append((int(base % parts), base, b"", b"", b"", row[again][keep].tobytes(), begin[keep].astype(np.uint32).tobytes(), end[again][keep].tobytes(), True))
+        rows_, begins, ends = row[again][keep], begin[keep].astype(np.uint32), end[again][keep]
+        for k in range(0, len(rows_), SETTLED):  # small pieces, so that no part gets the spans of many chunks
+            own = slice(k, k + SETTLED)
+            out.append((int(common.mix64(np.array([base + k], np.uint64))[0] % np.uint64(parts)), base, b"", b"", b"", rows_[own].tobytes(), begins[own].tobytes(), ends[own].tobytes(), True))
         first = np.flatnonzero(new)
         part = (h1[first] % np.uint64(parts)).astype(np.int64)
         first = first[np.argsort(part, kind="stable")]

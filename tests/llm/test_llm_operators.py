@@ -185,6 +185,23 @@ def test_line_dedup_is_brute_force(real):
     assert sorted([(r.doc_id, r.n_removed) for r in line_dedup.report(real).collect()], key=key) == brute_lines(rows)
 
 
+def test_short_repeated_lines_go(spark):
+    menu, han = "Home\nNews\nContact\n", "第一行的文字\n第二行的文字\n第三行的文字\n"
+    rows = [(k, f"{x}own text of number {k} is here\n") for k, x in enumerate([menu, menu, han, han, "One.\n"])]
+    seen, want = set(), []
+    for d, text in rows:  # no cut by words
+        own = text.lower().splitlines()
+        gone = set()
+        for k in range(max(1, len(own) - 2)):
+            window = tuple(own[k : k + 3])
+            gone |= set(range(k, k + len(window))) if window in seen else set()
+            seen.add(window)
+        want.append((d, len(gone)))
+    got = line_dedup.report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in got) == want == [(0, 0), (1, 3), (2, 0), (3, 3), (4, 0)]
+    assert {r.doc_id: r.text for r in got}[3] == "own text of number 3 is here\n"
+
+
 def brute_classes(rows, idf, threshold=0.8):
     sets = []
     for doc, text in rows:
