@@ -7,14 +7,17 @@ so that a lost executor never forces the whole lineage to be computed again.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
+import time
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.session import ship
@@ -24,9 +27,11 @@ P = "__m_"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one where it is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``; where it is unset, a temporary one in local mode (tests) and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="marlstone-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -51,6 +56,89 @@ def materialise(df: DataFrame, label: str, compression: str = "zstd") -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a stored table that nothing reads any more."""
+    path = table.sparkSession._jvm.org.apache.hadoop.fs.Path
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        path(folder).getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path(folder), True)
+
+
+#: What the modules keep from task to task in a Python worker, and the module whose tasks ran last.
+_caches: dict[str, list[dict]] = {}
+_last = {"owner": "", "trimmed": 0.0}
+
+
+def cache(owner: str, held: dict) -> dict:
+    """Register ``held`` as a cache of the module ``owner``."""
+    _caches.setdefault(owner, []).append(held)
+    return held
+
+
+def begin(owner: str) -> None:
+    """A task of ``owner`` begins: the caches of other modules are emptied, as Spark uses its Python workers again."""
+    if _last["owner"] != owner:
+        for name, held in _caches.items():
+            if name != owner:
+                for x in held:
+                    x.clear()
+        _last["owner"] = owner
+        release()
+
+
+def release() -> None:
+    """Give freed memory back to the system, every second at most."""
+    if time.monotonic() - _last["trimmed"] > 1:
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+        _last["trimmed"] = time.monotonic()
+
+
+def task(owner: str) -> Callable[[Callable], Callable]:
+    """Marks a function over the batches of a partition as a task of ``owner``."""
+
+    def mark(run: Callable) -> Callable:
+        @functools.wraps(run)
+        def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            begin(owner)
+            for batch in run(batches):
+                yield batch
+                del batch
+                release()
+            release()
+
+        return wrapped
+
+    return mark
+
+
+def group(owner: str) -> Callable[[Callable], Callable]:
+    """Marks a function of one group, or two co-groups, as a task of ``owner``."""
+
+    def mark(run: Callable) -> Callable:
+        if run.__code__.co_argcount == 2:
+
+            def wrapped(left: pa.Table, right: pa.Table) -> pa.Table:
+                begin(owner)
+                out = run(left, right)
+                release()
+                return out
+
+        else:
+
+            def wrapped(table: pa.Table) -> pa.Table:
+                begin(owner)
+                out = run(table)
+                release()
+                return out
+
+        return wrapped
+
+    return mark
+
+
 def with_row_id(df: DataFrame, label: str) -> DataFrame:
     """``df`` as (``__m_rid``, ``__m_row``), stored: the id of a row stays the same however often it is read.
 
@@ -64,7 +152,7 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterator[pa.RecordBatch], column: str | int, limit: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """Slice batches so that ``column`` holds about ``limit`` bytes in each (one row at least)."""
     for batch in batches:
         if not batch.num_rows:
@@ -76,6 +164,12 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8
             yield batch.slice(a, b - a)
 
 
+def each_row(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch one after the other, for rows that are large."""
+    for k in range(batch.num_rows):
+        yield batch.slice(k, 1).to_pylist()[0]
+
+
 def byte_lengths(column: pa.Array) -> np.ndarray:
     import pyarrow.compute as pc
 
@@ -139,14 +233,31 @@ def add_up(partials: DataFrame, dtype: str, size: int, block: int) -> np.ndarray
     return out
 
 
-def fraction_of(rows: int, bound: int) -> float:
-    """Share of ``rows`` that gives about 0.95 of ``bound`` rows, 1 where all fit."""
-    return 1.0 if rows <= bound else 0.95 * bound / rows
+def quotas(counts: dict, bound: int) -> dict:
+    """How many rows of each stratum a sample of at most ``bound`` takes: even shares, and what small strata leave goes to the others."""
+    out, left = {}, bound
+    for k, (name, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], str(x[0])))):
+        out[name] = min(n, left // (len(counts) - k))
+        left -= out[name]
+    return out
+
 
+def stratified(rows: DataFrame, stratum: str, hashed: str, bound: int) -> DataFrame:
+    """Distinct (``stratum``, ``hashed``) of ``rows``, at most ``bound``: of every stratum those with the smallest hashes.
 
-def hashed_share(share: float, *columns: str) -> F.Column:
-    """True for a share of the rows, chosen by a hash of ``columns``."""
-    return F.lit(True) if share >= 1 else F.expr(f"pmod(xxhash64({', '.join(columns)}, 'sample'), 1000000)") < int(share * 1_000_000)
+    ``hashed`` is a 64-bit hash, so what is taken depends on the rows alone, not
+    on their order or on how often each occurs.  A share that is likely twice
+    the quota is taken before the exact cut, so no task sorts a whole stratum.
+    """
+    found = rows.groupBy(stratum).agg(F.approx_count_distinct(hashed).alias("n")).collect()  # a row for each stratum
+    taken = quotas({r[0]: r[1] + 1 + r[1] // 4 for r in found}, bound)  # the estimate may be a few hundredths low
+    if not taken:
+        return rows.select(stratum, hashed).limit(0)
+    limits = [(name, taken[name], int(min(1.0, 2.0 * taken[name] / max(1, n) + 1e-6) * (1 << 20)) if n > 4096 else 1 << 20) for name, n in found]
+    dim = F.broadcast(rows.sparkSession.createDataFrame(limits, f"{stratum} {rows.schema[stratum].dataType.simpleString()}, quota bigint, share bigint"))
+    own = rows.select(stratum, hashed).join(dim, stratum).filter(F.pmod(F.col(hashed), F.lit(1 << 20)) < F.col("share")).groupBy(stratum, hashed).agg(F.max("quota").alias("quota"))
+    order = Window.partitionBy(stratum).orderBy(hashed)
+    return own.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= bound).filter(F.col("turn") <= F.col("quota")).select(stratum, hashed)
 
 
 def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
