@@ -39,6 +39,8 @@ WIDTHS = (8, 8, 16)
 BLOCK = 512
 #: Ids after which a segment ends with its document.
 SEGMENT = 1_000_000
+#: Bytes of text a writing task gets on average, at most.
+PART_BYTES = 64_000_000
 
 SEGMENTS = "shard int, seq int, shard_start bigint, n_ids bigint, first_doc bigint, last_doc bigint, image binary"
 
@@ -122,12 +124,14 @@ class Image:
 def write_segments(docs: DataFrame, vocabulary: str, end: int, segment: int = SEGMENT, partitions: int | None = None) -> DataFrame:
     """The stored segments of ``docs`` (``doc_id``, ``text``) in ascending order of document id."""
     spark = docs.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     tie = F.xxhash64("text")  # ranges can end within equal ids
     ordered = rows.withColumn("tie", tie).repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     arrow = pa.schema([("shard", pa.int32()), ("seq", pa.int32()), ("shard_start", pa.int64()), ("n_ids", pa.int64()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("image", pa.binary())])
 
+    @common.task("tokens")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -166,9 +170,10 @@ def read_documents(segments: DataFrame, with_ids: bool = False) -> DataFrame:
     starts = segments.sparkSession.sparkContext.broadcast(shard_starts(segments))
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + (", ids binary" if with_ids else "")
 
+    @common.task("tokens")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in common.each_row(batch):
                 image = Image(row["image"])
                 raw = image.ids().tobytes()
                 ends = np.cumsum(image.lengths)

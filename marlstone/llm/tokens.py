@@ -3,8 +3,9 @@
 Both vocabularies split a text before they merge: nothing is merged across the
 chunks below, so the ids of a text are those of its chunks in order.  A chunk
 is encoded by the library once and then looked up.  This holds for printable
-ASCII, Latin-1 letters, tab and newlines; a text with any other character is
-encoded whole by the library.
+ASCII, Latin-1 letters, tab and newlines; a text with any other character, or
+with the name of a special token (which the library maps to its id wherever it
+stands), is encoded whole by the library.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from collections.abc import Callable
 
 import numpy as np
 
+from marlstone.llm import common
+
 #: The text holds a character for which the split is left to the library.
 OTHER = re.compile("[^\t\n\r -~À-ÖØ-öø-ÿ]")
 #: A space and what follows up to white space, or a run of white space without its last character.
@@ -27,7 +30,7 @@ CHUNKS: dict[str, Callable[[str], list[str]]] = {"word_bpe_49k.json": str.split,
 #: Vocabulary files that lower-case a text first.
 LOWER = {"word_bpe_49k.json"}
 #: Cached chunks, and cached words, of a worker; beyond, the later half goes.
-CACHE = 600_000
+CACHE = 300_000
 
 
 def visible_bytes() -> list[str]:
@@ -57,11 +60,12 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        names = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(names) or "(?!)", re.IGNORECASE)
         self.chunks = CHUNKS.get(os.path.basename(path))
         self.lower = os.path.basename(path) in LOWER
-        self.cache: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = common.cache("tokens", {})
+        self.heads: dict[str, bytes] = common.cache("tokens", {})
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -102,7 +106,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; null is the empty text."""
-        cut: list[list[str] | None] = [None if self.chunks is None or (text and OTHER.search(text)) else self.chunks(text or "") for text in texts]
+        cut: list[list[str] | None] = [None if self.chunks is None or (text and (OTHER.search(text) or self.special.search(text))) else self.chunks(text or "") for text in texts]
         seen = set().union(*(c for c in cut if c))
         new = seen.difference(self.cache)
         if new:
