@@ -4,14 +4,19 @@ A document becomes pieces of at most ``capacity`` tokens; only longer documents
 are cut.  Full pieces are sequences of their own.  The rest is dealt into
 groups that are packed side by side: each piece goes where the sum over all
 residual gaps of the squared number of open sequences with that gap becomes
-smallest, among the open sequences it fits in and a new one.  Sequences that
-stay open are dealt anew, as pieces of their filled length, to fewer groups,
-until one group has seen all that is left; so the loss is that of one group
-however many there are.
-
-Defined results: a null or empty text gives no piece beyond one of length 0,
-which takes no room; repeated documents are packed each; the result does not
-depend on the order of the input's columns.
+smallest, among the open sequences it fits in and a new one.
+
+What stays open is packed again, as pieces of the filled lengths, level by
+level.  Two sequences that are more than half full never fit together, so a
+level takes the others, and of the fuller ones those with the widest gaps, as
+many as could be needed; all else is set aside as it is.  From the second level
+on a group joins what it leaves half empty in pairs, so each group hands on one
+such sequence at most and the levels end after a few: their number grows with
+the logarithm of the input and no group is larger than the first ones.
+
+Defined results: a null or empty text is one piece that holds the end id alone;
+repeated documents are packed each; the result does not depend on the order of
+the input's columns.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ GROUP = 60_000
 SMALL = 8
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, slot bigint, full boolean"
-PLACES = "group bigint, number bigint, slot bigint, place bigint, length bigint, open boolean"
+PLACES = "group bigint, number bigint, slot bigint, place bigint, length bigint, gap bigint"
 
 
 def cut(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int = 0, keep_ids: bool = False) -> DataFrame:
@@ -43,6 +48,7 @@ def cut(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int = 0
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()] + [pa.binary()] * keep_ids
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
 
+    @common.task("tokens")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -95,35 +101,75 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return where, offsets, np.array(gaps, np.int64)
 
 
-def pack_groups(items: DataFrame, groups: int, capacity: int) -> DataFrame:
+def join_halves(where: np.ndarray, offsets: np.ndarray, gaps: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same packing with its sequences that are at most half full put together in pairs, until one is left."""
+    filled = capacity - gaps
+    half = np.flatnonzero((gaps > 0) & (2 * filled <= capacity))
+    target, shift = np.arange(len(gaps)), np.zeros(len(gaps), np.int64)
+    rest = sorted(half.tolist(), key=lambda k: (-int(filled[k]), k))
+    own, size = None, 0
+    for k in rest:  # fullest first; the open one takes what fits and makes way when it is more than half full
+        if own is None or 2 * size > capacity:
+            own, size = k, int(filled[k])
+        else:
+            target[k], shift[k] = own, size
+            size += int(filled[k])
+            gaps[own] = capacity - size
+    return target[where], offsets + shift[where], gaps
+
+
+def pack_groups(items: DataFrame, groups: int, capacity: int, level: int) -> DataFrame:
     """Pack (``slot``, ``length``) within ``groups`` groups; per item its sequence there and its place in it."""
 
+    @common.group("packing")
     def run(table: pa.Table) -> pa.Table:
         slot, length = (table.column(c).to_numpy() for c in ("slot", "length"))
         small = length <= capacity // SMALL
         order = np.lexsort((slot, np.where(small, common.mix64(slot.astype(np.uint64)) >> np.uint64(1), np.uint64(0)), np.where(small, 0, -length), small))
         where, offsets, gaps = sum_of_squares(length[order], capacity)
-        return pa.table({"group": pa.array(np.full(len(slot), table.column("group")[0].as_py(), np.int64)), "number": where, "slot": slot[order], "place": offsets, "length": length[order], "open": gaps[where] > 0})
-
-    return items.select("slot", "length", F.expr(f"pmod(xxhash64(slot), {groups}L)").alias("group")).groupBy("group").applyInArrow(run, PLACES)
+        if level:
+            where, offsets, gaps = join_halves(where, offsets, gaps, capacity)
+        return pa.table({"group": pa.array(np.full(len(slot), table.column("group")[0].as_py(), np.int64)), "number": where, "slot": slot[order], "place": offsets, "length": length[order], "gap": gaps[where]})
+
+    return items.select("slot", "length", F.expr(f"pmod(xxhash64(slot, {level}), {groups}L)").alias("group")).groupBy("group").applyInArrow(run, PLACES)
+
+
+def next_items(left: DataFrame, capacity: int) -> tuple[DataFrame, int]:
+    """What the next level packs of the open sequences (``slot``, ``gap``), and how many they are; 0 where no two fit together."""
+    counts = dict(left.groupBy("gap").count().collect())  # a row for each gap: at most ``capacity``
+    small = sum(n for gap, n in counts.items() if 2 * gap >= capacity)
+    if not small or sum(counts.values()) < 2:
+        return left, 0
+    # a small one closes one of the fuller ones at most, and where one of them has room, one with a wider gap has it too
+    room, least, edge = 2 * small, -(-capacity // 2), None
+    for gap in sorted((g for g in counts if 2 * g < capacity), reverse=True):
+        if counts[gap] > room:
+            edge = gap
+            break
+        room, least = room - counts[gap], gap
+    chosen = F.col("gap") >= least
+    if edge is not None:
+        chosen = chosen | ((F.col("gap") == edge) & (F.expr(f"pmod(xxhash64(slot, 'share'), {counts[edge]}L)") < room))
+    return left.filter(chosen), 3 * small - (room if edge is None else 0)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """``pieces`` (a stored table of :func:`cut`) with ``sequence_id`` and ``offset``."""
     rest = pieces.filter("not full").select("slot", "length")
-    left = rest.count()
-    groups = max(1, -(-left // group))
-    level, tables = 0, []
+    groups, level, tables = max(1, -(-rest.count() // group)), 0, []
     while True:
-        places = common.materialise(pack_groups(rest, groups, capacity), f"packing{level}")
-        # a sequence's own id, as an item of the next level: level, group and number
+        places = common.materialise(pack_groups(rest, groups, capacity, level), f"packing{level}")
+        # a sequence's own id, as an item of the next level; the groups halve at least, so there are far fewer than 127 levels
         name = F.lit(level).cast("bigint") * F.lit(1 << 56) + F.col("group") * F.lit(1 << 26) + F.col("number")
         places = places.withColumn("sequence", name)
         tables.append(places)
         if groups == 1:
             break
-        rest = places.filter("open").groupBy("sequence").agg(F.sum("length").alias("length")).withColumnRenamed("sequence", "slot")
-        groups = min(groups - 1, max(1, -(-rest.count() // group)))
+        left = places.filter("gap > 0").groupBy("sequence").agg(F.sum("length").alias("length"), F.max("gap").alias("gap")).withColumnRenamed("sequence", "slot")
+        rest, n = next_items(left, capacity)
+        if not n:
+            break
+        groups = min(-(-groups // 2), -(-n // group))
         level += 1
     # resolve an item's sequence upwards through the levels
     found = tables[-1].select("slot", F.col("sequence").alias("sequence_id"), F.col("place").alias("offset"))
