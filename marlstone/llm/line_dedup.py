@@ -1,17 +1,22 @@
 """Line deduplication over overlapping windows of three lines.
 
-A line ends at a newline or at a full stop, exclamation or question mark before
-a space, so that a passage inside a long paragraph has lines too; lines without
-a word belong to the line before.  Three consecutive lines, lower-cased and with
-single spaces, make a window; a text of fewer lines is one window.  Every window
-is looked at, however short its lines.  The first occurrence of a window in the
-corpus (by document id, nulls last, then by row and place) stays; the lines of
-every later one are covered, covered stretches are merged, and the covered lines
-are removed.
+A line ends at a newline, at a full stop, exclamation or question mark before a
+space, or at an ideographic full stop, exclamation or question mark.  A line of
+more than ``LONG`` words is cut further behind words whose hash is smaller than
+those of the ``RADIUS`` words on each side, so that a passage that starts and
+ends inside long sentences has whole lines too: the cuts depend on the words
+around them only, and a line made by them has more than ``RADIUS`` words.
+Stretches without a word belong to the line before.  Three consecutive lines,
+lower-cased and with single spaces, make a window; a text of fewer lines is one
+window.  Every window is looked at, however short its lines.  The first
+occurrence of a window in the corpus (by document id, nulls last, then by row
+and place) stays; the lines of every later one are covered, covered stretches
+are merged, and the covered lines are removed.
 
 Each task keeps one entry per distinct window of its chunk, so a window that is
 in a third of all documents reaches the merging task once per chunk; later
-occurrences inside a chunk are settled there.
+occurrences inside a chunk are settled there.  Only texts that lose lines meet
+their spans in a shuffle; the others pass by.
 
 Defined results: null texts stay null; texts without words stay as they are;
 an occurrence that overlaps the first one in its own text loses only the lines
@@ -20,11 +25,13 @@ behind it; repeated rows lose what the first of them keeps.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,53 +39,94 @@ from pyspark.sql import types as T
 from marlstone.llm import common
 
 WINDOW = 3
-#: Words of the shortest window: every line has one, so no window is left out.
-MIN_WORDS = 1
+#: Words of the longest line that is not cut further, and words on each side that a cut looks at.
+LONG, RADIUS = 10, 3
 #: Windows of a chunk, and documents whose windows meet in one merging task on average.
 CHUNK, DOCS_PER_PART = 1_000_000, 4_096
 #: Spans settled in a chunk that travel together.
 SETTLED = 8_192
+#: Rows with spans whose ids may be broadcast (8 bytes each); beyond, every text is shuffled.
+BROADCAST_KEYS = 2_000_000
 #: Marks the ends of lines; a text that holds it is cut by the slower way.
 MARK = "\U0010ffff"
+WIDE_ENDS = "\u3002\uff01\uff1f"
+WORD = re.compile(r"\S+")
 
-REQUESTS = "part int, base bigint, h1 binary, h2 binary, doc binary, row binary, pos binary, end binary, settled boolean"
+REQUESTS = "part int, base bigint, h1 binary, h2 binary, doc binary, row binary, pos binary, size binary, settled boolean"
 SPANS = "rid bigint, spans binary"
 
 
 def pieces(text: str) -> list[str]:
-    """The text cut behind each line end; joined they are the text."""
+    """The text cut behind each natural line end; joined they are the text."""
     if MARK in text:
         out, own = [], ""
         for k, c in enumerate(text):
             own += c
-            if c == "\n" or (c == " " and k and text[k - 1] in ".!?"):
+            if c == "\n" or c in WIDE_ENDS or (c == " " and k and text[k - 1] in ".!?"):
                 out.append(own)
                 own = ""
         return [*out, own]
-    for end in ("\n", ". ", "! ", "? "):
+    for end in ("\n", ". ", "! ", "? ", *(() if text.isascii() else WIDE_ENDS)):
         text = text.replace(end, end + MARK)
     return text.split(MARK)
 
 
+def line_ends(split: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of natural lines, each with a word, and the number of words before each line's end."""
+    sizes = np.array([len(w) for w in split], np.int64)
+    words = [x for w in split for x in w]
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    ends = np.cumsum(sizes)
+    span = 2 * RADIUS + 1
+    if len(h) < span or sizes.max() <= LONG:
+        return h, ends
+    near = np.lib.stride_tricks.sliding_window_view(h, span)
+    own = near[:, RADIUS]
+    least = (own < near[:, :RADIUS].min(axis=1)) & (own < near[:, RADIUS + 1 :].min(axis=1))
+    at = np.flatnonzero(least) + RADIUS
+    line = np.searchsorted(ends, at, "right")
+    # the words it looks at, and as many on both sides of the cut, are of one long line
+    at = at[(sizes[line] > LONG) & (at - RADIUS >= ends[line] - sizes[line]) & (at + RADIUS + 1 < ends[line])]
+    return h, np.union1d(ends, at + 1)
+
+
 def lines(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Pieces, the line each piece belongs to (-1 before the first), and the words of each line."""
-    own = pieces(text)
-    counts = np.array([len(p.split()) for p in own], np.int64)
-    return own, np.cumsum(counts > 0) - 1, counts[counts > 0]
+    """Pieces that joined are the text, the line each piece belongs to (-1 before the first), and the words of each line."""
+    natural = pieces(text)
+    split = [w for w in (p.split() for p in pieces(text.lower())) if w]
+    _, ends = line_ends(split) if split else (None, np.empty(0, np.int64))
+    out, line, at, done = [], [], 0, 0
+    for piece in natural:
+        n = len(piece.split())
+        begin = 0
+        stop = np.searchsorted(ends, at + n) if n else done
+        if n and stop > done:
+            starts = [m.start() for m in WORD.finditer(piece)]
+            for k in range(done, stop):
+                cut = starts[int(ends[k]) - at]
+                out.append(piece[begin:cut])
+                line.append(k)
+                begin = cut
+        out.append(piece[begin:])
+        line.append(stop if n else done - 1)
+        at, done = at + n, stop + 1 if n else done
+    return out, np.array(line, np.int64), np.diff(ends, prepend=0)
 
 
 def windows(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Two hashes, first line and end line of each window."""
-    split = [p.split() for p in pieces(text.lower())]
-    split = [w for w in split if w]
-    n = len(split)
-    if not n:
+    split = [w for w in (p.split() for p in pieces(text.lower())) if w]
+    if not split:
         return (np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64))
-    h = np.fromiter((xxhash.xxh3_64_intdigest(" ".join(w)) for w in split), np.uint64, n)
-    size = min(WINDOW, n)
-    starts = np.arange(n - size + 1)
-    first, second = np.full(len(starts), size, np.uint64), np.full(len(starts), size, np.uint64)
+    words, ends = line_ends(split)
+    begin = np.concatenate([[0], ends[:-1]])
+    n = len(ends)
     with np.errstate(over="ignore"):
+        place = (np.arange(len(words)) - np.repeat(begin, ends - begin) + 1).astype(np.uint64)
+        h = np.add.reduceat(common.mix64(words + place * np.uint64(0x9E3779B97F4A7C15)), begin)
+        size = min(WINDOW, n)
+        starts = np.arange(n - size + 1)
+        first, second = np.full(len(starts), size, np.uint64), np.full(len(starts), size, np.uint64)
         for k in range(size):
             own = h[k : k + len(starts)]
             first = common.mix64(first * np.uint64(0x9E3779B97F4A7C15) + own)
@@ -86,6 +134,17 @@ def windows(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return first, (second >> np.uint64(32)).astype(np.uint32), starts, starts + size
 
 
+def packed(values: np.ndarray, dtype: str) -> bytes:
+    """Numbers by byte planes, compressed."""
+    planes = values.astype(dtype).view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(planes)
+
+
+def unpacked(data: bytes, dtype: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).reshape(-1)
+
+
 def requests(rows: DataFrame, parts: int) -> DataFrame:
     """Per chunk and part: the first occurrences that may be later ones elsewhere, and the spans settled already."""
 
@@ -104,7 +163,7 @@ def requests(rows: DataFrame, parts: int) -> DataFrame:
         rows_, begins, ends = row[again][keep], begin[keep].astype(np.uint32), end[again][keep]
         for k in range(0, len(rows_), SETTLED):  # small pieces, so that no part gets the spans of many chunks
             own = slice(k, k + SETTLED)
-            out.append((int(common.mix64(np.array([base + k], np.uint64))[0] % np.uint64(parts)), base, b"", b"", b"", rows_[own].tobytes(), begins[own].tobytes(), ends[own].tobytes(), True))
+            out.append((int(common.mix64(np.array([base + k], np.uint64))[0] % np.uint64(parts)), base, b"", b"", b"", packed(rows_[own], "<u4"), packed(begins[own], "<u4"), packed(ends[own] - begins[own], "<u4"), True))
         first = np.flatnonzero(new)
         part = (h1[first] % np.uint64(parts)).astype(np.int64)
         first = first[np.argsort(part, kind="stable")]
@@ -113,10 +172,11 @@ def requests(rows: DataFrame, parts: int) -> DataFrame:
         for p in np.flatnonzero(sizes).tolist():
             own = first[at : at + sizes[p]]
             at += sizes[p]
-            out.append((p, base, h1[own].tobytes(), h2[own].tobytes(), doc[own].tobytes(), row[own].tobytes(), pos[own].tobytes(), end[own].tobytes(), False))
+            out.append((p, base, h1[own].tobytes(), h2[own].tobytes(), packed(doc[own], "<i8"), packed(row[own], "<u4"), packed(pos[own], "<u4"), packed(end[own] - pos[own], "<u1"), False))
         types = [pa.int32(), pa.int64(), *[pa.binary()] * 6, pa.bool_()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["part", "base", "h1", "h2", "doc", "row", "pos", "end", "settled"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["part", "base", "h1", "h2", "doc", "row", "pos", "size", "settled"])
 
+    @common.task("line_dedup")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, n, held = 0, 0, []
         for batch in common.small_batches(batches, "text"):
@@ -150,16 +210,17 @@ def by_row(rid: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Table:
 def later_spans(asked: DataFrame) -> DataFrame:
     """Spans of lines that repeat an earlier window, by row; a row may come from several parts."""
 
+    @common.group("line_dedup")
     def merge(table: pa.Table) -> pa.Table:
         columns: dict[str, list[np.ndarray]] = {k: [] for k in ("h1", "h2", "doc", "rid", "pos", "end")}
         rids, begins, ends = [], [], []
         for x in table.to_pylist():
-            rid = np.frombuffer(x["row"], np.uint32).astype(np.int64) + x["base"]
-            pos, end = np.frombuffer(x["pos"], np.uint32), np.frombuffer(x["end"], np.uint32)
+            rid, pos = unpacked(x["row"], "<u4").astype(np.int64) + x["base"], unpacked(x["pos"], "<u4")
+            end = pos + unpacked(x["size"], "<u4" if x["settled"] else "<u1")
             if x["settled"]:
                 rids.append(rid), begins.append(pos), ends.append(end)
             else:
-                for k, v in (("h1", np.frombuffer(x["h1"], np.uint64)), ("h2", np.frombuffer(x["h2"], np.uint32)), ("doc", np.frombuffer(x["doc"], np.int64)), ("rid", rid), ("pos", pos), ("end", end)):
+                for k, v in (("h1", np.frombuffer(x["h1"], np.uint64)), ("h2", np.frombuffer(x["h2"], np.uint32)), ("doc", unpacked(x["doc"], "<i8")), ("rid", rid), ("pos", pos), ("end", end)):
                     columns[k].append(v)
         if columns["h1"]:
             h1, h2, doc, rid, pos, end = (np.concatenate(v) for v in columns.values())
@@ -200,12 +261,19 @@ def dedup(docs: DataFrame) -> DataFrame:
     text = F.col(f"{row}.text").cast("string").alias("text")
     parts = max(64, -(-rows.count() // DOCS_PER_PART))
     asked = requests(rows.select(F.col(rid).alias("rid"), F.col(f"{row}.doc_id").cast("bigint").alias("doc_id"), text), parts)
-    spans = later_spans(asked).groupBy("rid").agg(F.collect_list("spans").alias("spans"))
-    joined = rows.join(spans, rows[rid] == spans["rid"], "left").select(row, "spans", text)
+    spans = common.materialise(later_spans(asked), "spans").groupBy("rid").agg(F.collect_list("spans").alias("spans"))
+    hit = common.materialise(spans.select(F.col("rid").alias(rid)), "repeats")
+    plain = [row, F.lit(None).cast("array<binary>").alias("spans"), text]
+    if hit.count() <= BROADCAST_KEYS:
+        touched = rows.join(F.broadcast(hit), rid, "left_semi")
+        joined = touched.join(spans, touched[rid] == spans["rid"]).select(row, "spans", text).union(rows.join(F.broadcast(hit), rid, "left_anti").select(*plain))
+    else:
+        joined = rows.join(spans, rows[rid] == spans["rid"], "left").select(row, "spans", text)
     schema = T.StructType([rows.schema[row], *[T.StructField(n, t) for n, t in (("kept", T.StringType()), ("n_lines", T.LongType()), ("n_removed", T.LongType()), ("words_removed", T.LongType()))]])
 
+    @common.task("line_dedup")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.small_batches(batches, "text"):
             out = [without(t, s) for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
             columns = list(zip(*out, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, (pa.string(), *[pa.int64()] * 3), strict=True)]], names=[row, "kept", "n_lines", "n_removed", "words_removed"])
