@@ -11,14 +11,17 @@ the probability of their weighted Jaccard similarity) are grouped into bands.
 Texts that share a band are candidates:
 
 1. in each band bucket every text is verified against the smallest one;
-2. verified links make classes; a bucket that still holds several classes is
-   dealt in blocks, and every two blocks meet in a task that verifies pairs
-   across classes (after a comparison of the whole signatures) and merges
-   classes as it goes, so that it returns no more links than it has texts.
+2. verified links make classes; of a bucket that still holds several, the texts
+   outside its largest class are dealt in blocks, and each block meets every
+   block of the largest class and of the others.  First only signatures meet,
+   which tell the texts that may have a partner in another class; these meet
+   again with their shingles in tasks that verify pairs across classes and merge
+   classes as they go, so that a task returns no more links than it has texts.
 
 So pairs are never rows, no candidate across classes is left out, and a bucket
-of many copies costs one comparison for each.  Verification is by exact
-weighted Jaccard similarity of the whole texts.
+of many copies costs one comparison for each and one more for each text that is
+none of them.  Verification is by exact weighted Jaccard similarity of the whole
+texts.  A text's key is the smallest id among its rows.
 
 Defined results: equal texts are one class; null texts and texts without words
 are a class each; ties between representatives go to the smallest document id
@@ -41,6 +44,7 @@ from marlstone.llm.decontamination import words
 
 SHINGLE, THRESHOLD = 5, 0.8
 SAMPLES, BANDS = 64, 16
+ROWS = SAMPLES // BANDS
 #: Entries of the tables from which a shingle's random numbers are drawn, and buckets of document frequencies.
 TABLE, DF_BITS = 4096, 18
 STRENGTH = 0.25
@@ -50,7 +54,7 @@ AGREE = 36
 BLOCK = 256
 #: Keys that may be broadcast (16 bytes each); beyond, the join shuffles.
 BROADCAST_KEYS = 2_000_000
-CACHE = 400_000
+CACHE = 200_000
 
 
 class Hashes(dict):
@@ -62,7 +66,7 @@ class Hashes(dict):
         return out
 
 
-_hashes = Hashes()
+_hashes = common.cache("near_dup", Hashes())
 
 
 def shingles(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -88,9 +92,10 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     """The damped weight of each bucket, from all documents; 2 ** DF_BITS numbers whatever the input."""
     size, block = (1 << DF_BITS) + 8192, 8192
 
+    @common.task("near_dup")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
-        for batch in batches:
+        for batch in common.small_batches(batches, "text", 2_000_000):
             for text in common.text_bytes(batch.column(0)):
                 own, _ = shingles(text)
                 if len(own):
@@ -98,7 +103,7 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
                     total[1 << DF_BITS] += 1
         yield common.emit_partial(total, block)
 
-    total = common.add_up(docs.select(F.col("text").cast("string")).mapInArrow(run, common.PARTIAL), "int64", size, block)
+    total = common.add_up(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, common.PARTIAL), "int64", size, block)
     n = max(1, int(total[1 << DF_BITS]))
     df = np.minimum(total[: 1 << DF_BITS], n)
     return (1 + STRENGTH * np.log((1 + n) / (1 + df)) / np.log(1 + n)).astype(np.float64)
@@ -142,10 +147,15 @@ def sampler() -> Sampler:
     return _sampler
 
 
+def digest(text: str) -> F.Column:
+    return F.unhex(F.md5(F.col(text).cast("string")))
+
+
 def sketched(docs: DataFrame, idf: object) -> DataFrame:
-    """Per row: id, document id, key of the text (null without words), band keys, signature; stored."""
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.unhex(F.md5(F.col("text").cast("string"))).alias("key"))
+    """Per row: id, document id, digest of the text (null without words), band keys, signature; stored."""
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), digest("text").alias("digest"))
 
+    @common.task("near_dup")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.small_batches(batches, "text", 2_000_000):
             bands: list = [None] * batch.num_rows
@@ -165,15 +175,15 @@ def sketched(docs: DataFrame, idf: object) -> DataFrame:
                 signature = sampler().signatures(own, weight, np.cumsum(lengths) - lengths)
                 key = np.zeros((BANDS, len(group)), np.uint64)
                 with np.errstate(over="ignore"):
-                    for r in range(SAMPLES // BANDS):
-                        key = common.mix64(key * np.uint64(0x9E3779B97F4A7C15) + signature[r :: SAMPLES // BANDS])
-                short = (signature >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                    for r in range(ROWS):
+                        key = common.mix64(key * np.uint64(0x9E3779B97F4A7C15) + signature[r::ROWS])
+                short = np.ascontiguousarray((signature >> np.uint64(32)).astype("<u4").T)
                 for c, n in enumerate(group):
-                    bands[n], signs[n] = key[:, c].view(np.int64), short[:, c]
-            keys = [k if s is not None else None for k, s in zip(batch.column("key").to_pylist(), signs, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(signs, pa.list_(pa.int32()))], names=["rid", "doc_id", "key", "bands", "signature"])
+                    bands[n], signs[n] = key[:, c].view(np.int64), short[c].tobytes()
+            digests = [k if s is not None else None for k, s in zip(batch.column("digest").to_pylist(), signs, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(signs, pa.binary())], names=["rid", "doc_id", "digest", "bands", "signature"])
 
-    return common.materialise(rows.mapInArrow(run, "rid bigint, doc_id bigint, key binary, bands array<bigint>, signature array<int>"), "sketches")
+    return common.materialise(rows.mapInArrow(run, "rid bigint, doc_id bigint, digest binary, bands array<bigint>, signature binary"), "sketches")
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -185,19 +195,25 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return least / (float(a[1].sum()) + float(b[1].sum()) - least) if least else 0.0
 
 
-def verified(pairs: DataFrame, docs: DataFrame, idf: object, threshold: float, label: str) -> DataFrame:
+def whole_texts(docs: DataFrame, keys: DataFrame, label: str) -> DataFrame:
+    """(``key``, ``text``) of the distinct ``keys`` (``key``, ``digest``)."""
+    wanted = common.materialise(keys, f"{label}-keys")
+    own = docs.select(digest("text").alias("digest"), F.col("text").cast("string").alias("text"))
+    return own.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted, "digest").groupBy("key").agg(F.any_value("text").alias("text"))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, idf: object, threshold: float) -> DataFrame:
     """The ``pairs`` (``a``, ``b``) of text keys whose texts have the similarity, stored."""
-    wanted = common.materialise(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), f"{label}-keys")
-    texts = docs.select(F.unhex(F.md5(F.col("text").cast("string"))).alias("key"), F.col("text").cast("string").alias("text"))
-    own = texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted, "key", "left_semi").groupBy("key").agg(F.any_value("text").alias("text"))
-    own = common.materialise(own, f"{label}-texts")
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(texts.select("key", "digest"), "key")
+    own = common.materialise(whole_texts(docs, keys, "star"), "star-texts")
     left, right = own.select(F.col("key").alias("a"), F.col("text").alias("text_a")), own.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
 
+    @common.task("near_dup")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: OrderedDict[bytes, tuple] = OrderedDict()
+        cache: OrderedDict[int, tuple] = OrderedDict()
         held = 0
 
-        def opened(key: bytes, text: str) -> tuple[np.ndarray, np.ndarray]:
+        def opened(key: int, text: str) -> tuple[np.ndarray, np.ndarray]:
             nonlocal held
             if key in cache:
                 cache.move_to_end(key)
@@ -205,69 +221,121 @@ def verified(pairs: DataFrame, docs: DataFrame, idf: object, threshold: float, l
             h, counts = shingles((text or "").encode())
             cache[key] = out = h, weights(h, counts, idf.value)
             held += len(h)
-            while held > 2_000_000 and len(cache) > 1:
+            while held > 1_000_000 and len(cache) > 1:
                 held -= len(cache.popitem(last=False)[1][0])
             return out
 
-        for batch in batches:
-            keep = [similarity(opened(a, x), opened(b, y)) >= threshold for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep, pa.bool_())), batch.column("b").filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
+        for whole in batches:
+            for batch in common.small_batches(iter([whole]), "text_b", 4_000_000):
+                keep = [similarity(opened(a, x), opened(b, y)) >= threshold for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep, pa.bool_())), batch.column("b").filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
 
-    return common.materialise(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary"), f"{label}-links")
+    links = common.materialise(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint"), "star-links")
+    common.discard(own)
+    return links
 
 
-def links_across(members: DataFrame, texts: DataFrame, docs: DataFrame, idf: object, threshold: float) -> DataFrame:
-    """Links between the classes that meet in a bucket, enough to merge them; stored.
+def dealt(members: DataFrame) -> DataFrame:
+    """``members`` (``band``, ``bucket``, ``key``, ``label``) of mixed buckets by the meetings they take part in.
 
-    ``members`` (``band``, ``bucket``, ``key``, ``label``, ``n``) of mixed buckets.  A pair counts in the first band it shares.
+    Within a bucket the largest class is side 0 and all others side 1, each in
+    blocks; meetings are (``i``, ``j``): a block of side 1 with one of side 0
+    (``j`` below zero) or with one of side 1.  Rows grow with the texts outside
+    the largest class, not with the square of the bucket.
     """
-    wanted = common.materialise(members.select("key").distinct(), "across-keys")
-    own = docs.select(F.unhex(F.md5(F.col("text").cast("string"))).alias("key"), F.col("text").cast("string").alias("text"))
-    own = own.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted, "key", "left_semi")
+    sizes = members.groupBy("band", "bucket", "label").agg(F.count("*").alias("n"))
+    top = sizes.groupBy("band", "bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("every"))
+    many = lambda n: F.ceil(n / BLOCK).cast("int")
+    own = members.join(top.select("band", "bucket", F.col("top.label").alias("most"), many(F.col("top.n")).alias("large"), many(F.col("every") - F.col("top.n")).alias("others")), ["band", "bucket"])
+    own = own.withColumn("block", F.pmod(F.xxhash64("key"), F.when(F.col("label") == F.col("most"), F.col("large")).otherwise(F.col("others"))).cast("int"))
+    until = lambda n: F.sequence(F.lit(0), n - 1)
+    met = F.when(F.col("label") == F.col("most"), F.transform(until(F.col("others")), lambda i: F.struct(i.alias("i"), (-1 - F.col("block")).alias("j"))))
+    met = met.otherwise(F.concat(F.transform(until(F.col("large")), lambda j: F.struct(F.col("block").alias("i"), (-1 - j).alias("j"))), F.transform(until(F.col("others")), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))))
+    own = own.withColumn("side", (F.col("label") != F.col("most")).cast("int"))
+    return own.select("band", "bucket", "key", "label", "side", "block", F.explode(met).alias("m")).select("band", "bucket", "m.i", "m.j", "side", "block", "key", "label")
+
+
+class Meeting:
+    """The texts of one meeting: which may be similar to which, by their signatures."""
+
+    def __init__(self, table: pa.Table):
+        table = table.combine_chunks().sort_by("key")
+        self.table = table
+        self.keys = table.column("key").to_numpy()
+        self.group = np.unique(table.column("label").to_numpy(), return_inverse=True)[1]
+        self.signs = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u4").reshape(-1, SAMPLES)
+        # texts of the same part of a meeting meet elsewhere, unless it is one block with itself
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        self.part = None if i == j else table.column("side").to_numpy() if j < 0 else table.column("block").to_numpy()
+        self.band = table.column("band")[0].as_py()
+
+    def partners(self, k: int) -> np.ndarray:
+        """Texts behind ``k`` of other classes whose signatures agree enough and that share no earlier band."""
+        rest = np.arange(k + 1, len(self.keys))
+        rest = rest[self.group[rest] != self.group[k]]
+        if self.part is not None:
+            rest = rest[self.part[rest] != self.part[k]]
+        if not len(rest):
+            return rest
+        same = self.signs[rest] == self.signs[k]
+        enough = same.sum(axis=1) >= AGREE
+        rest, same = rest[enough], same[enough]
+        shared = same.reshape(len(rest), BANDS, ROWS).all(axis=2)
+        return rest[shared.argmax(axis=1) == self.band] if len(rest) else rest
+
+
+MEMBER = "band int, bucket bigint, i int, j int, side int, block int, key bigint, label bigint, signature binary"
+
 
+def links_across(members: DataFrame, texts: DataFrame, docs: DataFrame, idf: object, threshold: float) -> DataFrame:
+    """Links between the classes that meet in a bucket, enough to merge them; stored.  A pair counts in the first band it shares."""
+
+    @common.group("near_dup")
+    def sift(table: pa.Table) -> pa.Table:
+        met = Meeting(table)
+        keep = np.zeros(len(met.keys), bool)
+        for k in range(len(met.keys)):
+            found = met.partners(k)
+            keep[found] = True
+            keep[k] |= len(found) > 0
+        return met.table.filter(pa.array(keep))
+
+    rows = dealt(members).join(texts.select("key", "signature"), "key").select(*[x.split(" ")[0] for x in MEMBER.split(", ")])
+    rows = common.materialise(rows.groupBy("band", "bucket", "i", "j").applyInArrow(sift, MEMBER), "across-members")
+    keys = rows.select("key").distinct().join(texts.select("key", "digest"), "key")
+
+    @common.task("near_dup")
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.small_batches(batches, "text", 2_000_000):
             found = [shingles(t) for t in common.text_bytes(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([h.tobytes() for h, _ in found], pa.binary()), pa.array([c.astype(np.uint32).tobytes() for _, c in found], pa.binary())], names=["key", "h", "times"])
 
-    opened = own.mapInArrow(sets, "key binary, h binary, times binary").groupBy("key").agg(F.any_value("h").alias("h"), F.any_value("times").alias("times"))
-    opened = common.materialise(opened.join(texts, "key"), "across-sets")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = members.withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("band", "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "label").join(opened, "key")
+    opened = common.materialise(whole_texts(docs, keys, "across").mapInArrow(sets, "key bigint, h binary, times binary"), "across-sets")
 
+    @common.group("near_dup")
     def link(table: pa.Table) -> pa.Table:
-        keys, block = table.column("key").to_pylist(), table.column("block").to_numpy()
-        order = np.array(sorted(range(len(keys)), key=keys.__getitem__))
-        group = np.unique(np.array([x.hex() for x in table.column("label").to_pylist()]), return_inverse=True)[1]
-        signs = np.array(table.column("signature").to_pylist(), np.int32)
-        bands = np.array(table.column("bands").to_pylist(), np.int64)
-        band, two = table.column("band")[0].as_py(), table.column("i")[0].as_py() != table.column("j")[0].as_py()
-        held: dict[int, tuple] = {}
+        met = Meeting(table)
+        group, held = met.group, {}
 
         def full(k: int) -> tuple[np.ndarray, np.ndarray]:
             if k not in held:
-                h = np.frombuffer(table.column("h")[k].as_py(), np.uint64)
-                held[k] = h, weights(h, np.frombuffer(table.column("times")[k].as_py(), np.uint32).astype(np.int64), idf.value)
+                h = np.frombuffer(met.table.column("h")[k].as_py(), np.uint64)
+                held[k] = h, weights(h, np.frombuffer(met.table.column("times")[k].as_py(), np.uint32).astype(np.int64), idf.value)
             return held[k]
 
-        out = []
-        for at, k in enumerate(order.tolist()):
-            rest = order[at + 1 :]
-            rest = rest[group[rest] != group[k]]
-            if two:
-                rest = rest[block[rest] != block[k]]
-            rest = rest[(signs[rest] == signs[k]).sum(axis=1) >= AGREE]
-            rest = rest[(bands[rest] == bands[k]).argmax(axis=1) == band] if len(rest) else rest
-            for m in rest.tolist():
+        a, b = [], []
+        for k in range(len(met.keys)):
+            for m in met.partners(k).tolist():
                 if group[m] != group[k] and similarity(full(k), full(m)) >= threshold:
-                    out.append((keys[k], keys[m]))
+                    a.append(met.keys[k])
+                    b.append(met.keys[m])
                     group[group == group[m]] = group[k]
-        a, b = zip(*out, strict=True) if out else ([], [])
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return common.materialise(rows.groupBy("band", "bucket", "i", "j").applyInArrow(link, "a binary, b binary"), "across-links")
+    links = common.materialise(rows.join(opened, "key").groupBy("band", "bucket", "i", "j").applyInArrow(link, "a bigint, b bigint"), "across-links")
+    for table in (rows, opened):
+        common.discard(table)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -279,36 +347,46 @@ def components(links: DataFrame) -> DataFrame:
     labels = common.materialise(both.groupBy(F.col("a").alias("key")).agg(F.least(F.min("b"), F.col("key")).alias("label")), "labels")
     while True:
         near = both.join(labels.select(F.col("key").alias("b"), "label"), "b").groupBy(F.col("a").alias("key")).agg(F.min("label").alias("near"))
-        pulled = labels.join(near, "key").select("key", "label", F.least("label", "near").alias("new"))
-        pulled = common.materialise(pulled, "labels")
+        pulled = common.materialise(labels.join(near, "key").select("key", "label", F.least("label", "near").alias("new")), "labels")
         jumped = pulled.join(pulled.select(F.col("key").alias("new"), F.col("new").alias("above")), "new", "left")
         jumped = common.materialise(jumped.select("key", F.least("new", "above").alias("label"), (F.least("new", "above") != F.col("label")).alias("moved")), "labels")
+        common.discard(pulled)
+        common.discard(labels)
         labels = jumped.select("key", "label")
         if jumped.filter("moved").isEmpty():
+            common.discard(both)
             return labels
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Per row of ``docs``: ``rid``, ``doc_id``, ``class`` (key of its class, null without words), stored sketches behind it."""
-    idf = docs.sparkSession.sparkContext.broadcast(inverse_frequencies(docs))
+    idf = docs.sparkSession.sparkContext.broadcast(inverse_frequencies(docs))  # 2 ** DF_BITS numbers
     rows = sketched(docs, idf)
-    texts = rows.filter("key is not null").groupBy("key").agg(F.any_value("bands").alias("bands"), F.any_value("signature").alias("signature"))
-    texts = common.materialise(texts, "texts")
+    first = common.materialise(rows.filter("digest is not null").groupBy("digest").agg(F.min("rid").alias("key")), "first")
+    texts = common.materialise(rows.join(first.select(F.col("key").alias("rid")), "rid", "left_semi").withColumnRenamed("rid", "key").drop("doc_id"), "texts")
+    named = common.materialise(rows.select("rid", "doc_id", "digest").join(first, "digest", "left").select("rid", "doc_id", "key"), "named")
+    common.discard(rows)
+    common.discard(first)
     buckets = texts.select("key", F.posexplode("bands").alias("band", "bucket"))
     stars = buckets.groupBy("band", "bucket").agg(F.min("key").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
     stars = common.materialise(stars, "stars")
-    pairs = buckets.join(stars, ["band", "bucket"]).filter("key != a").groupBy("a", F.col("key").alias("b")).agg(F.lit(True).alias("seen")).select("a", "b")
+    pairs = buckets.join(stars, ["band", "bucket"]).filter("key != a").select("a", F.col("key").alias("b")).distinct()
     pairs = common.materialise(pairs, "pairs")
-    links = verified(pairs, docs, idf, threshold, "star")
+    links = verified(pairs, texts, docs, idf, threshold)
     labels = components(links)
     # what is left: buckets with members of several classes
     members = buckets.join(stars.select("band", "bucket"), ["band", "bucket"]).join(labels, "key", "left").select("band", "bucket", "key", F.coalesce("label", "key").alias("label"))
     members = common.materialise(members, "members")
-    mixed = members.groupBy("band", "bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).filter("low <> high").select("band", "bucket", "n")
+    mixed = members.groupBy("band", "bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("band", "bucket")
     mixed = common.materialise(mixed, "mixed")
     if not mixed.isEmpty():
-        labels = components(links.union(links_across(members.join(mixed, ["band", "bucket"]), texts, docs, idf, threshold)))
-    return rows.select("rid", "doc_id", "key").join(labels, "key", "left").select("rid", "doc_id", F.coalesce("label", "key").alias("class"))
+        more = links_across(members.join(mixed, ["band", "bucket"]), texts, docs, idf, threshold)
+        common.discard(labels)
+        labels = components(links.union(more))
+    for table in (texts, stars, pairs, members, mixed):
+        common.discard(table)
+    idf.unpersist()
+    return named.join(labels, "key", "left").select("rid", "doc_id", F.coalesce("label", "key").alias("class"))
 
 
 def firsts(rows: DataFrame) -> DataFrame:
