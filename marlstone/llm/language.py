@@ -4,8 +4,12 @@ Character n-grams (1 to 3 code points of the lower-cased letters, other runs as
 one space) are hashed into a fixed number of buckets.  Document frequencies
 cover all training documents; the regression is fitted by
 follow-the-regularised-leader with an elastic-net penalty (L1 and L2) on a
-bounded hashed sample of labelled documents (``SAMPLE``), and its probabilities
-are calibrated by one temperature on a part of the sample kept aside.
+bounded sample of labelled documents (``SAMPLE``), and its probabilities are
+calibrated by one temperature on a part of the sample kept aside.  The sample
+holds every language that any training document has: even quotas, in each the
+different texts of the smallest hashes, so a rare language is learnt like a
+common one and copies of a text count once.  The model's size is that of the
+buckets times the languages.
 
 Defined results: null texts and texts without a letter give ``und`` with score
 0; with no labelled training document every text gives ``und``; ties between
@@ -129,32 +133,35 @@ class Model:
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """Documents in which each bucket occurs, and the number of documents with a letter, over all of ``docs``."""
 
+    @common.task("language")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS + 4096, np.int64)
-        for batch in batches:
+        for batch in common.small_batches(batches, "text"):
             for text in batch.column(0).to_pylist():
                 at, _ = counted(text)
                 total[at] += 1
                 total[BUCKETS] += len(at) > 0
         yield common.emit_partial(total, 4096)
 
-    out = common.add_up(docs.select(F.col("text").cast("string")).mapInArrow(run, common.PARTIAL), "int64", BUCKETS + 4096, 4096)
+    out = common.add_up(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, common.PARTIAL), "int64", BUCKETS + 4096, 4096)
     return out[:BUCKETS], int(out[BUCKETS])
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on ``docs`` (``text``, ``lang``): all of them for the statistics, a hashed sample of labelled ones for the weights."""
+    """Fit on ``docs`` (``text``, ``lang``): all of them for the statistics, a sample of labelled ones for the weights."""
     docs = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    labelled = docs.filter("lang is not null")
+    labelled = docs.filter("lang is not null").withColumn("h", F.expr("xxhash64(text, lang, 'sample')"))
     frequency, n = document_frequencies(docs)
-    share = common.fraction_of(labelled.count(), sample)
+    wanted = common.materialise(common.stratified(labelled, "lang", "h", sample), "sample")
 
+    @common.task("language")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [counted(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([a.astype(np.uint16).tobytes() for a, _ in found], pa.binary()), pa.array([np.minimum(c, 65535).astype(np.uint16).tobytes() for _, c in found], pa.binary()), batch.column(1)], names=["at", "counts", "lang"])
+        for batch in common.small_batches(batches, "text"):
+            found = [counted(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([a.astype(np.uint16).tobytes() for a, _ in found], pa.binary()), pa.array([np.minimum(c, 65535).astype(np.uint16).tobytes() for _, c in found], pa.binary()), batch.column("lang")], names=["at", "counts", "lang"])
 
-    chosen = labelled.filter(common.hashed_share(share, "text", "lang")).mapInArrow(run, "at binary, counts binary, lang string").limit(sample).toArrow()
+    texts = labelled.join(F.broadcast(wanted), ["lang", "h"]).groupBy("lang", "h").agg(F.any_value("text").alias("text"))  # ``sample`` rows at most
+    chosen = texts.select("text", "lang").mapInArrow(run, "at binary, counts binary, lang string").toArrow()
     rows = sorted(zip(*(chosen.column(c).to_pylist() for c in ("at", "counts", "lang")), strict=True))
     languages = sorted({r[2] for r in rows})
     model = Model(languages, np.log((1 + n) / (1 + frequency)) + 1)
@@ -174,8 +181,9 @@ def annotate(docs: DataFrame, model: Model, name: str = "lang_pred", score: str
     at = docs.columns.index("text")
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.StringType()), T.StructField(score, T.DoubleType())])
 
+    @common.task("language")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.small_batches(batches, at):
             names, scores = held.value.predict(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, name, score])
 

@@ -4,13 +4,15 @@ Every token has a fixed sparse ternary index vector.  A word's vector is the sum
 of the index vectors of its neighbours (two on each side) over the whole
 corpus, scaled, plus its own index vector.  Words share a fixed number of hashed
 buckets, so the table has one size at any input.  A document is the mean and
-the deviation of its words' vectors.  The network is fitted on a bounded hashed
-sample of labelled documents (``SAMPLE``); one temperature, chosen on a part of
-the sample kept aside, calibrates its probabilities.
+the deviation of its words' vectors.  The network is fitted on a bounded sample
+of labelled documents (``SAMPLE``), of both labels as evenly as there are rows,
+chosen by the smallest hashes of their ids; one temperature, chosen on a part
+of the sample kept aside, calibrates its probabilities.
 
 Defined results: null and empty texts pool to zeros and are scored like any
 other; without labelled rows of both kinds every score is the share of label 1
-(0.5 without any); labels that are null are left out; repeated rows each count.
+(0.5 without any); labels that are null are left out; a repeated row of labels
+counts once; repeated documents are scored each and one of them is learnt from.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ BLOCK = 1 << 15
 #: Bucket 0 separates documents; all-capital words and numbers share one each.
 GAP, CAPITALS, NUMBER, FIRST = 0, 1, 2, 8
 TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^\s0-9A-Za-z\x80-\xff]")
-CACHE = 400_000
+CACHE = 200_000
 
 
 class Buckets(dict):
@@ -55,7 +57,7 @@ class Buckets(dict):
         return out
 
 
-_buckets = Buckets()
+_buckets = common.cache("quality", Buckets())
 
 
 def tokens(text: bytes) -> np.ndarray:
@@ -84,6 +86,7 @@ def index_table() -> np.ndarray:
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """The table of word vectors (``BUCKETS`` x ``DIM``), from the contexts of all words of all ``docs``."""
 
+    @common.task("quality")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, signs = index_vectors()
         total = np.zeros(BUCKETS * DIM)
@@ -122,6 +125,7 @@ def pooled(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
     """``doc_id`` and the pooled vector of each document, stored."""
     held = docs.sparkSession.sparkContext.broadcast(vectors)  # BUCKETS x DIM float32: 4 MB
 
+    @common.task("quality")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
         squares = own * own
@@ -181,8 +185,9 @@ class Network:
 def train(features: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
     """Fit on the labelled rows of ``labels`` (``doc_id``, ``quality``), at most ``sample`` of them."""
     own = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("quality in (0, 1) and doc_id is not null")
-    share = common.fraction_of(own.count(), sample)
-    rows = features.join(own.filter(common.hashed_share(share, "doc_id")), "doc_id").select("doc_id", "x", "quality").limit(sample).toArrow()
+    own = own.withColumn("h", F.expr("xxhash64(doc_id, 'sample')"))
+    wanted = common.materialise(own.join(common.stratified(own, "quality", "h", sample), ["quality", "h"], "left_semi").select("doc_id", "quality").distinct(), "sample")
+    rows = features.join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "quality").agg(F.min("x").alias("x")).select("doc_id", "x", "quality").toArrow()  # ``sample`` rows
     data = sorted(zip(*(rows.column(c).to_pylist() for c in ("doc_id", "x", "quality")), strict=True))
     x = np.array([np.frombuffer(r[1], np.float32) for r in data]).reshape(len(data), 2 * DIM)
     return Network(x.astype(float), np.array([r[2] for r in data], int))
