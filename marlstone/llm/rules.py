@@ -3,18 +3,20 @@
 Base figures of a text: words, their characters, symbols, repeated lines, words
 inside repeated three-word windows.  On top of them, lines (lower-cased, single
 spaces) are hashed and the distinct documents of each line are counted per
-host; a line in more than ``MIN_DOCS`` documents and more than ``SHARE`` of its
-host's documents is removed, and a document that keeps less than ``KEEP`` of
+host; a line in more than ``MIN_DOCS`` of them is removed, and on a small host
+one in more than ``SHARE`` of its documents and more than ``FEW`` of them.  The
+bar does not rise with the host.  A document that keeps less than ``KEEP`` of
 its words is rejected, as is one that fails the base rules.
 
 The text is read once; figures and line hashes are stored, so the counting
-joins move hashes and never texts.  Counts per (host, line) are combined before
-the shuffle, so a line of a third of all documents reaches the counting task
-once per scanning task.
+joins move hashes and never texts.  Rows are first made distinct by host, line
+and document, which spreads a hot line over all tasks, and the counts per (host,
+line) are combined before the shuffle, so a line of a third of all documents
+reaches its counting task once per task before.
 
 Defined results: null and empty texts have no words and fail; a null host is
-the host without a name; a line counts once per row, so repeated rows count
-each; lines without a word never count.
+the host without a name; rows of one document id count as one document, and so
+do all rows without an id; lines without a word never count.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from marlstone.llm import common
 
 MIN_WORDS, REPEATED_PERCENT = 50, 50
-MIN_DOCS, SHARE, KEEP = 20, 0.10, 0.5
+MIN_DOCS, FEW, SHARE, KEEP = 20, 4, 0.10, 0.5
 SPACE = r"\x20\x09-\x0D"
 SYMBOLS = "#*$%&|<>"
 
@@ -66,11 +68,12 @@ def figures(docs: DataFrame, host: str = "source") -> DataFrame:
     return common.materialise(t, "figures")
 
 
-def frequent_lines(rows: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
+def frequent_lines(rows: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, few: int = FEW) -> DataFrame:
     """(``host``, ``k``) of the lines above the limits."""
-    counts = rows.select("host", F.explode(F.array_distinct(F.transform("keys", lambda x: x["k"]))).alias("k")).groupBy("host", "k").agg(F.count("*").alias("n"))
-    hosts = rows.groupBy("host").agg(F.count("*").alias("docs"))
-    return counts.filter(F.col("n") > min_docs).join(hosts, "host").filter(F.col("n") > share * F.col("docs")).select("host", "k")
+    each = rows.select("host", "doc_id", F.explode(F.array_distinct(F.transform("keys", lambda x: x["k"]))).alias("k")).distinct()
+    counts = each.groupBy("host", "k").agg(F.count("*").alias("n")).filter(F.col("n") > min(few, min_docs))
+    hosts = rows.select("host", "doc_id").distinct().groupBy("host").agg(F.count("*").alias("docs"))
+    return counts.join(hosts, "host").filter((F.col("n") > min_docs) | (F.col("n") > share * F.col("docs"))).select("host", "k")
 
 
 def verdicts(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, keep: float = KEEP) -> DataFrame:
@@ -106,11 +109,11 @@ tri as (select rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] as g
         from (select rid, ws, unnest(range(1, len(ws) - 1)) as i from w)),
 dup as (select rid, i from tri where (rid, g) in (select (rid, g) from tri group by rid, g having count(*) > 1)),
 rep as (select rid, count(distinct i + o) as n from dup, (values (0), (1), (2)) as x(o) group by rid),
-ln as (select rid, host, lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))) as k,
+ln as (select rid, doc_id, host, lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))) as k,
         len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) as c
-        from (select rid, host, unnest(lines) as x from w)),
-often as (select host, k from ln join (select host, count(*) as docs from w group by host) using (host)
-        group by host, k, docs having count(distinct rid) > 20 and count(distinct rid) > 0.1 * docs),
+        from (select rid, doc_id, host, unnest(lines) as x from w)),
+often as (select host, k from (select host, k, count(*) as n from (select distinct host, k, doc_id from ln) group by host, k)
+        join (select host, count(*) as docs from (select distinct host, doc_id from w) group by host) using (host) where n > 4 and (n > 20 or n > 0.1 * docs)),
 gone as (select rid, sum(c) as n from ln semi join often using (host, k) group by rid),
 b as (select doc_id, len(ws)::bigint as n_words,
         length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::bigint as word_chars,
