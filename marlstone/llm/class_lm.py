@@ -93,6 +93,7 @@ def chunked(docs: DataFrame, held: F.Column, size: int = CHUNK) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held"))
     types = {"chunk": pa.int64(), "docs": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "lengths": pa.binary(), "ids": pa.binary(), "n": pa.int64(), "sizes": pa.binary(), "words": pa.list_(pa.binary()), "counts": pa.binary()}
 
+    @common.task("class_lm")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -139,6 +140,7 @@ def part_cuts(sizes: bytes, parts: int) -> np.ndarray:
 def word_rows(chunks: DataFrame, parts: int) -> DataFrame:
     """Each chunk's words and their training counts, by part."""
 
+    @common.task("class_lm")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, sizes, words, counts in zip(*(batch.column(k) for k in range(4)), strict=True):
@@ -159,7 +161,7 @@ class Counts:
     def __init__(self, chunks: DataFrame):
         entries, ends = chunks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.sum(F.expr("size(filter(held, x -> not x))"))).first()
         self.n_parts = min(BUCKETS, max(64, -(-entries // PER_PART)))
-        self.parts = common.materialise(word_rows(chunks, self.n_parts).groupBy("part").applyInArrow(count_words, PARTS), "parts")
+        self.parts = common.materialise(word_rows(chunks, self.n_parts).groupBy("part").applyInArrow(common.group("class_lm")(count_words), PARTS), "parts")
         n, v = self.parts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
         self.ends = ends or 0
         self.n, self.v = n + self.ends, v + (self.ends > 0)
@@ -184,6 +186,7 @@ class Counts:
         """The parts with the class of each word before the first pass; ``kind`` has the class of each symbol."""
         of = self.symbol_of()
 
+        @common.task("class_lm")
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 kinds = [squeeze(kind[of(part, expand(c, "<u8").astype(np.int64))], "u1") for part, c in zip(batch.column("part").to_pylist(), batch.column("c").to_pylist(), strict=True)]
@@ -195,9 +198,10 @@ class Counts:
         """(``chunk``, ``part``, ``c``, ``symbols``) of every chunk's words in their order; unseen words have count 0."""
         of = self.symbol_of()
 
+        @common.task("class_lm")
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for row in batch.to_pylist():
+                for row in common.each_row(batch):
                     c, codes = expand(row["c"], "<u8").astype(np.int64), expand(row["codes"])
                     symbol = of(row["part"], c)
                     cuts = np.concatenate([[0], np.cumsum(expand(row["sizes"]), dtype=np.int64)]).tolist()
@@ -229,6 +233,7 @@ def coded(chunks: DataFrame, back: DataFrame, columns: dict[str, str]) -> DataFr
     """Stored chunks with the packed ``columns`` that come back from the parts."""
     names = [f.split()[0] for f in CODED.split(", ")]
 
+    @common.group("class_lm")
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("part")
         for name, dtype in columns.items():
@@ -248,12 +253,14 @@ class Chunk:
     def __init__(self, row: dict, ends: int):
         self.docs, self.held = row["docs"], np.array(row["held"], bool)
         lengths = np.frombuffer(row["lengths"], np.int64)
-        ids = expand(row["ids"]).astype(np.int64)
+        ids = expand(row["ids"])
         self.lengths = lengths + 1
         self.stops = np.cumsum(self.lengths)
-        self.places = np.arange(len(ids)) + np.repeat(np.arange(len(lengths)), lengths)
-        self.words = np.full(len(ids) + len(lengths), -1, np.int64)
-        self.words[self.places] = ids
+        self.words = np.full(len(ids) + len(lengths), -1, np.int32)
+        stands = np.ones(len(self.words), bool)
+        stands[self.stops - 1] = False
+        self.words[stands] = ids
+        del ids
         self.c = self.tokens(expand(row["c"], "<u8").astype(np.int64), ends)
         self.symbols = self.tokens(expand(row["symbols"]).astype(np.int64), END)
         self.train = np.repeat(~self.held, self.lengths)
@@ -261,8 +268,9 @@ class Chunk:
     def tokens(self, values: np.ndarray, end: int) -> np.ndarray:
         """A figure of each word, by token."""
         out = np.full(len(self.words), end, np.int64)
-        if len(self.places):
-            out[self.places] = values[self.words[self.places]]
+        stands = self.words >= 0
+        if stands.any():
+            out[stands] = values[self.words[stands]]
         return out
 
     def sums(self, values: np.ndarray) -> np.ndarray:
@@ -283,10 +291,11 @@ def bigrams(table: DataFrame, ends: int, kind: np.ndarray | None = None) -> np.n
     """Bigrams of all training texts: of symbols, or of states where ``kind`` has the class of each symbol; a constant size."""
     size = SYMBOLS if kind is None else STATES
 
+    @common.task("class_lm")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size * size, np.int64)
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in common.each_row(batch):
                 chunk = Chunk(row, ends)
                 own = chunk.symbols if kind is None else states(kind[chunk.symbols], chunk.c)
                 total += np.bincount((before(own, size - 1) * size + own)[chunk.train], minlength=len(total))
@@ -298,11 +307,12 @@ def bigrams(table: DataFrame, ends: int, kind: np.ndarray | None = None) -> np.n
 def neighbours(table: DataFrame, ends: int, parts: int, kind: np.ndarray) -> DataFrame:
     """How often each class is beside each word in the training texts, by part; ``kind`` has the class of each symbol."""
 
+    @common.task("class_lm")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in common.each_row(batch):
                 chunk, cuts = Chunk(row, ends), part_cuts(row["sizes"], parts)
-                word, own = chunk.words, kind[chunk.symbols]
+                word, own = chunk.words.astype(np.int64), kind[chunk.symbols]
                 last, left = before(word, -1), before(own, EVERY - 1)
                 follows, stands = chunk.train & (last >= 0), chunk.train & (word >= 0)
                 keys = np.concatenate([(last * WIDTH + own)[follows], (word * WIDTH + EVERY + left)[stands], (word * WIDTH + 2 * EVERY)[stands & (word == last)]])
@@ -359,6 +369,7 @@ def moved(parts: DataFrame, asked: DataFrame, table: np.ndarray) -> DataFrame:
     """(``chunk``, ``part``, ``symbols``): the classes of every chunk's words after a pass, each word moved while the others stay; ``parts`` has
     the classes before, and one row of each part has all the new ones (``kinds``)."""
 
+    @common.group("class_lm")
     def move(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
         chunks, codes, kinds = np.frombuffer(row["chunks"], np.int64), expand(row["codes"]).astype(np.int64), expand(row["kinds"], "u1").astype(np.int64)
@@ -455,13 +466,6 @@ def likelihood(table: np.ndarray) -> float:
     return float(xlogx(table).sum() - xlogx(table.sum(axis=0)).sum() - xlogx(table.sum(axis=1)).sum())
 
 
-def discard(table: DataFrame) -> None:
-    """Delete a stored table that nothing reads any more."""
-    path = table.sparkSession._jvm.org.apache.hadoop.fs.Path
-    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-        path(folder).getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path(folder), True)
-
-
 def placed(table: DataFrame, counts: Counts, passes: int = PASSES) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """The coded chunks with the words' last classes as symbols, the class of each symbol, and the state bigrams."""
     pairs = bigrams(table, counts.ends)
@@ -472,9 +476,9 @@ def placed(table: DataFrame, counts: Counts, passes: int = PASSES) -> tuple[Data
         new = coded(table, words, {"symbols": "<u4"})
         after = bigrams(new, counts.ends, PLACED)
         if likelihood(folded(after, FOLD)) <= likelihood(now):
-            discard(new)
+            common.discard(new)
             break
-        discard(table)
+        common.discard(table)
         table, kind, found, now = new, PLACED, after, folded(after, FOLD)
         state = counts.parts.select("part", "chunks", "sizes", "codes").join(words.filter("kinds is not null").select("part", "kinds"), "part")
     return table, kind, bigrams(table, counts.ends, kind) if found is None else found
@@ -510,14 +514,15 @@ def score(docs: DataFrame, held: F.Column | None = None, chunk: int = CHUNK, pas
     chunks = chunked(docs, held, chunk)
     counts = Counts(chunks)
     table = coded(chunks, counts.symbols(), {"c": "<u8", "symbols": "<u4"})
-    discard(chunks)
+    common.discard(chunks)
     ends, n, v = counts.ends, counts.n, counts.v
     table, kind, pairs = placed(table, counts, passes)
     model = docs.sparkSession.sparkContext.broadcast(Model(pairs, kind))  # classes squared and symbols: a constant
 
+    @common.task("class_lm")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in common.each_row(batch):
                 own = Chunk(row, ends)
                 base = np.log10((own.c + 1) / (n + v + 1))
                 columns = [own.docs, own.held, own.lengths, own.sums((own.c > 0).astype(np.int64)), np.full(len(own.docs), n, np.int64), own.sums(base), own.sums(model.value.scores(own)) if n else np.zeros(len(own.docs))]
