@@ -93,7 +93,8 @@ def chosen_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     known = base.select("tree", F.col("id").alias("up"))
     parents = base.filter("parent is not null").select("tree", "id", F.col("parent").alias("up")).join(known, ["tree", "up"])
     step = base.join(parents, ["tree", "id"], "left").select("tree", "id", "up", F.lit(1).alias("depth"), F.col("score").alias("total"))
-    step = common.materialise(step, "replies")
+    parts = common.files_for(messages.count(), 48)
+    step = common.materialise(step, "replies", parts=parts)
     done, active, steps = step.filter("up is null"), step.filter("up is not null"), []
     reach, count = 1, None
     while not active.isEmpty():
@@ -104,17 +105,17 @@ def chosen_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
         # only messages that still point upwards move on; they look up what the message they point at knows
         above = done.unionByName(active).select("tree", F.col("id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("total").alias("gain"))
         moved = active.join(above, ["tree", "up"]).select("tree", "id", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("total") + F.col("gain")).alias("total"))
-        moved = common.materialise(moved, "replies")
+        moved = common.materialise(moved, "replies", parts=parts)
         done, active = done.unionByName(moved.filter("up is null")), moved.filter("up is not null")
         reach *= 2
     whole = done
     leaves = whole.join(parents.select("tree", F.col("up").alias("id")).distinct(), ["tree", "id"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy((F.col("total") / F.col("depth")).desc(), F.col("depth").desc(), "id"))
     marked = leaves.withColumn("path", rank).filter(F.col("path") <= branches).select("tree", "path", "id")
-    marked = common.materialise(marked, "marked")
+    marked = common.materialise(marked, "marked", parts=parts)
     for step in reversed(steps):
         above = marked.join(step, ["tree", "id"]).select("tree", "path", F.col("up").alias("id"))
-        marked = common.materialise(marked.union(above).distinct(), "marked")
+        marked = common.materialise(marked.union(above).distinct(), "marked", parts=parts)
     return marked.join(whole.select("tree", "id", "depth"), ["tree", "id"]).select("tree", "path", "id", "depth")
 
 

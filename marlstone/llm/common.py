@@ -1,17 +1,13 @@
 """Helpers shared by the training-data operators.
 
-Intermediate results are cut with :func:`materialise`, which writes Parquet to
-the folder named in ``spark.checkpoint.dir`` (shared by driver and executors),
-so that a lost executor never forces the whole lineage to be computed again.
+Intermediate results are cut with :func:`marlstone.store.materialise`.
 """
 
 from __future__ import annotations
 
 import ctypes
 import functools
-import tempfile
 import time
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -21,48 +17,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.session import ship
+from marlstone.store import clear, discard, files_for, materialise, own_dir, shared_dir
 
 #: Prefix of every internal column; user columns never start with it.
 P = "__m_"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset, a temporary one in local mode (tests) and an error on a cluster."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="marlstone-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def own_dir(spark: SparkSession) -> str:
-    """Where this application's intermediate results are."""
-    return f"{shared_dir(spark)}/marlstone/{spark.sparkContext.applicationId}"
-
-
-def clear(spark: SparkSession) -> None:
-    """Delete all intermediate results of this application; results that still read them must be written before."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def materialise(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back."""
-    spark = ship(df.sparkSession)
-    path = f"{own_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(table: DataFrame) -> None:
-    """Delete a stored table that nothing reads any more."""
-    path = table.sparkSession._jvm.org.apache.hadoop.fs.Path
-    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-        path(folder).getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path(folder), True)
-
-
 #: What the modules keep from task to task in a Python worker, and the module whose tasks ran last.
 _caches: dict[str, list[dict]] = {}
 _last = {"owner": "", "trimmed": 0.0}
@@ -272,3 +232,6 @@ def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 
     grid = np.exp(np.linspace(np.log(0.05), np.log(20), 121))
     return float(min(grid, key=loss))
+
+
+__all__ = ["clear", "discard", "files_for", "materialise", "own_dir", "shared_dir"]

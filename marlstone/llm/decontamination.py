@@ -364,7 +364,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, s
         first, second = next(turns, []), next(turns, None)
         found = search(index, first, near) if second is None else search_in_turns(index, itertools.chain([first, second], turns), near)
         hit = hit.union(found.filter("contaminated").select("id"))
-    hit = common.materialise(hit.distinct(), "contaminated")
+    hit = common.materialise(hit.distinct(), "contaminated", parts=common.files_for(rows.count(), 8))
     common.discard(index)
     return rows.join(hit, rid, "left_anti").select(f"{common.P}row.*")
 

@@ -152,7 +152,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     docs = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     labelled = docs.filter("lang is not null").withColumn("h", F.expr("xxhash64(text, lang, 'sample')"))
     frequency, n = document_frequencies(docs)
-    wanted = common.materialise(common.stratified(labelled, "lang", "h", sample), "sample")
+    wanted = common.materialise(common.stratified(labelled, "lang", "h", sample), "sample", parts=common.files_for(sample, 32))
 
     @common.task("language")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

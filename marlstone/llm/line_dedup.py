@@ -259,10 +259,11 @@ def dedup(docs: DataFrame) -> DataFrame:
     rid, row = common.P + "rid", common.P + "row"
     rows = common.with_row_id(docs, "lines")
     text = F.col(f"{row}.text").cast("string").alias("text")
-    parts = max(64, -(-rows.count() // DOCS_PER_PART))
+    n = rows.count()
+    parts = max(64, -(-n // DOCS_PER_PART))
     asked = requests(rows.select(F.col(rid).alias("rid"), F.col(f"{row}.doc_id").cast("bigint").alias("doc_id"), text), parts)
-    spans = common.materialise(later_spans(asked), "spans").groupBy("rid").agg(F.collect_list("spans").alias("spans"))
-    hit = common.materialise(spans.select(F.col("rid").alias(rid)), "repeats")
+    spans = common.materialise(later_spans(asked), "spans", parts=common.files_for(n, 256)).groupBy("rid").agg(F.collect_list("spans").alias("spans"))
+    hit = common.materialise(spans.select(F.col("rid").alias(rid)), "repeats", parts=common.files_for(n, 8))
     plain = [row, F.lit(None).cast("array<binary>").alias("spans"), text]
     if hit.count() <= BROADCAST_KEYS:
         touched = rows.join(F.broadcast(hit), rid, "left_semi")

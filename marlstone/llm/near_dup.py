@@ -195,17 +195,17 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return least / (float(a[1].sum()) + float(b[1].sum()) - least) if least else 0.0
 
 
-def whole_texts(docs: DataFrame, keys: DataFrame, label: str) -> DataFrame:
+def whole_texts(docs: DataFrame, keys: DataFrame, label: str, parts: int) -> DataFrame:
     """(``key``, ``text``) of the distinct ``keys`` (``key``, ``digest``)."""
-    wanted = common.materialise(keys, f"{label}-keys")
+    wanted = common.materialise(keys, f"{label}-keys", parts=parts)
     own = docs.select(digest("text").alias("digest"), F.col("text").cast("string").alias("text"))
     return own.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted, "digest").groupBy("key").agg(F.any_value("text").alias("text"))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, idf: object, threshold: float) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, idf: object, threshold: float, parts: int) -> DataFrame:
     """The ``pairs`` (``a``, ``b``) of text keys whose texts have the similarity, stored."""
     keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(texts.select("key", "digest"), "key")
-    own = common.materialise(whole_texts(docs, keys, "star"), "star-texts")
+    own = common.materialise(whole_texts(docs, keys, "star", parts), "star-texts")
     left, right = own.select(F.col("key").alias("a"), F.col("text").alias("text_a")), own.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
 
     @common.task("near_dup")
@@ -287,7 +287,7 @@ class Meeting:
 MEMBER = "band int, bucket bigint, i int, j int, side int, block int, key bigint, label bigint, signature binary"
 
 
-def links_across(members: DataFrame, texts: DataFrame, docs: DataFrame, idf: object, threshold: float) -> DataFrame:
+def links_across(members: DataFrame, texts: DataFrame, docs: DataFrame, idf: object, threshold: float, parts: int) -> DataFrame:
     """Links between the classes that meet in a bucket, enough to merge them; stored.  A pair counts in the first band it shares."""
 
     @common.group("near_dup")
@@ -310,7 +310,7 @@ def links_across(members: DataFrame, texts: DataFrame, docs: DataFrame, idf: obj
             found = [shingles(t) for t in common.text_bytes(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([h.tobytes() for h, _ in found], pa.binary()), pa.array([c.astype(np.uint32).tobytes() for _, c in found], pa.binary())], names=["key", "h", "times"])
 
-    opened = common.materialise(whole_texts(docs, keys, "across").mapInArrow(sets, "key bigint, h binary, times binary"), "across-sets")
+    opened = common.materialise(whole_texts(docs, keys, "across", parts).mapInArrow(sets, "key bigint, h binary, times binary"), "across-sets")
 
     @common.group("near_dup")
     def link(table: pa.Table) -> pa.Table:
@@ -343,13 +343,14 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round takes the smallest label around and then the label of the label, so that chains halve.
     """
-    both = common.materialise(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    labels = common.materialise(both.groupBy(F.col("a").alias("key")).agg(F.least(F.min("b"), F.col("key")).alias("label")), "labels")
+    parts = common.files_for(2 * links.count(), 24)
+    both = common.materialise(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges", parts=parts)
+    labels = common.materialise(both.groupBy(F.col("a").alias("key")).agg(F.least(F.min("b"), F.col("key")).alias("label")), "labels", parts=parts)
     while True:
         near = both.join(labels.select(F.col("key").alias("b"), "label"), "b").groupBy(F.col("a").alias("key")).agg(F.min("label").alias("near"))
-        pulled = common.materialise(labels.join(near, "key").select("key", "label", F.least("label", "near").alias("new")), "labels")
+        pulled = common.materialise(labels.join(near, "key").select("key", "label", F.least("label", "near").alias("new")), "labels", parts=parts)
         jumped = pulled.join(pulled.select(F.col("key").alias("new"), F.col("new").alias("above")), "new", "left")
-        jumped = common.materialise(jumped.select("key", F.least("new", "above").alias("label"), (F.least("new", "above") != F.col("label")).alias("moved")), "labels")
+        jumped = common.materialise(jumped.select("key", F.least("new", "above").alias("label"), (F.least("new", "above") != F.col("label")).alias("moved")), "labels", parts=parts)
         common.discard(pulled)
         common.discard(labels)
         labels = jumped.select("key", "label")
@@ -359,45 +360,50 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Per row of ``docs``: ``rid``, ``doc_id``, ``class`` (key of its class, null without words), stored sketches behind it."""
+    """Per row of ``docs``: ``rid``, ``doc_id``, ``class`` (key of its class, null without words); stored."""
     idf = docs.sparkSession.sparkContext.broadcast(inverse_frequencies(docs))  # 2 ** DF_BITS numbers
     rows = sketched(docs, idf)
-    first = common.materialise(rows.filter("digest is not null").groupBy("digest").agg(F.min("rid").alias("key")), "first")
-    texts = common.materialise(rows.join(first.select(F.col("key").alias("rid")), "rid", "left_semi").withColumnRenamed("rid", "key").drop("doc_id"), "texts")
-    named = common.materialise(rows.select("rid", "doc_id", "digest").join(first, "digest", "left").select("rid", "doc_id", "key"), "named")
+    n = rows.count()
+    parts, wide = common.files_for(n, 32), common.files_for(n, BANDS * 32)  # rows by text, and by text and band
+    first = common.materialise(rows.filter("digest is not null").groupBy("digest").agg(F.min("rid").alias("key")), "first", parts=parts)
+    texts = common.materialise(rows.join(first.select(F.col("key").alias("rid")), "rid", "left_semi").withColumnRenamed("rid", "key").drop("doc_id"), "texts", parts=wide)
+    named = common.materialise(rows.select("rid", "doc_id", "digest").join(first, "digest", "left").select("rid", "doc_id", "key"), "named", parts=parts)
     common.discard(rows)
     common.discard(first)
     buckets = texts.select("key", F.posexplode("bands").alias("band", "bucket"))
     stars = buckets.groupBy("band", "bucket").agg(F.min("key").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    stars = common.materialise(stars, "stars")
+    stars = common.materialise(stars, "stars", parts=wide)
     pairs = buckets.join(stars, ["band", "bucket"]).filter("key != a").select("a", F.col("key").alias("b")).distinct()
-    pairs = common.materialise(pairs, "pairs")
-    links = verified(pairs, texts, docs, idf, threshold)
+    pairs = common.materialise(pairs, "pairs", parts=wide)
+    links = verified(pairs, texts, docs, idf, threshold, parts)
     labels = components(links)
     # what is left: buckets with members of several classes
     members = buckets.join(stars.select("band", "bucket"), ["band", "bucket"]).join(labels, "key", "left").select("band", "bucket", "key", F.coalesce("label", "key").alias("label"))
-    members = common.materialise(members, "members")
+    members = common.materialise(members, "members", parts=wide)
     mixed = members.groupBy("band", "bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("band", "bucket")
-    mixed = common.materialise(mixed, "mixed")
+    mixed = common.materialise(mixed, "mixed", parts=wide)
     if not mixed.isEmpty():
-        more = links_across(members.join(mixed, ["band", "bucket"]), texts, docs, idf, threshold)
+        more = links_across(members.join(mixed, ["band", "bucket"]), texts, docs, idf, threshold, parts)
         common.discard(labels)
         labels = components(links.union(more))
     for table in (texts, stars, pairs, members, mixed):
         common.discard(table)
     idf.unpersist()
-    return named.join(labels, "key", "left").select("rid", "doc_id", F.coalesce("label", "key").alias("class"))
+    out = common.materialise(named.join(labels, "key", "left").select("rid", "doc_id", F.coalesce("label", "key").alias("class")), "classes", parts=parts)
+    for table in (named, labels):
+        common.discard(table)
+    return out
 
 
 def firsts(rows: DataFrame) -> DataFrame:
     """Of every class its first row and its size."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
-    return common.materialise(rows.filter("class is not null").groupBy("class").agg(F.min(order).alias("first"), F.count("*").alias("n")), "firsts")
+    return common.materialise(rows.filter("class is not null").groupBy("class").agg(F.min(order).alias("first"), F.count("*").alias("n")), "firsts", parts=common.files_for(rows.count(), 40))
 
 
 def report(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Per document: ``doc_id``, ``class_id`` (smallest document id of its class), ``class_size``, ``kept`` (the class's first row)."""
-    rows = common.materialise(classes(docs, threshold), "classes")
+    rows = classes(docs, threshold)
     joined = rows.join(firsts(rows), "class", "left")
     return joined.select("doc_id", F.coalesce("first.doc_id", "doc_id").alias("class_id"), F.coalesce("n", F.lit(1)).cast("bigint").alias("class_size"), F.coalesce(F.col("first.rid") == F.col("rid"), F.lit(True)).alias("kept"))
 
@@ -406,10 +412,11 @@ def drop_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one row of each class; rows without words and all columns stay."""
     own, row = common.P + "rid", common.P + "row"
     stored = common.with_row_id(docs, "copies")
-    rows = common.materialise(classes(stored.select(F.col(own).alias("doc_id"), F.col(f"{row}.text").alias("text")), threshold), "classes")
+    rows = classes(stored.select(F.col(own).alias("doc_id"), F.col(f"{row}.text").alias("text")), threshold)
+    parts = common.files_for(rows.count(), 32)
     # the row id stands in for the document id; the first row of a class is chosen by the documents' own ids
     ids = stored.select(F.col(own).alias("own"), F.col(f"{row}.doc_id").cast("bigint").alias("doc_id"))
     both = rows.select(F.col("doc_id").alias("own"), "class").join(ids, "own").select("doc_id", F.col("own").alias("rid"), "class")
-    both = common.materialise(both, "members")
+    both = common.materialise(both, "members", parts=parts)
     gone = both.join(firsts(both), "class").filter("first.rid != rid").select(F.col("rid").alias(own))
-    return stored.join(common.materialise(gone, "gone"), own, "left_anti").select(f"{row}.*")
+    return stored.join(common.materialise(gone, "gone", parts=parts), own, "left_anti").select(f"{row}.*")

@@ -186,7 +186,7 @@ def train(features: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Netwo
     """Fit on the labelled rows of ``labels`` (``doc_id``, ``quality``), at most ``sample`` of them."""
     own = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("quality in (0, 1) and doc_id is not null")
     own = own.withColumn("h", F.expr("xxhash64(doc_id, 'sample')"))
-    wanted = common.materialise(own.join(common.stratified(own, "quality", "h", sample), ["quality", "h"], "left_semi").select("doc_id", "quality").distinct(), "sample")
+    wanted = common.materialise(own.join(common.stratified(own, "quality", "h", sample), ["quality", "h"], "left_semi").select("doc_id", "quality").distinct(), "sample", parts=common.files_for(sample, 32))
     rows = features.join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "quality").agg(F.min("x").alias("x")).select("doc_id", "x", "quality").toArrow()  # ``sample`` rows
     data = sorted(zip(*(rows.column(c).to_pylist() for c in ("doc_id", "x", "quality")), strict=True))
     x = np.array([np.frombuffer(r[1], np.float32) for r in data]).reshape(len(data), 2 * DIM)

@@ -79,7 +79,7 @@ def frequent_lines(rows: DataFrame, min_docs: int = MIN_DOCS, share: float = SHA
 def verdicts(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, keep: float = KEEP) -> DataFrame:
     """Per document: the base figures, ``base_failed``, ``kept``, and the words in removed lines (``n_line_words_removed``)."""
     rows = figures(docs, host)
-    often = common.materialise(frequent_lines(rows, min_docs, share), "frequent")
+    often = common.materialise(frequent_lines(rows, min_docs, share), "frequent", parts=common.files_for(rows.count(), 16))
     gone = rows.select("rid", "host", F.explode("keys").alias("x")).select("rid", "host", F.col("x.k").alias("k"), F.col("x.w").alias("w")).join(often, ["host", "k"]).groupBy("rid").agg(F.sum("w").alias("gone"))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))
     out = rows.drop("keys", "host").join(gone, "rid", "left").withColumn("gone", F.coalesce("gone", F.lit(0)))
@@ -92,7 +92,7 @@ def without_frequent_lines(docs: DataFrame, host: str = "source", min_docs: int
     stored = common.with_row_id(docs, "rules")
     plain = stored.select(F.col(rid).alias("doc_id"), F.col(f"{row}.{host}").alias("source"), F.col(f"{row}.text").alias("text"))
     rows = figures(plain)
-    often = common.materialise(frequent_lines(rows, min_docs, share), "frequent")
+    often = common.materialise(frequent_lines(rows, min_docs, share), "frequent", parts=common.files_for(rows.count(), 16))
     gone = rows.select("doc_id", "host", F.explode(F.array_distinct(F.transform("keys", lambda x: x["k"]))).alias("k")).join(often, ["host", "k"]).groupBy(F.col("doc_id").alias(rid)).agg(F.collect_set("k").alias("gone"))
     joined = stored.join(gone, rid, "left")
     kept = F.array_join(F.filter(F.split(F.col(f"{row}.text"), "\n", -1), lambda x: ~(x.rlike(f"[^{SPACE}]") & F.array_contains("gone", F.xxhash64(normal(x))))), "\n")
