@@ -30,7 +30,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,6 +50,13 @@ BROADCAST_KEYS = 2_000_000
 MARK = "\U0010ffff"
 WIDE_ENDS = "\u3002\uff01\uff1f"
 WORD = re.compile(r"\S+")
+#: White space and line ends of ASCII by byte; other white space; base of word hashes.
+SPACE, END = (np.isin(np.arange(256), x) for x in ([9, 10, 11, 12, 13, 28, 29, 30, 31, 32], [33, 46, 63]))
+WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+BASE = np.uint64(0x9E3779B97F4A7C55)
+#: Bytes of text whose windows are made at once.
+AT_ONCE = 1_000_000
+_powers: tuple[np.ndarray, np.ndarray] = (np.empty(0, np.uint64), np.empty(0, np.uint64))
 
 REQUESTS = "part int, base bigint, h1 binary, h2 binary, doc binary, row binary, pos binary, size binary, settled boolean"
 SPANS = "rid bigint, spans binary"
@@ -71,30 +77,88 @@ def pieces(text: str) -> list[str]:
     return text.split(MARK)
 
 
-def line_ends(split: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of natural lines, each with a word, and the number of words before each line's end."""
-    sizes = np.array([len(w) for w in split], np.int64)
-    words = [x for w in split for x in w]
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    ends = np.cumsum(sizes)
+def plain(text: str) -> bytes:
+    """The lower-cased text in which every white space is ASCII, of the same width, as words and natural ends need it."""
+    low = text.lower()
+    return (low if low.isascii() else WIDE_SPACE.sub(lambda m: " " * len(m[0].encode()), low)).encode("utf-8", "surrogatepass")
+
+
+class Widths(dict):
+    """Whether the lower case of a character has another width."""
+
+    def __missing__(self, c: str) -> bool:
+        out = self[c] = len(c.lower().encode("utf-8", "surrogatepass")) != len(c.encode("utf-8", "surrogatepass"))
+        return out
+
+
+_widths = common.cache("line_dedup", Widths())
+
+
+def aligned(text: str) -> bool:
+    """Whether places in :func:`plain` are places in the text's own bytes."""
+    return text.isascii() or not any(map(_widths.__getitem__, set(text)))
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the base of word hashes and of its inverse, modulo 2 ** 64."""
+    global _powers
+    if len(_powers[0]) < n:
+        size = max(n, 1 << 16)
+        with np.errstate(over="ignore"):
+            _powers = tuple(np.concatenate([[np.uint64(1)], np.cumprod(np.full(size - 1, x, np.uint64), dtype=np.uint64)]) for x in (BASE, np.uint64(pow(int(BASE), -1, 1 << 64))))
+    return _powers[0][:n], _powers[1][:n]
+
+
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and natural line of each word of a text (of :func:`plain`) given as bytes, and the begin of each natural line but the first.
+
+    A word's hash is the sum of its bytes times the powers of ``BASE``, mixed; it
+    is the difference of two running sums, shifted back to the word's start.
+    """
+    space = SPACE[data]
+    cut = data == 10
+    cut[1:] |= (data[1:] == 32) & END[data[:-1]]
+    if len(data) > 2 and (data > 127).any():
+        triple = data[:-2].astype(np.int64) << 16 | data[1:-1].astype(np.int64) << 8 | data[2:]
+        cut[2:] |= (triple == 0xE38082) | (triple == 0xEFBC81) | (triple == 0xEFBC9F)
+    opens, closes = ~space, ~space
+    opens[1:] &= space[:-1] | cut[:-1]
+    closes[:-1] &= space[1:] | cut[:-1]
+    first, last = np.flatnonzero(opens), np.flatnonzero(closes)
+    power, inverse = powers(len(data))
+    with np.errstate(over="ignore"):
+        sums = np.cumsum(data * power, dtype=np.uint64)
+        before = np.where(first > 0, sums[first - 1], np.uint64(0))
+        h = common.mix64((sums[last] - before) * inverse[first])
+    begins = np.flatnonzero(cut) + 1
+    return h, first, np.searchsorted(begins, first, "right"), begins
+
+
+def cut_lines(h: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """The number of words before each line's end: natural lines, and long ones cut behind locally smallest hashes."""
+    ends = np.append(np.flatnonzero(line[1:] != line[:-1]) + 1, len(h))
     span = 2 * RADIUS + 1
-    if len(h) < span or sizes.max() <= LONG:
-        return h, ends
-    near = np.lib.stride_tricks.sliding_window_view(h, span)
-    own = near[:, RADIUS]
-    least = (own < near[:, :RADIUS].min(axis=1)) & (own < near[:, RADIUS + 1 :].min(axis=1))
+    if len(h) <= span:
+        return ends
+    least = np.ones(len(h) - span, bool)
+    own = h[RADIUS : RADIUS + len(least)]
+    for k in range(span):
+        if k != RADIUS:
+            least &= own < h[k : k + len(least)]
+    # the words it looks at, and as many on both sides of the cut, are of one line
+    least &= line[: len(least)] == line[span : span + len(least)]
     at = np.flatnonzero(least) + RADIUS
-    line = np.searchsorted(ends, at, "right")
-    # the words it looks at, and as many on both sides of the cut, are of one long line
-    at = at[(sizes[line] > LONG) & (at - RADIUS >= ends[line] - sizes[line]) & (at + RADIUS + 1 < ends[line])]
-    return h, np.union1d(ends, at + 1)
+    sizes = np.diff(ends, prepend=0)
+    at = at[sizes[np.searchsorted(ends, at, "right")] > LONG]
+    return np.sort(np.concatenate([ends, at + 1]))
 
 
 def lines(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Pieces that joined are the text, the line each piece belongs to (-1 before the first), and the words of each line."""
     natural = pieces(text)
-    split = [w for w in (p.split() for p in pieces(text.lower())) if w]
-    _, ends = line_ends(split) if split else (None, np.empty(0, np.int64))
+    data = np.frombuffer(plain(text), np.uint8)
+    h, _, of, _ = word_hashes(data) if len(data) else (np.empty(0, np.uint64), None, np.empty(0, np.int64), None)
+    ends = cut_lines(h, of) if len(h) else np.empty(0, np.int64)
     out, line, at, done = [], [], 0, 0
     for piece in natural:
         n = len(piece.split())
@@ -113,25 +177,51 @@ def lines(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
     return out, np.array(line, np.int64), np.diff(ends, prepend=0)
 
 
-def windows(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Two hashes, first line and end line of each window."""
-    split = [w for w in (p.split() for p in pieces(text.lower())) if w]
-    if not split:
-        return (np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64))
-    words, ends = line_ends(split)
-    begin = np.concatenate([[0], ends[:-1]])
-    n = len(ends)
-    with np.errstate(over="ignore"):
-        place = (np.arange(len(words)) - np.repeat(begin, ends - begin) + 1).astype(np.uint64)
-        h = np.add.reduceat(common.mix64(words + place * np.uint64(0x9E3779B97F4A7C15)), begin)
-        size = min(WINDOW, n)
-        starts = np.arange(n - size + 1)
-        first, second = np.full(len(starts), size, np.uint64), np.full(len(starts), size, np.uint64)
-        for k in range(size):
-            own = h[k : k + len(starts)]
-            first = common.mix64(first * np.uint64(0x9E3779B97F4A7C15) + own)
-            second = common.mix64(second * np.uint64(0xC2B2AE3D27D4EB4F) + (own ^ np.uint64(0xA0761D6478BD642F)))
-    return first, (second >> np.uint64(32)).astype(np.uint32), starts, starts + size
+class Layout:
+    """The lines of some texts (of :func:`plain`): text, place in it, first byte, words."""
+
+    def __init__(self, texts: list[bytes]):
+        data = np.frombuffer(b"\n".join(texts), np.uint8)
+        none = np.empty(0, np.int64)
+        self.hashes, first, line, begins = word_hashes(data) if len(data) else (np.empty(0, np.uint64), none, none, none)
+        self.starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        self.ends = cut_lines(self.hashes, line) if len(first) else none
+        self.begin = np.concatenate([none, [0], self.ends[:-1]])[: len(self.ends)]
+        self.text = np.searchsorted(self.starts, first[self.begin], "right") - 1
+        self.counts = np.bincount(self.text, minlength=len(texts))
+        self.top = np.cumsum(self.counts) - self.counts
+        self.place = np.arange(len(self.ends)) - self.top[self.text]
+        # a natural line begins behind the end of the one before, any other with its first word
+        natural = np.ones(len(self.ends), bool)
+        natural[1:] = line[self.begin[1:]] != line[self.begin[1:] - 1]
+        piece = np.concatenate([[0], begins])[np.searchsorted(begins, first[self.begin], "right")]
+        self.bytes = np.where(natural, np.maximum(piece, self.starts[self.text]), first[self.begin])
+        self.words = self.ends - self.begin
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Two hashes, number of the text, first line and end line of each window: three lines of one text, or all lines of a shorter one."""
+        if not len(self.ends):
+            return (np.empty(0, np.uint64), np.empty(0, np.uint32), *[np.empty(0, np.int64)] * 3)
+        full = np.flatnonzero(self.text[WINDOW - 1 :] == self.text[: max(0, len(self.text) - WINDOW + 1)])
+        few = np.flatnonzero((self.counts > 0) & (self.counts < WINDOW))
+        at, n = np.concatenate([full, self.top[few]]), np.concatenate([np.full(len(full), WINDOW), self.counts[few]])
+        with np.errstate(over="ignore"):
+            nth = (np.arange(len(self.hashes)) - np.repeat(self.begin, self.words) + 1).astype(np.uint64)
+            h = np.add.reduceat(common.mix64(self.hashes + nth * np.uint64(0x9E3779B97F4A7C15)), self.begin)
+            one, two = n.astype(np.uint64), n.astype(np.uint64)
+            for k in range(WINDOW):
+                own = h[np.minimum(at + k, len(h) - 1)]
+                has = k < n
+                one = np.where(has, common.mix64(one * np.uint64(0x9E3779B97F4A7C15) + own), one)
+                two = np.where(has, common.mix64(two * np.uint64(0xC2B2AE3D27D4EB4F) + (own ^ np.uint64(0xA0761D6478BD642F))), two)
+        return one, (two >> np.uint64(32)).astype(np.uint32), self.text[at], self.place[at], self.place[at] + n
+
+    def without(self, k: int, gone: np.ndarray, text: bytes) -> bytes:
+        """The bytes of text ``k`` without the lines that are ``gone``."""
+        own = slice(self.top[k], self.top[k] + self.counts[k])
+        bounds = np.append(self.bytes[own] - self.starts[k], len(text)).tolist()
+        kept = np.flatnonzero(~gone).tolist()
+        return b"".join([text[: bounds[0]], *(text[bounds[j] : bounds[j + 1]] for j in kept)])
 
 
 def packed(values: np.ndarray, dtype: str) -> bytes:
@@ -179,19 +269,21 @@ def requests(rows: DataFrame, parts: int) -> DataFrame:
     @common.task("line_dedup")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, n, held = 0, 0, []
-        for batch in common.small_batches(batches, "text"):
-            for rid, doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if not text:
-                    continue
-                if held and (n >= CHUNK or not 0 <= rid - base < 1 << 32):
+        for whole in common.small_batches(batches, "text", AT_ONCE):
+            every = whole.column("rid").to_numpy().astype(np.int64) >> 32
+            cuts = [0, *(np.flatnonzero(np.diff(every)) + 1).tolist(), whole.num_rows]
+            for batch in (whole.slice(i, j - i) for i, j in zip(cuts, cuts[1:], strict=False)):  # rows of one file, whose ids are near
+                texts = [plain(t or "") for t in batch.column("text").to_pylist()]
+                rids = batch.column("rid").to_numpy().astype(np.int64)
+                docs = batch.column("doc_id").fill_null(np.iinfo(np.int64).max).to_numpy().astype(np.int64)
+                if held and (n >= CHUNK or rids.min() < base or rids.max() - base >= 1 << 32):
                     yield flush(base, held)
                     n, held = 0, []
                 if not held:
-                    base = rid
-                h1, h2, pos, end = windows(text)
+                    base = int(rids.min())
+                h1, h2, text, pos, end = Layout(texts).windows()
                 if len(h1):
-                    order = np.int64(np.iinfo(np.int64).max if doc is None else doc)
-                    held.append((h1, h2, np.full(len(h1), order, np.int64), np.full(len(h1), rid - base, np.uint32), pos.astype(np.uint32), end.astype(np.uint32)))
+                    held.append((h1, h2, docs[text], (rids[text] - base).astype(np.uint32), pos.astype(np.uint32), end.astype(np.uint32)))
                     n += len(h1)
         if held:
             yield flush(base, held)
@@ -237,21 +329,30 @@ def later_spans(asked: DataFrame) -> DataFrame:
     return asked.groupBy("part").applyInArrow(merge, SPANS)
 
 
-def without(text: str | None, spans: list[bytes] | None) -> tuple[str | None, int, int, int]:
-    """The text without the covered lines; its lines, the lines and the words removed."""
-    if text is None:
-        return None, 0, 0, 0
-    own, line, words = lines(text)
-    if not spans:
-        return text, len(words), 0, 0
-    delta = np.zeros(len(words) + 1, np.int64)
+def covered(spans: list[bytes], n: int) -> np.ndarray:
+    """Which of ``n`` lines lie in a span."""
+    delta = np.zeros(n + 1, np.int64)
     for data in spans:
         both = np.frombuffer(data, "<u4").reshape(-1, 2).astype(np.int64)
         np.add.at(delta, both[:, 0], 1)
         np.add.at(delta, both[:, 1], -1)
-    gone = np.cumsum(delta)[:-1] > 0
-    kept = "".join([p for p, k in zip(own, line.tolist(), strict=True) if k < 0 or not gone[k]])
-    return kept, len(words), int(gone.sum()), int(words[gone].sum())
+    return np.cumsum(delta)[:-1] > 0
+
+
+def without(texts: list[str | None], spans: list[list[bytes] | None]) -> Iterator[tuple[str | None, int, int, int]]:
+    """Each text without the covered lines; its lines, the lines and the words removed."""
+    own = Layout([plain(t or "") for t in texts])
+    for k, (text, found) in enumerate(zip(texts, spans, strict=True)):
+        n = int(own.counts[k])
+        if text is None or not found:
+            yield text, n, 0, 0
+            continue
+        gone = covered(found, n)
+        if aligned(text):
+            kept = own.without(k, gone, text.encode("utf-8", "surrogatepass")).decode("utf-8", "surrogatepass")
+        else:
+            kept = "".join([p for p, j in zip(*lines(text)[:2], strict=True) if j < 0 or not gone[j]])
+        yield kept, n, int(gone.sum()), int(own.words[own.top[k] : own.top[k] + n][gone].sum())
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -274,8 +375,8 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     @common.task("line_dedup")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.small_batches(batches, "text"):
-            out = [without(t, s) for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
+        for batch in common.small_batches(batches, "text", AT_ONCE):
+            out = list(without(batch.column("text").to_pylist(), batch.column("spans").to_pylist()))
             columns = list(zip(*out, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, (pa.string(), *[pa.int64()] * 3), strict=True)]], names=[row, "kept", "n_lines", "n_removed", "words_removed"])
 
