@@ -1,4 +1,15 @@
-"""Cross-references in filing text: a cue phrase, then the first allowed target behind it.
+"""Cross-references in filing text: a cue phrase and its target.
+
+The target is the first kind of target, in the order of the table below, that a
+cue allows and that stands in the ``WINDOW`` characters behind it (an article or
+"our" at its start doesn't count).  What is "incorporated by reference" mostly
+stands before its cue: there the last match counts, of four kinds of target, and
+what is behind is looked at only if there is none.  Behind "refer to", a target
+that a word of ``ELSEWHERE`` precedes is passed over.  A quoted heading is kept
+for five cues; for others it ends the search without a reference.
+
+Offsets are those of the target in the text; titles and headings take straight
+and curly quotes; "table" is a word of its own.
 
 Spark's expressions give no match offsets, so a text goes through one Arrow UDF.
 """
@@ -49,7 +60,7 @@ _TARGETS = {
     "note_simple": rf"(?P<label>{_NOTE})(?:\s+to\s+(?:the\s+)?(?:consolidated\s+)?financial\s+statements)?",
     "notes_block": rf"(?P<label>{_NOTES})",
     "proxy_statement": r"(?P<label>(?:the\s+)?(?:\d{4}\s+)?(?:Definitive\s+)?Proxy\s+Statement)",
-    "part_item_with_title": rf"(?P<part>{_PART})\s*,\s*(?P<item>{_ITEM})\s*,\s*[{_QUOTES}](?P<title>[^{_QUOTES}]+)[{_QUOTES}]",
+    "part_item_with_title": rf"(?P<part>{_PART})\s*,\s*(?P<item>{_ITEM})(?:\s*,\s*[{_QUOTES}](?P<title>[^{_QUOTES}]+)[{_QUOTES}])?",
     "item_with_form": rf"(?P<item>{_ITEM})\s+of\s+(?:this\s+)?(?:Form\s+10-[KQ]|Annual\s+Report)",
     "part_item": rf"(?P<part>{_PART})\s*,\s*(?P<item>{_ITEM})",
     "prior_report": rf"(?P<label>[^{_QUOTES}]{{10,160}}?(?:Annual\s+Report\s+on\s+Form\s+10-K|Form\s+10-K)[^{_QUOTES}]{{0,80}})",
@@ -61,7 +72,7 @@ _TARGETS = {
     "section": r"(?P<label>Section\s+\d+(?:\([a-z]\))?)",
     "table": r"(?P<label>(?:the\s+)?(?:following\s+)?\btable\b(?:\s+\d+)?)",
     "form": r"(?P<label>(?:this\s+)?(?:Form\s+10-[KQ]|Annual\s+Report\s+on\s+Form\s+10-K))",
-    "heading": rf"[{_QUOTES}](?P<label>[^{_QUOTES}]{{3,120}})[{_QUOTES}]",
+    "heading": rf"(?:under\s+the\s+heading\s+)?(?P<label>[{_QUOTES}][^{_QUOTES}]{{3,120}}[{_QUOTES}])",
 }
 _COMPILED = {name: re.compile(pattern, re.I) for name, pattern in _TARGETS.items()}
 
@@ -79,26 +90,51 @@ ALLOWED = {
 } | {cue: _LOCATIONS for cue in ("included_in", "found_in", "contained_in", "presented_in", "set_forth_in", "read_in_conjunction_with")}
 
 
+# Targets that may stand before their cue, cues that keep a heading, words that lead out of the filing, and how a window can open.
+BEFORE = {"proxy_statement", "form", "exhibit", "prior_report"}
+KEEP_HEADING = {"under_the_heading", "see", "discussed_in", "described_in", "noted_in"}
+ELSEWHERE = ("website", "our ", "each ", "those ")
+_OPENING = re.compile(r"\s*(?:the|our|Company(?:'s)?|Registrant(?:'s)?)\s+", re.I)
+
+
+def _squeezed(text: str | None) -> str | None:
+    return None if text is None else " ".join(text.strip(" ,;.").split())
+
+
+def _behind(text: str, cue: re.Match[str]) -> tuple[str, re.Match[str]] | None:
+    end = min(len(text), cue.end() + WINDOW)
+    opening = _OPENING.match(text, cue.end(), end)
+    begin = opening.end() if opening else cue.end()
+    allowed = ALLOWED.get(cue.lastgroup, _COMPILED.keys())
+    for name in (n for n in _COMPILED if n in allowed):
+        found = _COMPILED[name].search(text, begin, end)
+        if found and not (cue.lastgroup == "refer_to" and any(w in text[begin : found.start()].lower() for w in ELSEWHERE)):
+            return name, found
+    return None
+
+
+def _ahead(text: str, cue: re.Match[str]) -> tuple[str, re.Match[str]] | None:
+    begin = max(0, cue.start() - WINDOW)
+    last = {name: [*pattern.finditer(text, begin, cue.start())][-1:] for name, pattern in _COMPILED.items() if name in BEFORE}
+    return next(((name, found[0]) for name, found in last.items() if found), None)
+
+
 def extract(text: str | None) -> list[dict]:
-    """References of a text in order; offsets are those of the target itself, articles included."""
-    out, seen = [], set()
+    """References of a text in order of their cues, each target once."""
+    out: dict[tuple, dict] = {}
     for cue in _CUE.finditer(text or ""):
         kind = cue.lastgroup
-        spans = [(cue.end(), min(len(text), cue.end() + WINDOW))]
-        if kind == "incorporated_by_reference":  # its target may stand before it
-            spans.append((max(0, cue.start() - WINDOW), cue.start()))
-        found = next(((name, m) for a, b in spans for name, pattern in _COMPILED.items() if name in ALLOWED.get(kind, _TARGETS) and (m := pattern.search(text, a, b))), None)
-        if found is None:
+        ahead = _ahead(text, cue) if kind == "incorporated_by_reference" else None
+        found = ahead or _behind(text, cue)
+        if found is None or (found[0] == "heading" and kind not in KEEP_HEADING):
             continue
         name, m = found
         groups = m.groupdict()
-        label = groups.get("label") or ", ".join(x for x in (groups.get("part"), groups.get("item")) if x)
-        label = " ".join(label.split()).strip(" ,.;")
-        key = (m.start(), m.end(), label.lower())
-        if label and key not in seen:
-            seen.add(key)
-            out.append({"cue_type": kind, "target_type": name, "target_label": label, "raw_span": text[cue.start() : max(cue.end(), m.end())], "char_start": m.start(), "char_end": m.end(), "part": groups.get("part"), "item": groups.get("item"), "title": groups.get("title")})
-    return out
+        label = _squeezed(next((groups[g] for g in ("label", "item", "part") if groups.get(g)), m.group()))
+        span = text[max(0, m.start() - 20) : cue.start() + 40] if ahead else text[max(0, m.start() - 40) : m.end() + 40]
+        record = {"cue_type": kind, "target_type": name, "target_label": label, "raw_span": _squeezed(span), "char_start": m.start(), "char_end": m.end()}
+        out.setdefault((m.start(), m.end(), label.lower()), record | {g: _squeezed(groups.get(g)) for g in ("part", "item", "title")})
+    return list(out.values())
 
 
 def _references(text: pd.Series) -> pd.Series:

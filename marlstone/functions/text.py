@@ -115,11 +115,33 @@ def memory_score(query: Column, text: Column, age_days: Column | None = None) ->
     return share if age_days is None else share * F.greatest(F.lit(0.5), 1 - 0.02 * age_days)
 
 
+def _scaled(v: Column, unit: float, digits: int) -> Column:
+    """``v`` in units with ``digits`` decimals, as its binary quotient rounds: exact ties of that go to the even digit.
+
+    The formatter rounds the quotient's shortest decimal, which differs where
+    that one is a tie.  There 2 * 10 ** digits times the quotient is near an odd
+    whole number k, and the sign of the difference is found by sums that are exact.
+    """
+    scale = 2 * 10**digits
+    size, q = F.abs(v), F.abs(v) / unit
+    whole = F.round(q * scale).cast("bigint")
+    k = whole.cast("double")
+    rest = -k
+    for part in (16, 4) if digits == 1 else (128, 64, 8):
+        rest = rest + q * part
+    below = F.floor(whole / 2)  # of the two neighbours in the last digit
+    up = F.when(rest != 0, rest > 0).otherwise(below % 2 == 1)
+    tied = (whole % 2 == 1) & (size % (unit / scale) == 0) & (size / (unit / scale) == k)
+    shown = F.when(tied, (below + F.when(up, 1).otherwise(0)) / 10.0**digits).otherwise(q)
+    return F.format_string(f"%.{digits}f", F.when(v < 0, -shown).otherwise(shown))
+
+
 def money(c: Column) -> Column:
     """$x.xxB from a billion, $x.xM from a million, else grouped."""
     v = c.cast("double")
     size = F.abs(v)
-    return F.when(size >= 1e9, F.concat(F.lit("$"), F.format_string("%.2f", v / 1e9), F.lit("B"))).when(size >= 1e6, F.concat(F.lit("$"), F.format_string("%.1f", v / 1e6), F.lit("M"))).otherwise(F.concat(F.lit("$"), F.format_string("%,.0f", v)))
+    plain = F.format_string("%,.0f", F.bround(v))
+    return F.concat(F.lit("$"), F.when(size >= 1e9, F.concat(_scaled(v, 1e9, 2), F.lit("B"))).when(size >= 1e6, F.concat(_scaled(v, 1e6, 1), F.lit("M"))).otherwise(plain))
 
 
 def denoised(c: Column) -> Column:
@@ -144,3 +166,27 @@ def slug(c: Column, n: int = 60) -> Column:
 def file_id(name: Column) -> Column:
     """Slug and the first ten hex digits of the name's SHA-1."""
     return F.concat_ws("_", slug(name), F.substring(F.sha1(name.cast("binary")), 1, 10))
+
+
+def valid_email(c: Column) -> Column:
+    """An address with one at sign and a dotted domain."""
+    return F.coalesce(F.trim(c).rlike(r"^[^@\s]+@[^@\s]+\.[^@\s]+$"), F.lit(False))
+
+
+def deliverable(address: Column, subject: Column, body: Column) -> Column:
+    """(``ok``, ``reason``, ``subject``) of a message: the address and the body are looked at, the subject is cut to 200 characters."""
+    reason = F.when(~valid_email(address), "invalid address").when(clean_text(body) == "", "empty body")
+    return F.struct(reason.isNull().alias("ok"), reason.alias("reason"), F.substring(clean_text(subject), 1, 200).alias("subject"))
+
+
+def markdown(parsed: Column, rows: Column, raw: Column, n: int = 6000) -> Column:
+    """A table as text: what a parse gave, else its rows with bars, else its raw text; at most ``n`` characters."""
+    lines = F.array_join(F.transform(rows, lambda r: F.array_join(F.transform(r, lambda c: F.coalesce(c, F.lit(""))), " | ")), "\n")
+    some = lambda c: F.when(F.trim(c) != "", c)
+    return F.substring(F.coalesce(some(parsed), some(lines), raw, F.lit("")), 1, n)
+
+
+def without_meta_lines(c: Column, marks: tuple[str, ...] = ("Thought:", "Action:", "Observation:")) -> Column:
+    """An answer without the lines that begin with a mark of the agent's own."""
+    own = F.filter(F.split(F.coalesce(c, F.lit("")), "\n"), lambda x: ~F.exists(F.array(*map(F.lit, marks)), lambda m: F.startswith(F.ltrim(x), m)))
+    return F.trim(F.array_join(own, "\n"))

@@ -20,6 +20,13 @@ def images(blocks: DataFrame, refs: DataFrame) -> DataFrame:
     return rows.select("file", F.format_string("image_%03d", F.row_number().over(w)).alias("image_id"), "page", "bbox", F.round("width", 2).alias("width"), F.round("height", 2).alias("height"), "section_ref_id")
 
 
+def payload(regions: DataFrame, lines: DataFrame, blocks: DataFrame, refs: DataFrame, heads: DataFrame) -> dict[str, DataFrame]:
+    """The assets of documents: ``tables`` with dense ids in page order, ``images``, ``refs`` (table ids by section and subsection) and the ``counts`` of the table steps."""
+    found, counts = TB.run_tables(regions, lines, refs, heads)
+    placed = TB.relinked(found, refs, heads)
+    return {"tables": placed, "images": images(blocks, refs), "refs": TB.unit_refs(placed), "counts": counts}
+
+
 def rescanned(regions: DataFrame, lines: DataFrame, below: float = 36.0) -> DataFrame:
     """Regions whose rows on the word layer are more than the detector's: the first unbroken run of line items under their top.
 

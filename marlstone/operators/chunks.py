@@ -74,3 +74,23 @@ def anchored(chunks: DataFrame) -> DataFrame:
     """Tables marked in each chunk: ``table_anchors`` (id and place in the text), ids in order."""
     ids = F.array_distinct(F.regexp_extract_all("text", F.lit(r"\[\[TABLE:([^\]]+)\]\]"), F.lit(1)))
     return chunks.withColumn("table_anchors", F.transform(ids, lambda t: F.struct(t.alias("table_id"), F.locate(F.lit("[[TABLE:"), F.col("text")).alias("first"), F.call_function("position", marker(t), F.col("text")).alias("at"))))
+
+
+def with_full_headers(chunks: DataFrame) -> DataFrame:
+    """Chunks whose header path has no empty parts."""
+    return chunks.withColumn("header_path", F.filter(F.coalesce("header_path", F.array().cast("array<string>")), lambda x: F.coalesce(x, F.lit("")) != ""))
+
+
+def table_chunks(tables: DataFrame) -> DataFrame:
+    """Tables (``source_file``, ``table_id``, ``header_path``, ``raw_rows``, pages, ``bbox``) as chunks of their own, numbered in order."""
+    body = F.array_join(F.transform("raw_rows", lambda r: F.array_join(F.transform(r, lambda c: F.coalesce(c, F.lit(""))), " | ")), "\n")
+    number = F.row_number().over(Window.partitionBy("source_file").orderBy("page_start", F.col("bbox")[1], "table_id"))
+    return with_full_headers(tables.select("source_file", F.format_string("table_%05d", number).alias("chunk_id"), F.lit("table").alias("chunk_type"), "table_id", "header_path", body.alias("text"), T.token_count(body).alias("token_count"), "page_start", "page_end", "bbox"))
+
+
+def image_chunks(images: DataFrame) -> DataFrame:
+    """Images (``source_file``, ``image_id``, ``header_path``, ``page``, ``bbox``) as chunks: their header, page and place."""
+    number = F.row_number().over(Window.partitionBy("source_file").orderBy("page", "image_id"))
+    place = F.concat(F.lit("Image/figure on page "), F.col("page").cast("string"), F.lit(" with bbox ["), F.array_join(F.transform("bbox", lambda x: x.cast("string")), ", "), F.lit("]."))
+    own = with_full_headers(images).withColumn("text", T.clean_text(F.concat_ws("\n\n", F.array_join("header_path", " > "), place)))
+    return own.select("source_file", F.format_string("image_%05d", number).alias("chunk_id"), F.lit("image").alias("chunk_type"), "image_id", "header_path", "text", T.token_count(F.col("text")).alias("token_count"), "page", "bbox")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -100,23 +102,36 @@ def last_values(facts: DataFrame, key: list[str], order: list[str]) -> DataFrame
     return own.groupBy(*key).agg(F.max_by("value", F.struct(*order)).alias("value"))
 
 
-def write_star(out: str, documents: DataFrame, companies: DataFrame, segments: DataFrame, regions: DataFrame, years: tuple[int, ...] = YEARS) -> dict[str, int]:
-    """Build the five tables anew under ``out``; rows that break a unique key or lack a revenue are left out. Row counts by table."""
-    def breakdown(rows: DataFrame, name: str) -> DataFrame:
-        placed = rows.filter("revenue is not null").withColumn("pos", F.monotonically_increasing_id())
-        return keep_first(placed, ["company_ticker", "period_end", "period_type", "name"], "pos").select("company_ticker", F.year(F.to_date("period_end")).alias("fiscal_year"), "period_end", "period_type", F.col("name").alias(name), "revenue")
+def breakdown(rows: DataFrame, name: str) -> DataFrame:
+    """Revenue by segment or region: rows without a revenue are left out, of equal keys the first by ``pos`` stays."""
+    own = keep_first(rows.filter("revenue is not null"), ["company_ticker", "period_end", "period_type", "name"], "pos")
+    return own.select("company_ticker", F.year(F.to_date("period_end")).alias("fiscal_year"), "period_end", "period_type", F.col("name").alias(name), "revenue")
+
 
-    tables = {
-        "companies": companies.dropDuplicates(["ticker"]),
+def star(documents: DataFrame, companies: DataFrame, segments: DataFrame, regions: DataFrame, years: tuple[int, ...] = YEARS) -> dict[str, DataFrame]:
+    """The five tables.  ``companies``, ``segments`` and ``regions`` have ``pos``, their place in the source, which decides between equal keys."""
+    return {
+        "companies": keep_first(companies, ["ticker"], "pos").drop("pos"),
         "income_statements": income_statements(documents, years),
         "balance_sheets": balance_sheets(documents, years),
         "segment_revenue": breakdown(segments, "segment_name"),
         "geographic_revenue": breakdown(regions, "region"),
     }
+
+
+def write_star(out: str, tables: dict[str, DataFrame]) -> DataFrame:
+    """Build the tables anew under ``out``; (``table``, ``rows``) as read back."""
+    counts = []
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{out}/{name}")
-    spark = documents.sparkSession
-    return {name: spark.read.parquet(f"{out}/{name}").count() for name in tables}
+        counts.append(df.sparkSession.read.parquet(f"{out}/{name}").agg(F.lit(name).alias("table"), F.count("*").alias("rows")))
+    return functools.reduce(DataFrame.union, counts)
+
+
+def enum_catalog(tables: dict[str, DataFrame], key: str = "company_ticker") -> DataFrame:
+    """(``field``, ``key``, ``names``): the distinct values of one column per company, in order; ``tables`` has the table of each column."""
+    rows = [df.select(F.lit(field).alias("field"), F.col(key).alias("key"), F.col(field).alias("name")) for field, df in tables.items()]
+    return functools.reduce(DataFrame.union, rows).groupBy("field", "key").agg(F.array_sort(F.collect_set("name")).alias("names"))
 
 
 def revenue_gaps(income: DataFrame, parts: DataFrame) -> DataFrame:

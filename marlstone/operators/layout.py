@@ -55,28 +55,31 @@ def heading_candidates(lines: DataFrame) -> DataFrame:
 
 
 def toc_pages(lines: DataFrame) -> DataFrame:
-    """Pages that hold a table of contents: many items beside many bare page numbers."""
+    """Pages that hold a table of contents: many items beside many bare page numbers; lines without text don't count."""
+    shown = lines.withColumn("line", T.clean_text(F.col("line"))).filter("line <> ''")
+    shown = shown.withColumn("place", F.row_number().over(Window.partitionBy("file", "page").orderBy("line_no")))
     item = F.lower("line").rlike(r"^item\s+\d+[a-z]?\b")
-    stats = lines.groupBy("file", "page").agg(
-        F.max((F.lower(F.trim("line")).isin("table of contents", "index")) & (F.col("line_no") < 8)).alias("titled"),
+    stats = shown.groupBy("file", "page").agg(
+        F.max((F.lower("line") == "table of contents") & (F.col("place") <= 8)).alias("titled"),
         F.count_if(item).alias("items"),
-        F.count_if(item & (F.length("line") <= 12)).alias("short_items"),
-        F.count_if(F.trim("line").rlike(r"^\d{1,3}$")).alias("numbers"),
+        F.count_if(item & (F.length("line") < 30)).alias("short_items"),
+        F.count_if(F.col("line").rlike(r"^\d+$")).alias("numbers"),
     )
-    return stats.filter((F.col("titled") & (F.col("items") >= 4) & (F.col("numbers") >= 4)) | ((F.col("items") >= 6) & (F.col("short_items") >= 4) & (F.col("numbers") >= 4))).select("file", "page")
+    enough = (F.col("titled") & (F.col("items") >= 4)) | ((F.col("items") >= 6) & (F.col("short_items") >= 4))
+    return stats.filter(enough & (F.col("numbers") >= 4)).select("file", "page")
 
 
 def toc_entries(lines: DataFrame) -> DataFrame:
-    """(``file``, ``entry``, ``item``, ``toc_title``, ``toc_page``) from the lines of the contents pages, in order."""
+    """(``file``, ``entry``, ``item``, ``toc_title``, ``toc_page``) from the lines of the contents pages, in order; a title may go on over any number of lines."""
     w = Window.partitionBy("file").orderBy(*LINE_ORDER)
     starts = F.lower("line").rlike(r"^item\s+\d+[a-z]?\b").cast("int")
     rows = lines.withColumn("entry", F.sum(starts).over(w)).filter("entry > 0")
-    bare = F.trim("line").rlike(r"^\d{1,3}$")
+    bare = F.trim("line").rlike(r"^\d+$")
     ordered = lambda c: F.array_sort(F.collect_list(c))
     got = rows.groupBy("file", "entry").agg(ordered(F.struct("page", "line_no", "line", bare.alias("bare"))).alias("x"))
     item = F.regexp_extract(F.element_at("x", 1)["line"], r"(?i)^(item\s+\d+[a-z]?)", 1)
     rest = F.regexp_replace(F.element_at("x", 1)["line"], r"(?i)^item\s+\d+[a-z]?[.:]?\s*", "")
-    tail = F.transform(F.filter(F.slice("x", 2, 100), lambda r: ~r["bare"]), lambda r: r["line"])
+    tail = F.transform(F.filter(F.slice("x", F.lit(2), F.size("x")), lambda r: ~r["bare"]), lambda r: r["line"])
     page = F.element_at(F.transform(F.filter("x", lambda r: r["bare"]), lambda r: F.trim(r["line"])), 1)
     return got.select("file", "entry", F.initcap(item).alias("item"), T.clean_text(F.concat_ws(" ", rest, F.array_join(tail, " "))).alias("toc_title"), page.cast("int").alias("toc_page"))
 
@@ -138,31 +141,47 @@ def subsections(own: DataFrame, candidates: DataFrame) -> DataFrame:
     rows = inside.withColumn("sub_end", F.coalesce(F.lead("offset").over(w), F.col("end")))
     # for each level the last heading of it, dropped where a shallower one came later
     last = {k: F.last(F.when(F.col("level") == k, F.struct("offset", "line")), ignorenulls=True).over(w) for k in range(1, 5)}
-    path = F.array_compact(F.array(*[F.when((F.col("level") >= k), F.when(F.lit(k == 1) | F.coalesce(last[k]["offset"] >= F.greatest(*[F.coalesce(last[j]["offset"], F.lit(-1)) for j in range(1, k)], F.lit(-1)), F.lit(False)), last[k]["line"])) for k in range(1, 5)]))
+    at = {k: F.coalesce(last[k]["offset"], F.lit(-1)) for k in last}
+    above = {k: F.greatest(F.lit(-1), F.lit(-1), *[at[j] for j in range(1, k)]) for k in last}
+    path = F.array_compact(F.array(*[F.when((F.col("level") >= k) & (at[k] > above[k]), last[k]["line"]) for k in last]))
     return rows.withColumn("path", path).select("file", "section_seq", F.row_number().over(w).alias("sub_seq"), F.col("line").alias("title"), "level", "page", "offset", "sub_end", "path")
 
 
 def section_of(assets: DataFrame, refs: DataFrame, page_height: float = 792.0) -> DataFrame:
-    """Assets (``asset_id``, ``file``, ``page``, ``y0``) with the section whose pages hold them.
+    """Every asset (``asset_id``, ``file``, ``page``, ``y0``) with its section; null only where no section begins on its page or before.
 
-    The last such section counts; where several start on the page a footer gets
-    the last and anything else the first of them; near the top of a page a
-    section that comes from the page before wins.
+    ``refs``: ``file``, ``section_ref_id``, ``start_offset``, ``start_page`` and
+    perhaps ``end_page``; a section ends a page before the next one starts, on
+    its own page at the earliest.  In this order:
+
+    1. near the top of a page (``y0`` below 150), the last section that comes from the page before and goes on, else the last that ended there;
+    2. where several sections start on the page, the first of them, and the last for a footer;
+    3. the last section whose pages hold the asset, else the last that started before.
+
+    A file has some twenty sections, so assets meet all of them and one
+    aggregate per asset chooses.
     """
-    w = Window.partitionBy("file").orderBy("start_offset")
-    ends = F.greatest(F.coalesce(F.lead("start_page").over(w) , F.lit(1 << 30)), F.col("start_page"))
-    spans = refs.withColumn("end_page", F.coalesce(F.col("end_page"), ends)) if "end_page" in refs.columns else refs.withColumn("end_page", ends)
-    spans = spans.withColumn("pos", F.row_number().over(w))
-    joined = assets.join(spans, "file").filter(F.col("page").between(F.col("start_page"), F.col("end_page")))
-    per = Window.partitionBy("asset_id")
-    starts = F.count_if(F.col("start_page") == F.col("page")).over(per)
-    here = F.col("start_page") == F.col("page")
-    footer = F.col("y0") >= 0.91 * page_height
-    spanning = (F.col("y0") < 150) & ~here
-    rank = F.when(F.coalesce(spanning, F.lit(False)), 0).when(here & (starts >= 2), F.when(F.coalesce(footer, F.lit(False)), 1000 - F.col("pos")).otherwise(F.col("pos"))).otherwise(2000 - F.col("pos"))
-    tier = F.when(F.coalesce(spanning, F.lit(False)), 0).when(here & (starts >= 2), 1).otherwise(2)
-    order = per.orderBy(tier, rank)
-    return joined.withColumn("turn", F.row_number().over(order)).filter("turn = 1").select("asset_id", "section_ref_id")
+    w = Window.partitionBy("file").orderBy("start_offset", "section_ref_id")
+    end = F.greatest(F.coalesce(F.lead("start_page").over(w) - 1, F.lit(1 << 30)), F.col("start_page"))
+    spans = refs.select("file", "section_ref_id", "start_page", (F.coalesce("end_page", end) if "end_page" in refs.columns else end).alias("end_page"), F.row_number().over(w).alias("pos"))
+    both = assets.select("asset_id", "file", "page", "y0").join(spans, "file", "left")
+    page, first, last = F.col("page"), F.col("start_page"), F.col("end_page")
+    latest = lambda test: F.max(F.when(test, F.struct("pos", "section_ref_id")))["section_ref_id"]
+    earliest = lambda test: F.min(F.when(test, F.struct("pos", "section_ref_id")))["section_ref_id"]
+    holds, here = (first <= page) & (page <= last), first == page
+    found = both.groupBy("asset_id").agg(
+        F.first("y0").alias("y0"),
+        latest((first < page) & (last >= page)).alias("goes_on"),
+        latest(last == page - 1).alias("ended"),
+        F.count_if(here).alias("starts"),
+        earliest(here & holds).alias("first_here"),
+        latest(here & holds).alias("last_here"),
+        latest(holds).alias("holds"),
+        latest(first <= page).alias("before"),
+    )
+    top = F.when(F.col("y0") < 150, F.coalesce("goes_on", "ended"))
+    several = F.when((F.col("starts") >= 2) & F.col("y0").isNotNull(), F.when(F.col("y0") >= 0.91 * page_height, F.col("last_here")).otherwise(F.col("first_here")))
+    return found.select("asset_id", F.coalesce(top, several, "holds", "before").alias("section_ref_id"))
 
 
 def heading_before(assets: DataFrame, heads: DataFrame) -> DataFrame:
@@ -175,3 +194,42 @@ def heading_before(assets: DataFrame, heads: DataFrame) -> DataFrame:
     h = heads.select("section_ref_id", "page", F.col("y0").alias("y"), F.lit(0).alias("side"), F.lit(None).cast(assets.schema["asset_id"].dataType).alias("asset_id"), F.col("sub_id").cast("string").alias("sub_id"))
     w = Window.partitionBy("section_ref_id").orderBy("page", "y", "side")
     return a.unionByName(h).withColumn("sub_id", F.last("sub_id", ignorenulls=True).over(w)).filter("side = 1").select("asset_id", "sub_id")
+
+
+def record_of(headings: DataFrame, records: DataFrame) -> DataFrame:
+    """Headings (``file``, ``offset``, ``page``, ``title``) with the place of their line record (``y0``, ``x0``): by offset and page, else by page and text; of several the first."""
+    own = records.select("file", "page", "offset", "line", F.struct("line_no", "x0", "y0").alias("r"))
+    by_offset = own.groupBy("file", "page", "offset").agg(F.min("r").alias("exact"))
+    by_text = own.groupBy("file", "page", F.col("line").alias("title")).agg(F.min("r").alias("same"))
+    found = headings.join(by_offset, ["file", "page", "offset"], "left").join(by_text, ["file", "page", "title"], "left")
+    at = F.coalesce("exact", "same")
+    return found.withColumns({"x0": at["x0"], "y0": at["y0"]}).drop("exact", "same")
+
+
+def subsection_counts(own: DataFrame, subs: DataFrame, every: bool = False) -> DataFrame:
+    """(``file``, ``item``, ``n``): subsections of each item; items without one only where ``every`` is asked for."""
+    n = subs.groupBy("file", F.col("section_seq").alias("seq")).agg(F.count("*").alias("n"))
+    rows = own.select("file", "seq", "item").join(n, ["file", "seq"], "left" if every else "inner")
+    return rows.groupBy("file", "item").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
+
+
+def section_payload(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sections and subsections of documents given as line records (``schemas.LINE``).
+
+    Contents pages are found and read, their entries matched to headings in the
+    body, the text between them cut out, and what looks like a heading inside a
+    section becomes a subsection with its path.
+    """
+    contents = toc_pages(lines)
+    entries = toc_entries(lines.join(contents, ["file", "page"], "left_semi"))
+    placed = offsets(lines).join(contents.withColumn("is_contents", F.lit(True)), ["file", "page"], "left")
+    item = F.regexp_extract("line", r"(?i)^(item\s+\d+[a-z]?)\b", 1)
+    body = placed.filter("is_contents is null")
+    heads = body.filter(item != "").select("file", "offset", "page", F.initcap(item).alias("item"), F.col("line").alias("title"))
+    # the text as the offsets count it: every page opens with a marker line
+    opened = placed.withColumn("mark", F.when(F.row_number().over(Window.partitionBy("file", "page").orderBy("line_no")) == 1, F.concat(F.lit("\n\n[[PAGE "), F.col("page").cast("string"), F.lit("]]\n"))).otherwise(""))
+    texts = opened.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*LINE_ORDER, F.concat("mark", "line").alias("s")))), lambda x: x["s"]), "\n").alias("full_text"))
+    fresh = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])  # noqa: E731  (both sides come from the same lines)
+    own = sections(matched_headings(fresh(entries), fresh(heads)), texts)
+    candidates = heading_candidates(body).select("file", "line", "level", "page", "offset")
+    return own, subsections(own, candidates)

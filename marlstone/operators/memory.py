@@ -23,10 +23,16 @@ def recent(turns: DataFrame, keep: int = KEEP) -> DataFrame:
 
 
 def summaries(turns: DataFrame, keep: int = KEEP) -> DataFrame:
-    """Older messages as lines; the summary's last characters stay."""
-    old = recency(turns).filter(F.col("back") > keep)
+    """Older messages as lines; the summary's last characters stay.
+
+    Only messages that can reach them are gathered, so a row holds some six
+    thousand characters and one message more, however long a session is.
+    """
     line = F.concat(F.lit("- "), F.col("role"), F.lit(": "), F.substring(F.translate(F.coalesce("text", F.lit("")), "\n", " "), 1, FOLD_CHARS))
-    folded = old.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("x"))
+    old = recency(turns).filter(F.col("back") > keep).select("session_id", "turn", line.alias("line"))
+    behind = F.sum(F.length("line") + 1).over(Window.partitionBy("session_id").orderBy(F.desc("turn")).rowsBetween(Window.unboundedPreceding, -1))
+    near = old.withColumn("behind", F.coalesce(behind, F.lit(0))).filter(F.col("behind") <= SUMMARY_CHARS)
+    folded = near.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("turn", "line"))).alias("x"))
     whole = F.trim(F.array_join(F.transform("x", lambda x: x["line"]), "\n"))
     return folded.select("session_id", F.when(F.length(whole) > SUMMARY_CHARS, F.expr(f"right(array_join(transform(x, y -> y.line), '\\n'), {SUMMARY_CHARS})")).otherwise(whole).alias("summary"))
 
@@ -84,3 +90,26 @@ def context(turns: DataFrame, queries: DataFrame) -> DataFrame:
     last = recent(turns).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat_ws(": ", "role", "text").alias("said")))).alias("last"))
     out = queries.select("session_id").join(known, "session_id", "left").join(found, "session_id", "left").join(last, "session_id", "left")
     return out.select("session_id", F.concat_ws("\n\n", "known", F.array_join(F.transform("found", lambda x: x["line"]), "\n"), F.array_join(F.transform("last", lambda x: x["said"]), "\n")).alias("context"))
+
+
+def store(turns: DataFrame, artifacts: DataFrame | None = None, semantic: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The five tables of session memory, as views of the turns and of two event logs.
+
+    ``artifacts`` (``session_id``, ``seq``, ``tool``, ``input``, ``output``) keeps the newest ``ARTIFACTS`` of a session with
+    previews of 400 characters; ``semantic`` (``session_id``, ``content``, ``importance``, ``seq``) has a row per access: the
+    last importance of a content counts, and how often it came up again.
+    """
+    spark = turns.sparkSession
+    artifacts = spark.createDataFrame([], "session_id bigint, seq bigint, tool string, input string, output string") if artifacts is None else artifacts
+    semantic = spark.createDataFrame([], "session_id bigint, content string, importance double, seq bigint") if semantic is None else semantic
+    seen = turns.groupBy("session_id").agg(F.min("turn").alias("created"), F.max("turn").alias("updated"))
+    sessions = seen.join(summaries(turns), "session_id", "left").select("session_id", F.coalesce("summary", F.lit("")).alias("summary"), "created", "updated")
+    preview = lambda c: F.substring(F.coalesce(c, F.lit("")), 1, 400).alias(f"{c}_preview")
+    known = semantic.filter(F.trim(F.coalesce("content", F.lit(""))) != "").groupBy("session_id", "content")
+    return {
+        "sessions": sessions,
+        "messages": turns.select("session_id", "turn", "role", F.coalesce("text", F.lit("")).alias("content")),
+        "memory_facts": facts(turns),
+        "tool_artifacts": newest_capped(artifacts, ARTIFACTS, order="seq").select("session_id", "seq", "tool", preview("input"), preview("output")),
+        "memory_semantic": known.agg(F.max_by("importance", "seq").alias("importance"), (F.count("*") - 1).alias("access_count"), F.max("seq").alias("last_accessed")),
+    }

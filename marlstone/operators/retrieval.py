@@ -1,19 +1,27 @@
 """Retrieval: BM25 and exact vector top-k, ordered merge, confidence, context assembly.
 
 Queries are a table, so one question and a batch are the same plan.  Query
-tables are small by nature; their size is checked before they are broadcast.
+tables are small by nature; their size is checked before they are broadcast, and
+larger ones meet the corpus in blocks.  No plan counts or collects the corpus
+while it is built.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (used as pa.compute)
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import text, vectors
 
 K1, B = 1.5, 0.75
-#: Rows of a query table that may be broadcast.
-BROADCAST_ROWS = 200_000
+#: Rows of a query table that may be broadcast, and queries that meet the corpus at once as a matrix or an automaton.
+BROADCAST_ROWS, BLOCK = 200_000, 10_000
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -36,21 +44,34 @@ def term_stats(tokens: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return tokens.select(*keys, F.explode(F.array_distinct("tokens")).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("df"))
 
 
+def postings(docs: DataFrame, content: Column, wanted: DataFrame) -> DataFrame:
+    """(``doc_id``, ``dl``, ``term``, ``tf``) of the ``wanted`` terms, and one row of the empty term for each document.
+
+    The one pass over the texts: counts are combined before the shuffle, and
+    all statistics come from this exchange, which Spark makes once.
+    """
+    tokens = tokenised(docs, content)
+    each = tokens.select("doc_id", "dl", F.explode(F.concat("tokens", F.array(F.lit("")))).alias("term")).filter("term is not null")
+    return each.join(wanted, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.sum(F.lit(1)).alias("tf"))
+
+
 def bm25_scores(docs: DataFrame, queries: DataFrame, content: Column) -> DataFrame:
     """(``query_id``, ``doc_id``, ``score``) of all documents with a query term.
 
     Only terms some query asks for become postings; repeated query terms count
     with their multiplicity.
     """
-    tokens = tokenised(docs, content)
     asked = queries.select("query_id", F.explode(text.bm25_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    wanted = small(asked.select("term").distinct())
-    stats = collection_stats(tokens)
-    # postings of the wanted terms only, counted before they are shuffled
-    posting = tokens.select("doc_id", "dl", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    df = posting.groupBy("term").agg(F.count("*").alias("df"))
+    few = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    hint = F.broadcast if few else (lambda df: df)
+    wanted = asked.select("term").union(queries.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    own = postings(docs, content, hint(wanted))
+    # a term frequency is one at least, so these are counts; they use every column, as the postings of the scores do, and share their exchange
+    here = F.least(F.col("tf"), F.lit(1))
+    stats = own.agg(F.sum(F.when(F.col("term") == "", here)).alias("n"), (F.sum(F.when(F.col("term") == "", F.col("dl") * here)) / F.sum(F.when(F.col("term") == "", here))).alias("avgdl"))
+    df = own.groupBy("term").agg(F.sum(here).alias("df"))
     rated = asked.join(df, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", "times", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # stats: one row
-    hit = posting.join(small(rated), "term")
+    hit = own.join(hint(rated), "term")  # no more rows than ``asked``
     length = F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0)
     score = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / length))
     return hit.groupBy("query_id", "doc_id").agg(F.sum(score).alias("score"))
@@ -71,13 +92,85 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, content: Column, k: int) -> D
     return ranked(both.withColumn("score", F.round("score", 9)).join(small(asked), "query_id", "left_semi"), k)
 
 
-def vector_scores(rows: DataFrame, queries: DataFrame, row_id: str = "vec_id") -> DataFrame:
-    """Cosine of every row with every query: queries (``query_id``, ``query_vector``) are broadcast behind a size check."""
-    return rows.crossJoin(small(queries, 10_000)).select("query_id", row_id, vectors.cosine(F.col("embedding"), F.col("query_vector")).alias("score"))
+def blocks(queries: DataFrame, columns: list[str], size: int = BLOCK) -> Iterator[list[tuple]]:
+    """``columns`` of the queries, at most ``size`` rows at a time; the driver holds one block."""
+    held: list = []
+    for row in queries.select(*columns).toLocalIterator():
+        held.append(tuple(row))
+        if len(held) == size:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of a column as unit rows in double, and which of them have ``dim`` values."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False).astype(float)).astype(int)
+    good = (sizes == dim) & column.is_valid().to_numpy(zero_copy_only=False)
+    values = column.filter(pa.array(good)).flatten().to_numpy(zero_copy_only=False).astype(float)
+    out = np.zeros((len(column), dim))
+    out[good] = values.reshape(-1, dim)
+    return out / (np.sqrt((out * out).sum(axis=1, keepdims=True)) + 1e-12), good
+
+
+def _scored(rows: DataFrame, queries: DataFrame, row_id: str, keep) -> DataFrame:
+    """``query_id``, ``row_id``, ``score`` of what ``keep`` chooses of a batch's matrix of scores (rows x queries)."""
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, {row_id} {rows.schema[row_id].dataType.simpleString()}, score double"
+    parts = []
+    for block in blocks(queries, ["query_id", "query_vector"]):
+        asked = [(q, np.array(v, float)) for q, v in block if v is not None and len(v)]
+        sized: dict[int, list] = {}
+        for q, v in asked:
+            sized.setdefault(len(v), []).append((q, v / (np.sqrt(v @ v) + 1e-12)))
+        sent = rows.sparkSession.sparkContext.broadcast({dim: ([q for q, _ in own], np.array([v for _, v in own]).T.copy()) for dim, own in sized.items()})  # BLOCK vectors
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1024):
+                    part = batch.slice(at, 1024)
+                    for dim, (names, matrix) in sent.value.items():
+                        unit, good = _matrix(part.column("embedding"), dim)
+                        # the places a float sum can't tell apart are rounded away before anything is ranked
+                        scores = np.where(good[:, None], np.round(unit @ matrix, 9), np.nan)
+                        r, q = keep(scores, part.column(row_id))
+                        yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in q.tolist()]), part.column(row_id).take(pa.array(r)), pa.array(scores[r, q])], names=["query_id", row_id, "score"]).cast(target)
+
+        target = pa.schema([("query_id", _arrow(queries, "query_id")), (row_id, _arrow(rows, row_id)), ("score", pa.float64())])
+        parts.append(rows.select(row_id, "embedding").mapInArrow(run, schema))
+    if not parts:
+        return rows.sparkSession.createDataFrame([], schema)
+    return functools.reduce(DataFrame.union, parts)
+
+
+def _arrow(df: DataFrame, column: str) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(df.schema[column].dataType)
+
+
+def vector_scores(rows: DataFrame, queries: DataFrame, row_id: str = "vec_id", threshold: float = 0.0) -> DataFrame:
+    """Cosines of at least ``threshold`` between rows (``row_id``, ``embedding``) and queries (``query_id``, ``query_vector``).
+
+    A batch of rows meets a block of queries in one matrix product.  Vectors of different lengths have no score.
+    """
+    return _scored(rows, queries, row_id, lambda scores, _: np.nonzero(np.nan_to_num(scores, nan=-2.0) >= threshold))
 
 
 def vector_topk(rows: DataFrame, queries: DataFrame, k: int, row_id: str = "vec_id") -> DataFrame:
-    return ranked(vector_scores(rows, queries, row_id).withColumn("score", F.round("score", 9)), k, row_id)
+    """The ``k`` rows of the largest cosine per query, ties by id: of each batch the best ``k`` travel on."""
+
+    def best(scores: np.ndarray, ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        place = np.empty(len(ids), np.int64)
+        place[pa.compute.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+        have = np.isfinite(scores[:, 0]) if scores.shape[1] else np.zeros(len(ids), bool)
+        own = np.flatnonzero(have)
+        n = min(k, len(own))
+        order = np.lexsort((np.broadcast_to(place[own, None], (len(own), scores.shape[1])), -scores[own]), axis=0)[:n]
+        return own[order].reshape(-1), np.tile(np.arange(scores.shape[1]), n)
+
+    return ranked(_scored(rows, queries, row_id, best), k, row_id)
 
 
 def above_threshold(hits: DataFrame, threshold: float = 0.60) -> DataFrame:
@@ -116,12 +209,64 @@ def confidence(text_hits: DataFrame, table_hits: DataFrame, queries: DataFrame,
 
 def better_attempt(first: DataFrame, retry: DataFrame) -> DataFrame:
     """Per query which attempt counts: the retry where its best score is not lower."""
-    a = first.groupBy("query_id").agg(F.max("score").alias("first_score"))
-    b = retry.groupBy("query_id").agg(F.max("score").alias("retry_score"))
+    a = first.groupBy("query_id").agg(F.round(F.max("score"), 6).alias("first_score"))  # not by what a float sum can't tell apart
+    b = retry.groupBy("query_id").agg(F.round(F.max("score"), 6).alias("retry_score"))
     pick = F.when(F.col("retry_score") >= F.coalesce("first_score", F.lit(float("-inf"))), "retry").otherwise("first")
     return a.join(b, "query_id", "full_outer").select("query_id", pick.alias("attempt"))
 
 
+def lexical_topk(docs: DataFrame, queries: DataFrame, content: Column, k: int) -> DataFrame:
+    """(``query_id``, ``doc_id``, ``overlap``, ``rank``): the ``k`` documents that hold most of a query's terms as substrings, ties by id.
+
+    One automaton of the terms of a block of queries runs over each text once,
+    and of each batch the best ``k`` travel on, so no pair of a query and a
+    document is ever a row.  Documents without a term are left out.
+    """
+    import ahocorasick
+
+    low = docs.select("doc_id", F.lower(F.coalesce(content, F.lit(""))).alias("low"))
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {docs.schema['doc_id'].dataType.simpleString()}, overlap bigint"
+    parts = []
+    for block in blocks(queries.select("query_id", text.query_terms(F.coalesce("query", F.lit(""))).alias("terms")), ["query_id", "terms"], 1_000):
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            automaton, number, uses = ahocorasick.Automaton(), {}, []
+            for q, (_, terms) in enumerate(sent.value):
+                for t in terms:
+                    if t not in number:
+                        number[t] = len(uses)
+                        uses.append([])
+                        automaton.add_word(t, number[t])
+                    uses[number[t]].append(q)
+            if not uses:
+                return
+            automaton.make_automaton()
+            names = [q for q, _ in sent.value]
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    part = batch.slice(at, 512)
+                    counts = np.zeros((part.num_rows, len(names)), np.int32)
+                    for r, t in enumerate(part.column("low").to_pylist()):
+                        found = {n for _, n in automaton.iter(t)}
+                        if found:
+                            counts[r] = np.bincount(np.concatenate([uses[n] for n in found]), minlength=len(names))
+                    ids = part.column("doc_id")
+                    place = np.empty(len(ids), np.int64)
+                    place[pa.compute.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+                    order = np.lexsort((np.broadcast_to(place[:, None], counts.shape), -counts), axis=0)[:k]
+                    r, q = order.reshape(-1), np.tile(np.arange(len(names)), len(order))
+                    own = counts[r, q] > 0
+                    r, q = r[own], q[own]
+                    yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in q.tolist()]), ids.take(pa.array(r)), pa.array(counts[r, q], pa.int64())], names=["query_id", "doc_id", "overlap"]).cast(target)
+
+        target = pa.schema([("query_id", _arrow(queries, "query_id")), ("doc_id", _arrow(docs, "doc_id")), ("overlap", pa.int64())])
+        parts.append(low.mapInArrow(run, schema))
+    found = functools.reduce(DataFrame.union, parts) if parts else docs.sparkSession.createDataFrame([], schema)
+    order = Window.partitionBy("query_id").orderBy(F.desc("overlap"), "doc_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
 def neighbour_expansion(anchors: DataFrame, chunks: DataFrame, n: int = 2) -> DataFrame:
     """Anchors (``chunk_id``) with the last sentences of the chunk before and the first of the one behind, in the same section."""
     c = chunks.select("chunk_id", "prev_id", "next_id", "section_id", "content")
@@ -150,3 +295,10 @@ def table_lookup(tables: DataFrame) -> DataFrame:
     rows = tables.select("load_pos", "table_id", F.posexplode(every).alias("pos", "table_key"))
     first = F.row_number().over(Window.partitionBy("table_key").orderBy("load_pos", "pos"))
     return rows.withColumn("turn", first).filter("turn = 1").select("table_key", "table_id", "load_pos")
+
+
+def capped(rows: DataFrame, key: str, order: str, n: int, distinct: str | None = None) -> DataFrame:
+    """The first ``n`` rows per ``key`` for display, each value of ``distinct`` once."""
+    if distinct is not None:
+        rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy(key, distinct).orderBy(order))).filter("turn = 1").drop("turn")
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(order))).filter(F.col("place") <= n)

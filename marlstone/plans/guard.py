@@ -1,8 +1,11 @@
 """Guarded SQL: one read-only SELECT over allowed tables, checked on the parsed plan.
 
-The check walks the plan that Spark's parser makes, so comma joins, subqueries
-and common table expressions are seen, and ``EXTRACT(YEAR FROM d)`` or a literal
-with ``from`` in it is not taken for a table.
+The check walks the plan that Spark's parser makes, so comma joins and
+subqueries are seen, and ``EXTRACT(YEAR FROM d)`` or a literal with ``from`` in
+it is not taken for a table.  Only relational steps on a list are allowed: a
+common table expression anywhere, a table function, an inline table or a
+statement is none of them.  Functions are allowed by list, so no statement can
+call Java, read a file or see the session's settings.
 """
 
 from __future__ import annotations
@@ -22,6 +25,16 @@ TABLES = ("companies", "income_statements", "balance_sheets", "segment_revenue",
 # Statements that are never allowed.
 FORBIDDEN = "ALTER ANALYZE ATTACH BEGIN COMMIT CREATE DELETE DETACH DROP INSERT PRAGMA REINDEX REPLACE ROLLBACK SAVEPOINT TRUNCATE UPDATE VACUUM".split()
 
+# Steps of a parsed plan, and functions, that a statement may have.
+STEPS = "Aggregate Deduplicate Distinct Except Filter GlobalLimit Intersect Join LocalLimit Offset OneRowRelation Project Sort SubqueryAlias Union UnresolvedHaving UnresolvedRelation UnresolvedSubqueryColumnAliases WithWindowDefinition".split()
+FUNCTIONS = set(
+    "abs any_value avg bigint bround cast ceil ceiling char_length coalesce collect_list collect_set concat concat_ws contains corr count count_if cume_dist date date_add date_diff date_format date_part date_sub "
+    "date_trunc datediff day dayofmonth decimal dense_rank div double endswith every exp extract first first_value float floor format_number format_string greatest if iff ifnull initcap instr int isnotnull isnull lag last last_value "
+    "lead least left length listagg ln locate log log10 lower lpad ltrim make_date max max_by mean median min min_by mod month nth_value ntile nullif nvl nvl2 percent_rank percentile percentile_cont percentile_disc pmod position "
+    "pow power printf quarter rank regexp_like regexp_replace replace reverse right round row_number rpad rtrim sign signum some split_part sqrt startswith std stddev stddev_pop stddev_samp string string_agg substr substring "
+    "sum to_date trim trunc try_add try_cast try_divide try_multiply try_subtract upper var_pop var_samp variance year".split()
+)
+
 
 def bare(sql: str) -> str:
     """SQL out of a model's answer: without code fences, label and last semicolon."""
@@ -33,30 +46,39 @@ def without_literals(sql: str) -> str:
     return re.sub(r"'(?:[^']|'')*'", "''", sql)
 
 
-def relations(spark: SparkSession, sql: str) -> list[str]:
-    """Names of all tables the parsed plan reads, without its common table expressions."""
+def _each(values: Any) -> list[Any]:
+    """The members of a Scala sequence."""
+    return [values.apply(k) for k in range(values.size())]
+
+
+def contents(spark: SparkSession, sql: str) -> tuple[list[str], list[str], list[str]]:
+    """Names of the tables a parsed statement reads, of its steps and of its functions."""
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    found: list[str] = []
-    local: set[str] = set()
+    tables: list[str] = []
+    steps: list[str] = []
+    functions: list[str] = []
+
+    def look(expression: Any) -> None:
+        name = expression.getClass().getSimpleName()
+        if name == "UnresolvedFunction":
+            functions.append(".".join(map(str, _each(expression.nameParts()))).lower())
+        elif name == "UnresolvedGenerator":
+            functions.append(str(expression.name()).lower())
+        for child in _each(expression.children()):
+            look(child)
 
     def walk(node: Any) -> None:
         name = node.getClass().getSimpleName()
+        steps.append(name)
         if name == "UnresolvedRelation":
-            found.append(str(node.tableName()).lower())
-        if name == "UnresolvedWith":
-            pairs = node.cteRelations()
-            for k in range(pairs.size()):
-                local.add(str(pairs.apply(k)._1()).lower())
-                walk(pairs.apply(k)._2())
-        children = node.children()
-        for k in range(children.size()):
-            walk(children.apply(k))
-        inner = node.subqueries()
-        for k in range(inner.size()):
-            walk(inner.apply(k))
+            tables.append(str(node.tableName()).lower())
+        for expression in _each(node.expressions()):
+            look(expression)
+        for child in [*_each(node.children()), *_each(node.subqueries())]:
+            walk(child)
 
     walk(plan)
-    return [x for x in found if x not in local]
+    return tables, steps, functions
 
 
 def problem(spark: SparkSession, sql: str, tables: tuple[str, ...] = TABLES) -> str | None:
@@ -77,12 +99,13 @@ def problem(spark: SparkSession, sql: str, tables: tuple[str, ...] = TABLES) ->
     if ";" in plain:
         return "one statement only"
     try:
-        used = relations(spark, text)
+        used, steps, functions = contents(spark, text)
     except Exception as error:  # the parser's message is the answer
         return f"can't be parsed: {str(error).splitlines()[0]}"
-    wrong = sorted(set(used) - set(tables))
-    if wrong:
-        return f"unknown table {wrong[0]}"
+    for what, names, allowed in (("unknown table", used, tables), ("not allowed:", steps, STEPS), ("function not allowed:", functions, FUNCTIONS)):
+        wrong = sorted(set(names) - set(allowed))
+        if wrong:
+            return f"{what} {wrong[0]}"
     return None if used else "no table"
 
 

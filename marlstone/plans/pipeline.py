@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.operators import retrieval as R
+from marlstone.store import materialise
 
 
 @dataclass(frozen=True)
@@ -40,11 +41,11 @@ def attempt(index: Index, queries: DataFrame, scorer: Callable[[DataFrame], Data
     """Hits of a batch of queries (``query_id``, ``query``, ``query_vector``): merged, reranked, tables above the threshold."""
     vector = R.vector_topk(index.chunks, queries, s.vector_k, "doc_id")
     bm25 = R.bm25_topk(index.chunks, queries, F.col("content"), s.bm25_k)
-    merged = R.hybrid_merge(vector, bm25).persist()  # some hits per query, read by several steps
+    merged = materialise(R.hybrid_merge(vector, bm25), "hits")  # some hits per query, read by several steps
     pairs = merged.join(index.chunks.select("doc_id", "content"), "doc_id").join(R.small(queries.select("query_id", "query")), "query_id")
-    anchors = R.reranked(merged, scorer(pairs), s.rerank_n).persist()
+    anchors = materialise(R.reranked(merged, scorer(pairs), s.rerank_n), "anchors")
     tables = index.tables
-    hits = None if tables is None else R.above_threshold(R.vector_topk(tables, queries, s.table_k, "table_key"), s.table_threshold)
+    hits = None if tables is None else materialise(R.above_threshold(R.vector_topk(tables, queries, s.table_k, "table_key"), s.table_threshold), "table-hits")
     return {"merged": merged, "anchors": anchors} | ({} if hits is None else {"tables": hits})
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,9 +19,10 @@ from marlstone.operators import layout as L
 from marlstone.operators import memory as M
 from marlstone.operators import retrieval as R
 from marlstone.operators import tables as TB
-from marlstone.plans import guard, models, pipeline
+from marlstone.plans import guard, models, pipeline, prompts
 from marlstone.session import ship
-from marlstone.sources import readers
+from marlstone.sources import jobs, readers
+from marlstone.store import own_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -88,36 +91,37 @@ def bm25_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("term", "df", F.round(F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"), F.round("avgdl", 6).alias("avgdl"))
 
 
-COSINE = """with q as (select vec_id as query_id, embedding::double[] as v from embeddings where vec_id < {n}),
+COSINE = """with q as (select vec_id as query_id, embedding::double[] as v from embeddings where vec_id % 100 = 0),
 s as (select query_id, e.vec_id, round(list_cosine_similarity(e.embedding::double[], q.v), 9) as score from embeddings e, q),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
 """
 
 
-def vector_queries(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    return read(spark, sf_dir, "embeddings").filter(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated query set of searches: every row whose id is divisible by 100, against all rows."""
+    return read(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
-@query(COSINE.format(n=1) + "select query_id, vec_id, rank::int as rank, round(score, 6) as score from r where rank <= 10")
-def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = R.vector_topk(read(spark, sf_dir, "embeddings"), vector_queries(spark, sf_dir, 1), 10)
-    return hits.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+@query(COSINE + "select query_id, vec_id, round(score, 6) as score from r where rank = 1")
+def vector_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = R.vector_topk(read(spark, sf_dir, "embeddings"), vector_queries(spark, sf_dir), 1)
+    return hits.select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
-@query(COSINE.format(n=16) + "select query_id, vec_id, rank::int as rank, round(score, 6) as score from r where rank <= 10")
+@query(COSINE + "select query_id, vec_id, rank::int as rank, round(score, 6) as score from r where rank <= 10")
 def vector_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = R.vector_topk(read(spark, sf_dir, "embeddings"), vector_queries(spark, sf_dir, 16), 10)
+    hits = R.vector_topk(read(spark, sf_dir, "embeddings"), vector_queries(spark, sf_dir), 10)
     return hits.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
-@query(COSINE.format(n=4) + "select query_id, vec_id, round(score, 6) as score from s where coalesce(score, 0) >= 0.2")
+@query(COSINE + "select query_id, vec_id, round(score, 6) as score from s where coalesce(score, 0) >= 0.2")
 def vector_threshold_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = R.vector_scores(read(spark, sf_dir, "embeddings"), vector_queries(spark, sf_dir, 4)).withColumn("score", F.round("score", 9))
+    scores = R.vector_scores(read(spark, sf_dir, "embeddings"), vector_queries(spark, sf_dir), threshold=0.2)
     return R.above_threshold(scores, 0.2).select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
-HYBRID = BM25.format(docs="documents", queries="(select * from benchmark where item_id < 4)").replace("r as (", "br as (") + """,
-vq as (select vec_id as query_id, embedding::double[] as v from embeddings where vec_id < 4),
+HYBRID = BM25.format(docs="documents", queries="benchmark").replace("r as (", "br as (") + """,
+vq as (select vec_id as query_id, embedding::double[] as v from embeddings where vec_id in (select item_id from benchmark)),
 vs as (select query_id, e.vec_id as doc_id, round(list_cosine_similarity(e.embedding::double[], vq.v), 9) as score from embeddings e, vq),
 vr as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from vs),
 u as (select query_id, doc_id, v.rank as vector_rank, b.rank as bm25_rank, coalesce(v.score, b.score) as score
@@ -126,10 +130,16 @@ h as (select *, row_number() over (partition by query_id order by vector_rank is
 """
 
 
+def asked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's items as queries, each with the vector of its id."""
+    vectors_ = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return asked(spark, sf_dir).join(vectors_, "query_id", "left")
+
+
 def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors_ = read(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id")
-    v = R.vector_topk(vectors_, vector_queries(spark, sf_dir, 4), 10, "doc_id")
-    b = R.bm25_topk(read(spark, sf_dir, "documents"), asked(spark, sf_dir).filter("query_id < 4"), F.col("text"), 10)
+    v = R.vector_topk(vectors_, asked_vectors(spark, sf_dir).filter("query_vector is not null"), 10, "doc_id")
+    b = R.bm25_topk(read(spark, sf_dir, "documents"), asked(spark, sf_dir), F.col("text"), 10)
     return R.hybrid_merge(v, b)
 
 
@@ -139,39 +149,109 @@ def hybrid_merge_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hybrid(spark, sf_dir).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"), "vector_rank", "bm25_rank", F.array_join("retrieval_sources", ",").alias("sources"))
 
 
-@query(HYBRID + """, n as (select query_id, max(case when rank <= 3 then score end) as best from h group by query_id)
-select query_id, round(best, 6) as best_text, best is null or best < 0.6 as weak_text, true as weak_table, best is null or best < 0.6 as should_retry from n""")
+CONFIDENCE = """, n as (select query_id, max(case when rank <= 3 then score end) as best from h group by query_id)
+select item_id as query_id, round(best, 6) as best_text, best is null or best < 0.6 as weak_text, true as weak_table, best is null or best < 0.6 as should_retry from benchmark left join n on query_id = item_id"""
+
+
+@query(HYBRID + CONFIDENCE)
 def retrieval_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = hybrid(spark, sf_dir).filter("rank <= 3").withColumn("rerank_score", F.col("score"))
-    queries = asked(spark, sf_dir).filter("query_id < 4")
-    out = R.confidence(hits, hits.limit(0), queries)
+    out = R.confidence(hits, hits.limit(0), asked(spark, sf_dir))
     return out.select("query_id", F.round("best_text", 6).alias("best_text"), "weak_text", "weak_table", "should_retry")
 
 
-@query()
+def search_index(spark: SparkSession, sf_dir: str) -> pipeline.Index:
+    """Documents with the vectors of their ids, and as tables the vectors in reverse under their labels."""
+    vectors_ = read(spark, sf_dir, "embeddings")
+    chunks = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content")).join(vectors_.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
+    return pipeline.Index(chunks, vectors_.select(F.concat(F.lit("t"), F.col("vec_id").cast("string")).alias("table_key"), F.col("label").cast("string").alias("caption"), F.reverse("embedding").alias("embedding")))
+
+
+SETTINGS = pipeline.Settings(table_threshold=0.3)
+MEMORY_TOKENS = "list_distinct(regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9]{{2,}}'))"
+
+
+def attempt_sql(x: str, queries: str) -> str:
+    """One attempt over ``queries`` (query_id, query, v) as named tables: {x}h merged hits, {x}anchor, {x}table."""
+    return f"""{x}q as (select query_id, term, count(*) as times from (select query_id, unnest(regexp_extract_all(lower(coalesce(query, '')), '[a-z0-9]+')) as term from {queries}) group by all),
+{x}m as (select q.query_id, p.doc_id, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / (case when avgdl > 0 then avgdl else 1 end)))) as score
+  from {x}q q join df using (term) join p using (term) join l using (doc_id), st group by all),
+{x}a as (select query_id, doc_id, round(coalesce(score, 0), 9) as score from (select distinct query_id from {x}q) cross join (select doc_id from l) left join {x}m using (query_id, doc_id)),
+{x}b as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from {x}a qualify rank <= 10),
+{x}v as (select query_id, e.vec_id as doc_id, round(list_cosine_similarity(e.embedding::double[], v), 9) as score, row_number() over (partition by query_id order by score desc, e.vec_id) as rank from embeddings e join documents on doc_id = e.vec_id, {queries} where v is not null qualify rank <= 10),
+{x}u as (select query_id, doc_id, v.rank as vector_rank, b.rank as bm25_rank, coalesce(v.score, b.score) as score from {x}v v full join {x}b b using (query_id, doc_id)),
+{x}h as (select *, row_number() over (partition by query_id order by vector_rank is null, vector_rank, bm25_rank) as rank, count(*) over (partition by query_id) as hits from {x}u),
+{x}o as (select h.*, round(case when len(w) > 0 then len(list_intersect(w, {MEMORY_TOKENS.format('text')})) * 1.0 / len(w) else 0 end, 6)::double as share from {x}h h join (select query_id, {MEMORY_TOKENS.format('query')} as w from {queries}) using (query_id) join documents using (doc_id)),
+{x}anchor as (select query_id, doc_id, row_number() over (partition by query_id order by case when hits > 3 then -share end, rank) as place, case when hits > 3 then share end as rerank_score from {x}o qualify place <= 3),
+{x}table as (select query_id, 't' || e.vec_id as table_key, round(list_cosine_similarity(list_reverse(e.embedding)::double[], v), 9) as score, row_number() over (partition by query_id order by score desc, 't' || e.vec_id) as rank from embeddings e, {queries} where v is not null qualify rank <= 8)"""
+
+
+ATTEMPT = f"""with t as (select doc_id, {TOKENS} as tokens from documents), l as (select doc_id, len(tokens) as dl from t), st as (select count(*) as n, avg(dl) as avgdl from l),
+p as (select doc_id, term, count(*) as tf from (select doc_id, unnest(tokens) as term from t) group by all), df as (select term, count(*) as df from p group by term),
+asked as (select item_id as query_id, text as query, embedding::double[] as v from benchmark left join embeddings on vec_id = item_id),
+""" + attempt_sql("x", "asked")
+
+
+@query(ATTEMPT + " select query_id, doc_id, place::int as rank, rerank_score from xanchor")
+def retrieval_attempt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One attempt: vector and BM25 hits merged and reranked by a scorer."""
+    out = pipeline.attempt(search_index(spark, sf_dir), asked_vectors(spark, sf_dir), models.overlap_scorer, SETTINGS)
+    return out["anchors"].select("query_id", "doc_id", "rank", F.round("rerank_score", 6).alias("rerank_score"))
+
+
+@query(ATTEMPT + " select query_id, table_key, rank::int as rank, round(score, 6) as score from xtable where score >= 0.3")
+def retrieval_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Table captions by vector, above the threshold."""
+    out = pipeline.attempt(search_index(spark, sf_dir), asked_vectors(spark, sf_dir), models.overlap_scorer, SETTINGS)
+    return out["tables"].select("query_id", "table_key", "rank", F.round("score", 6).alias("score"))
+
+
+SENTENCES = r"list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')"
+
+
+@query(ATTEMPT + """, sure as (select query_id, coalesce((select max(rerank_score) from xanchor a where a.query_id = q.query_id) < 0.6, true) and coalesce((select max(score) from xtable t where t.query_id = q.query_id and score >= 0.3) < 0.3, true) as weak from asked q),
+again as (select query_id, coalesce(""" + SENTENCES.replace("text", "query") + """[1], '') as query, v from asked join sure using (query_id) where weak),
+""" + attempt_sql("y", "again") + """,
+pick as (select query_id, case when b.best >= coalesce(a.best, -1e300) then 'retry' else 'first' end as attempt from (select query_id, round(max(score), 6) as best from xh group by 1) a full join (select query_id, round(max(score), 6) as best from yh group by 1) b using (query_id))
+select query_id, doc_id, place::int as rank, rerank_score, 'first' as attempt from xanchor join pick using (query_id) where attempt = 'first'
+union all select query_id, doc_id, place::int, rerank_score, 'retry' from yanchor join pick using (query_id) where attempt = 'retry'""")
 def retrieval_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole pipeline with stand-in models: embed, vector and BM25, merge, rerank, retry of weak queries."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"), models.embedding(F.col("text")).alias("embedding"))
-    queries = asked(spark, sf_dir).filter("query_id < 4").withColumn("query_vector", models.embedding(F.col("query")))
+    """The whole pipeline: an attempt, confidence, another one with the first sentence of weak queries, the better of both."""
     def rewrite(q: DataFrame) -> DataFrame:
-        return q.withColumn("query", T.first_sentences(F.col("query"), 1)).withColumn("query_vector", models.embedding(F.col("query")))
+        return q.withColumn("query", T.first_sentences(F.col("query"), 1))
+
+    out = pipeline.retrieve(search_index(spark, sf_dir), asked_vectors(spark, sf_dir), models.overlap_scorer, rewrite, SETTINGS)
+    return out["anchors"].join(out["attempts"], "query_id").select("query_id", "doc_id", "rank", F.round("rerank_score", 6).alias("rerank_score"), "attempt")
 
-    out = pipeline.retrieve(pipeline.Index(docs), queries, models.overlap_scorer, rewrite)
-    return out["anchors"].select("query_id", "doc_id", "rank", F.round("rerank_score", 6).alias("rerank_score"))
+
+@query(HYBRID + """, ctx as (select query_id, 'chunk' as kind, (doc_id // 2)::varchar as id, min(rank) as first from h group by all union all select query_id, 'table', 'g' || (doc_id // 3), min(rank) from h group by all)
+select query_id, kind, id, row_number() over (partition by query_id, kind order by first)::int as place from ctx qualify place <= case kind when 'chunk' then 10 else 3 end""")
+def retrieval_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Context of a query: distinct chunks of its hits and distinct tables, each up to a cap; two documents are a chunk here, three a table."""
+    hits = hybrid(spark, sf_dir)
+    anchors = hits.select("query_id", "rank", F.floor(F.col("doc_id") / 2).cast("string").alias("chunk_id"))
+    ids = read(spark, sf_dir, "documents").select("doc_id").union(read(spark, sf_dir, "embeddings").select("vec_id")).distinct()
+    tables = ids.select(F.concat(F.lit("k"), F.col("doc_id").cast("string")).alias("table_key"), F.concat(F.lit("g"), F.floor(F.col("doc_id") / 3).cast("string")).alias("table_id"))
+    chunks, found = R.assembled_context(anchors, hits.select("query_id", "rank", F.concat(F.lit("k"), F.col("doc_id").cast("string")).alias("table_key")), tables)
+    return chunks.select("query_id", F.lit("chunk").alias("kind"), F.col("chunk_id").alias("id"), "place").union(found.select("query_id", F.lit("table"), "table_id", "place"))
 
 
-@query("""with w as (select item_id, list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z][a-z0-9-]+')), lambda x: length(x) > 2) as terms from benchmark)
-select item_id, doc_id, len(list_filter(terms, lambda t: contains(lower(coalesce(text, '')), t)))::bigint as overlap from documents, w where item_id < 8""")
+@query("""with w as (select item_id, list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z][a-z0-9-]+')), lambda x: length(x) > 2) as terms from benchmark),
+o as (select item_id, doc_id, len(list_filter(terms, lambda t: contains(lower(coalesce(text, '')), t)))::bigint as overlap from documents, w),
+r as (select *, row_number() over (partition by item_id order by overlap desc, doc_id) as rank from o where overlap > 0) select item_id, doc_id, overlap, rank::int as rank from r where rank <= 8""")
 def lexical_overlap_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = R.small(read(spark, sf_dir, "benchmark").filter("item_id < 8").select("item_id", T.query_terms(F.col("text")).alias("terms")))
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
-    return docs.crossJoin(items).select("item_id", "doc_id", T.terms_found(F.col("terms"), F.col("low")).alias("overlap"))
+    hits = R.lexical_topk(read(spark, sf_dir, "documents"), asked(spark, sf_dir), F.col("text"), 8)
+    return hits.select(F.col("query_id").alias("item_id"), "doc_id", "overlap", "rank")
 
 
-# --- text --------------------------------------------------------------------
+@query(HYBRID + ", f as (select query_id, vector_rank is not null as by_vector, min(rank) as rank from h group by all) select query_id, by_vector, rank::int as rank, row_number() over (partition by query_id order by rank)::int as place from f")
+def display_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits as they are shown: of each kind of source the first, five at most."""
+    hits = hybrid(spark, sf_dir).withColumn("by_vector", F.col("vector_rank").isNotNull())
+    return R.capped(hits, "query_id", "rank", 5, "by_vector").select("query_id", "by_vector", "rank", "place")
 
-SENTENCES = r"list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')"
 
+# --- text --------------------------------------------------------------------
 
 @query(rf"select doc_id, len(regexp_extract_all(coalesce(text, ''), '\S+'))::bigint as tokens, len({TOKENS})::bigint as words, len({SENTENCES})::bigint as sentences, length(coalesce(text, ''))::bigint as chars from documents")
 def token_and_sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,11 +288,13 @@ def html_img_and_link_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", count(r"(?i)<img\b").alias("images"), count(r"(?i)<a\s[^>]*href").alias("links"), F.array_join(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)), " ").alias("targets"))
 
 
-@query("select o_orderkey, case when abs(o_totalprice * 1000) >= 1e9 then printf('$%.2fB', o_totalprice * 1000 / 1e9) when abs(o_totalprice * 1000) >= 1e6 then printf('$%.1fM', o_totalprice * 1000 / 1e6) else 'small' end as shown from orders where abs(o_totalprice * 1000 / 1e5 - round(o_totalprice * 1000 / 1e5, 0)) between 0.01 and 0.49")
+@query("""with v as (select o_orderkey, unnest([o_totalprice * 1000, o_totalprice, round(o_totalprice / 100) * 50000, -round(o_totalprice / 1000) * 5000000]) as v from orders)
+select o_orderkey, v, case when abs(v) >= 1e9 then printf('$%.2fB', v / 1e9) when abs(v) >= 1e6 then printf('$%.1fM', v / 1e6) else '$' || format('{:,}', round_even(v, 0)::bigint) end as shown from v""")
 def money_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.col("o_totalprice") * 1000
-    tie = F.abs(v / 1e5 - F.round(v / 1e5, 0)).between(0.01, 0.49)  # not at a rounding tie, where formatters differ
-    return read(spark, sf_dir, "orders").filter(tie).select("o_orderkey", F.when(F.abs(v) >= 1e6, T.money(v)).otherwise("small").alias("shown"))
+    """Amounts as text, many of them on the edge between two last digits."""
+    p = F.col("o_totalprice")
+    each = F.explode(F.array(p * 1000, p, F.round(p / 100) * 50000, -F.round(p / 1000) * 5000000)).alias("v")
+    return read(spark, sf_dir, "orders").select("o_orderkey", each).select("o_orderkey", "v", T.money(F.col("v")).alias("shown"))
 
 
 @query("select event_id, json_extract_string(props, '$.k')::bigint as k, event_type from events where json_extract_string(props, '$.k') is not null")
@@ -266,11 +348,10 @@ def chunk_links_prev_next(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(LINKS + f""", s as (select doc_id, {SENTENCES} as x from documents)
 select l.doc_id as chunk_id, concat_ws(chr(10) || chr(10), nullif(array_to_string(p.x[greatest(len(p.x) - 1, 1):len(p.x)], ' '), ''), l.text, nullif(array_to_string(n.x[1:2], ' '), '')) as expanded
-from l left join s p on p.doc_id = l.prev_id left join s n on n.doc_id = l.next_id where l.doc_id % 10 = 0""")
+from l left join s p on p.doc_id = l.prev_id left join s n on n.doc_id = l.next_id""")
 def neighbour_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = linked_docs(spark, sf_dir)
-    anchors = rows.select("chunk_id").filter("chunk_id % 10 = 0")  # the anchors of this query: every tenth chunk
-    return R.neighbour_expansion(anchors, rows)
+    return R.neighbour_expansion(rows.select("chunk_id"), rows)
 
 
 # --- facts -------------------------------------------------------------------
@@ -283,13 +364,82 @@ def priority_dedupe_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FA.one_per_field(rows, True).select("ticker", "field", "end", "val", "filed")
 
 
-@query(fixtures.FACTS_SQL + """, o as (select *, row_number() over (partition by ticker, field, "end" order by priority, filed desc, pos) as turn from f
-where form = '10-K' and date_diff('day', "start"::date, "end"::date) between 350 and 380)
-select ticker as company_ticker, year("end"::date)::int as fiscal_year, min_by("start", field_pos) as period_start, "end" as period_end,
-max(case when field = 'revenue' then val end)::bigint as revenue, max(case when field = 'net_income' then val end)::bigint as net_income, max(case when field = 'eps_basic' then val end) as eps_basic
-from o where turn = 1 group by ticker, "end" """)
+WIDE = """, o as (select *, row_number() over (partition by ticker, field, "end" order by priority, filed desc, pos) as turn from f where form = '10-K' and {test} and year("end"::date) between 2023 and 2025)
+select ticker as company_ticker, year("end"::date)::int as fiscal_year, {start}"end" as period_end, 'FY' as period_type, {fields} from o where turn = 1 group by ticker, "end" """
+
+
+def wide_sql(fields: dict, test: str, start: str = "") -> str:
+    real = {"eps_basic", "eps_diluted"}
+    return WIDE.format(test=test, start=start, fields=", ".join(f"max(case when field = '{f}' then val end)" + ("" if f in real else "::bigint") + f" as {f}" for f in fields))
+
+
+INCOME_WIDE = fixtures.FACTS_SQL + wide_sql(FA.INCOME, """date_diff('day', "start"::date, "end"::date) between 350 and 380""", 'min_by("start", field_pos) as period_start, ')
+BALANCE_WIDE = fixtures.facts_sql(fixtures.BALANCES, FA.BALANCE) + wide_sql(FA.BALANCE, "fp = 'FY'")
+
+
+@query(INCOME_WIDE)
 def facts_pivot_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return FA.income_statements(fixtures.documents(spark)).select("company_ticker", "fiscal_year", "period_start", "period_end", "revenue", "net_income", "eps_basic")
+    return FA.income_statements(fixtures.documents(spark))
+
+
+@query(BALANCE_WIDE)
+def balance_pivot_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FA.balance_sheets(fixtures.documents(spark, fixtures.BALANCES))
+
+
+@query(INCOME_WIDE)
+def facts_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Income statements from nested documents as files."""
+    files = {f"{t}_companyfacts.json": json.dumps(body, indent=1) for t, body in fixtures.nested(fixtures.FACTS).items()}
+    return FA.income_statements(readers.company_facts(spark, fixtures.landed(spark, "companyfacts", files)))
+
+
+@query(fixtures.rows_sql("table, rows", [("companies", 2), ("income_statements", 2), ("balance_sheets", 2), ("segment_revenue", 3), ("geographic_revenue", 2)]))
+def star_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five tables written and counted."""
+    return FA.write_star(f"{own_dir(spark)}/star-{uuid.uuid4().hex}", fixtures.star(spark))
+
+
+@query(fixtures.rows_sql("company_ticker, fiscal_year, margin, return_on_assets", [("ABC", 2024, 29.70, 5.88), ("XYZ", 2025, -4.00, -2.22)]))
+def income_balance_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A checked statement that joins income statements and balance sheets on company and year."""
+    for name, df in fixtures.star(spark).items():
+        df.createOrReplaceTempView(name)
+    said = "SELECT i.company_ticker, i.fiscal_year, round(100.0 * i.net_income / nullif(i.revenue, 0), 2) AS margin, round(100.0 * i.net_income / nullif(b.total_assets, 0), 2) AS return_on_assets FROM income_statements i JOIN balance_sheets b ON i.company_ticker = b.company_ticker AND i.fiscal_year = b.fiscal_year"
+    if guard.problem(spark, said) is not None:
+        raise ValueError(guard.problem(spark, said))
+    return spark.sql(said).select("company_ticker", "fiscal_year", F.col("margin").cast("double").alias("margin"), F.col("return_on_assets").cast("double").alias("return_on_assets"))
+
+
+@query(fixtures.rows_sql("question, status, sql, corrected, rows, error", [
+    ("ok", "success", "SELECT ticker FROM companies", False, 2, None), ("wrong", "success", "SELECT name FROM companies", True, 2, None), ("none", "cannot_answer", "CANNOT_ANSWER", False, 0, None),
+    ("empty", "empty_result", "SELECT ticker FROM companies WHERE name = 'nobody'", False, 0, None), ("bad", "error", "DELETE FROM companies", False, 0, "forbidden keyword DELETE"),
+]))
+def question_to_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions answered by statements of a stand-in generator, one of them corrected."""
+    fixtures.star(spark)["companies"].createOrReplaceTempView("companies")
+    says = {"ok": "```sql\nSELECT ticker FROM companies;\n```", "wrong": "SELECT nme FROM companies", "none": "CANNOT_ANSWER", "empty": "SELECT ticker FROM companies WHERE name = 'nobody'", "bad": "DELETE FROM companies"}
+    out = [guard.answer(spark, q, says.__getitem__, (lambda *_: "SELECT name FROM companies") if q == "wrong" else None) for q in says]
+    return spark.createDataFrame([(a.question, a.status, a.sql, a.corrected, len(a.rows), a.error) for a in out], "question string, status string, sql string, corrected boolean, rows int, error string")
+
+
+@query("select 'region' as field, n_regionkey::varchar as key, array_to_string(list_sort(list(distinct n_name)), ',') as names from nation group by 2 union all select 'segment', c_nationkey::varchar, array_to_string(list_sort(list(distinct c_mktsegment)), ',') from customer group by 2")
+def enum_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct values of columns per key: nations of a region, market segments of a nation."""
+    nations = read(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("string").alias("company_ticker"), F.col("n_name").alias("region"))
+    segments = read(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("company_ticker"), F.col("c_mktsegment").alias("segment"))
+    return FA.enum_catalog({"region": nations, "segment": segments}).select("field", "key", F.array_join("names", ",").alias("names"))
+
+
+SCHEMA_LINES = ["Table: segment_revenue", "Columns:", "- company_ticker TEXT ('ABC' | 'XYZ')", "- fiscal_year INTEGER (2024 | 2025)", "- period_end TEXT", "- period_type TEXT ('FY')", "- segment_name TEXT", "  when company_ticker = 'ABC': 'North' | 'South'", "  when company_ticker = 'XYZ': 'All'", "- revenue BIGINT"]
+
+
+@query("select " + fixtures._literal("\n".join(SCHEMA_LINES)) + " as text")
+def schema_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The schema of a table as a model reads it."""
+    own = {"segment_revenue": fixtures.star(spark)["segment_revenue"]}
+    text = prompts.schema_text(own, FA.enum_catalog({"segment_name": own["segment_revenue"]}), {"company_ticker": ["ABC", "XYZ"], "fiscal_year": ["2024", "2025"], "period_type": ["FY"]})
+    return spark.createDataFrame([(text,)], "text string")
 
 
 @query(fixtures.FACTS_SQL + """select ticker, field, "start", "end", coalesce(date_diff('day', try_cast("start" as date), try_cast("end" as date)) between 350 and 380, false) as annual from f""")
@@ -370,29 +520,38 @@ def asof_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.heading_before(assets, heads)
 
 
-@query("""with r as (select o_orderkey, o_custkey, o_orderdate::date as d, lead(o_orderdate::date) over (partition by o_custkey order by o_orderdate, o_orderkey) as nxt from orders)
-select o_orderkey, l_orderkey, count(*) as lines from r join (select l_orderkey, o_custkey as c, l_shipdate::date as s from lineitem join orders on l_orderkey = o_orderkey) x on c = o_custkey and s >= d and (nxt is null or s < nxt) group by all""")
-def interval_section(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Interval join: each shipment falls into the span of one order of its customer, which ends where the next starts.
+SECTION_OF = """with r as (select o_custkey as file, o_orderkey as id, date_diff('day', date '1990-01-01', o_orderdate::date) // 200 as first, row_number() over w as pos, lead(first) over w as nxt from orders window w as (partition by o_custkey order by o_orderkey)),
+s as (select file, id, pos, first, greatest(coalesce(nxt - 1, 1 << 30), first) as last from r),
+a as (select l_orderkey * 10 + l_linenumber as asset, o_custkey as file, date_diff('day', date '1990-01-01', l_shipdate::date) // 200 as page, l_quantity * 16 as y0 from lineitem join orders on l_orderkey = o_orderkey),
+j as (select a.*, s.id, s.pos, s.first, s.last from a left join s using (file)),
+c as (select asset, any_value(y0) as y0, max_by(id, pos) filter (where first < page and last >= page) as goes_on, max_by(id, pos) filter (where last = page - 1) as ended, count(*) filter (where first = page) as starts,
+  min_by(id, pos) filter (where first = page) as first_here, max_by(id, pos) filter (where first = page) as last_here, max_by(id, pos) filter (where first <= page and page <= last) as holds, max_by(id, pos) filter (where first <= page) as before from j group by asset)
+select asset as asset_id, coalesce(case when y0 < 150 then coalesce(goes_on, ended) end, case when starts >= 2 then case when y0 >= 720.72 then last_here else first_here end end, holds, before) as section_ref_id from c"""
+
 
-    Both sides are keyed by customer, so the spans are found by carrying the last start along one sort.
-    """
+@query(SECTION_OF)
+def interval_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interval join: each line item in the order of its customer whose span of days holds its shipment (200 days as a page)."""
+    page = lambda c: F.floor(F.date_diff(F.to_date(c), F.lit("1990-01-01").cast("date")) / 200).cast("int")
     orders = read(spark, sf_dir, "orders")
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    starts = orders.withColumns({"d": F.to_date("o_orderdate"), "nxt": F.lead(F.to_date("o_orderdate")).over(w)}).filter("nxt is null or nxt > d").select(F.col("o_custkey").alias("c"), "d", F.lit(0).alias("side"), "o_orderkey", F.lit(None).cast("bigint").alias("l_orderkey"))
-    lines = read(spark, sf_dir, "lineitem").join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("c"), F.to_date("l_shipdate").alias("d"), F.lit(1).alias("side"), F.lit(None).cast("bigint").alias("o_orderkey"), "l_orderkey")
-    carried = F.last("o_orderkey", ignorenulls=True).over(Window.partitionBy("c").orderBy("d", "side"))
-    return starts.union(lines).withColumn("o_orderkey", carried).filter("side = 1 and o_orderkey is not null").groupBy("o_orderkey", "l_orderkey").agg(F.count("*").alias("lines"))
+    refs = orders.select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("section_ref_id"), F.col("o_orderkey").alias("start_offset"), page("o_orderdate").alias("start_page"))
+    lines = read(spark, sf_dir, "lineitem").join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    assets_ = lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("asset_id"), F.col("o_custkey").alias("file"), page("l_shipdate").alias("page"), (F.col("l_quantity") * 16).alias("y0"))
+    return L.section_of(assets_, refs)
 
 
-@query("""with g as (select *, case when ts - lag(ts) over w <= interval 30 minute and event_type = lag(event_type) over w then 0 else 1 end as b from events window w as (partition by user_id order by ts, event_id)),
-i as (select *, sum(b) over (partition by user_id order by ts, event_id) as island from g)
-select user_id, island::bigint as island, count(*) as n, min(event_id) as first_id, max(event_id) as last_id from i group by all""")
+@query("""with r as (select l_orderkey as file, concat_ws('-', l_linenumber, l_partkey, l_suppkey) as id, l_linenumber // 4 as page, 40 + (l_partkey % 3) * 20 as x0, 420 + (l_suppkey % 5) * 40 as wide, l_linenumber * 24.0 + l_quantity / 8 as y0, y0 + 12 as y1, l_returnflag as sec, l_linenumber % 6 + 1 as cols from lineitem),
+p as (select *, lag(page) over w as page_, lag(x0) over w as x0_, lag(wide) over w as wide_, lag(y1) over w as y1_, lag(sec) over w as sec_, lag(cols) over w as cols_ from r window w as (partition by file order by page, y0, x0, id)),
+b as (select *, case when page = page_ and sec = sec_ and abs(x0 - x0_) <= 25 and abs(wide - wide_) <= 80 and ((wide >= 480 and wide_ >= 480 and y0 - y1_ between -35 and 50)
+  or (y0 - y1_ between -2 and 28 and abs(cols - cols_) <= 2 and ((cols between 2 and 4 and cols_ between 2 and 4) or greatest(cols, cols_) >= 4))) then 0 else 1 end as breaks from p)
+select file, id, sum(breaks) over (partition by file order by page, y0, x0, id)::bigint as island from b""")
 def islands_same_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    near = (F.col("ts") - F.lag("ts").over(w) <= F.expr("interval 30 minutes")) & (F.col("event_type") == F.lag("event_type").over(w))
-    rows = read(spark, sf_dir, "events").withColumn("b", F.when(F.coalesce(near, F.lit(False)), 0).otherwise(1)).withColumn("island", F.sum("b").over(w))
-    return rows.groupBy("user_id", "island").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
+    """Gaps and islands: the lines of an order as table regions, linked where they continue each other on a page."""
+    top, left = F.col("l_linenumber") * 24.0 + F.col("l_quantity") / 8, (40 + (F.col("l_partkey") % 3) * 20).cast("double")
+    box = F.array(left, top, left + 420 + (F.col("l_suppkey") % 5) * 40, top + 12)
+    row = F.transform(F.sequence(F.lit(1), (F.col("l_linenumber") % 6 + 1).cast("int")), lambda k: F.when(k == 1, "x").otherwise("1"))
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("source_file"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey").alias("table_id"), F.floor(F.col("l_linenumber") / 4).alias("page_start"), box.alias("bbox"), F.array(row).alias("raw_rows"), F.col("l_returnflag").alias("section_ref_id"), F.lit(None).cast("string").alias("subsection_ref_id"))
+    return TB.same_page_islands(rows).select(F.col("source_file").alias("file"), F.col("table_id").alias("id"), "island")
 
 
 @query(fixtures.REGIONS_SQL + """select table_id, y0, y1 from g a where not exists (select 1 from g b where a.page = b.page and a.sub is not distinct from b.sub and a.table_id <> b.table_id
@@ -413,9 +572,9 @@ def vertical_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.gaps(rows).select("event_id", F.round("gap_before", 6).alias("gap_before"), F.round("gap_after", 6).alias("gap_after"))
 
 
-@query()
+@query(fixtures.rows_sql("grid_id, prose, header_only", fixtures.GRID_FLAGS))
 def prose_grid_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.grids(ship(spark)).select("grid_id", TB.prose_udf("raw_rows").alias("prose"), TB.header_only(F.col("raw_rows")).alias("header_only"))
+    return fixtures.grids(spark).select("grid_id", TB.prose_grid(F.col("raw_rows")).alias("prose"), TB.header_only(F.col("raw_rows")).alias("header_only"))
 
 
 @query(fixtures.GRIDS_SQL + """, c as (select grid_id, raw_rows, flatten(raw_rows) as cells, bbox from g),
@@ -427,24 +586,24 @@ def table_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.grids(spark).select("grid_id", TB.complexity(F.col("raw_rows"), F.col("bbox"))["score"].alias("score"))
 
 
-@query()
+@query(fixtures.rows_sql("table_id, asset_type, page_start, source_ids, n_rows", fixtures.GROUPS))
 def table_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = TB.grouped(TB.same_page_islands(fixtures.regions(spark)))
     return g.select("table_id", "asset_type", "page_start", F.array_join("source_table_ids", ",").alias("source_ids"), F.size("raw_rows").cast("bigint").alias("n_rows"))
 
 
-@query()
+@query(fixtures.rows_sql("a, b, similarity", fixtures.SIMILARITIES))
 def title_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.titles(ship(spark)).select("a", "b", F.round(L.title_similarity("a", "b"), 6).alias("similarity"))
 
 
-@query()
+@query(fixtures.rows_sql("sentence_id, cue_type, target_type, target_label, part, item, title, char_start, char_end", fixtures.REFERENCES))
 def crossref_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fixtures.sentences(ship(spark)).select("sentence_id", F.explode(crossrefs.extract_udf("sentence")).alias("r"))
-    return rows.select("sentence_id", "r.cue_type", "r.target_type", "r.target_label", "r.char_start", "r.char_end")
+    return rows.select("sentence_id", "r.cue_type", "r.target_type", "r.target_label", "r.part", "r.item", "r.title", "r.char_start", "r.char_end")
 
 
-@query()
+@query("with r as (" + fixtures.rows_sql("sentence_id, cue_type, target_type, target_label, part, item, title, char_start, char_end", fixtures.REFERENCES) + ") select 'cue' as kind, cue_type as name, count(*) as n from r group by all union all select 'target', target_type, count(*) from r group by all")
 def crossref_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crossrefs.summary(fixtures.sentences(ship(spark)).select(crossrefs.extract_udf("sentence").alias("cross_refs")))
 
@@ -460,9 +619,9 @@ def year_scope_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.scopes(spark).select("id", found["resolved"].alias("resolved"), found["reason"].alias("reason"))
 
 
-@query()
+@query(fixtures.rows_sql("id, statement, problem", [(k, s, p) for k, (s, p) in enumerate(fixtures.STATEMENTS)]))
 def sql_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(k, s, guard.problem(spark, s)) for k, s in enumerate(fixtures.STATEMENTS)]  # a constant list of statements
+    rows = [(k, s, guard.problem(spark, s)) for k, (s, _) in enumerate(fixtures.STATEMENTS)]  # a constant list of statements
     return spark.createDataFrame(rows, "id int, statement string, problem string")
 
 
@@ -492,19 +651,25 @@ def facts_last_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.facts(turns(spark, sf_dir))
 
 
-@query("""with q as (select item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) as x from benchmark where item_id < 4),
-c as (select conv_id, turn, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]{2,}')) as y from conversations),
-s as (select item_id, conv_id, turn, case when len(x) > 0 then len(list_intersect(x, y)) * 1.0 / len(x) else 0 end as score from q, c),
-r as (select *, row_number() over (partition by item_id order by score desc, conv_id, turn) as rank from s where score >= 0.06)
-select item_id, conv_id, turn, rank::int as rank, round(score, 6)::double as score from r where rank <= 8""")
+@query("""with q as (select conv_id, max_by(text, turn) as query from conversations where role = 'user' group by 1),
+c as (select conv_id, turn, role, list_distinct(regexp_extract_all(lower(coalesce(query, '')), '[a-z0-9]{2,}')) as x, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]{2,}')) as y from conversations join q using (conv_id)),
+s as (select conv_id, turn, role, case when len(x) > 0 then len(list_intersect(x, y)) * 1.0 / len(x) else 0 end as score from c),
+r as (select *, row_number() over (partition by conv_id order by score desc, role, turn) as rank from s where score >= 0.06)
+select conv_id as session_id, role as kind, turn as pos, rank::int as rank, round(score, 6)::double as score from r where rank <= 8""")
 def memory_overlap_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = R.small(read(spark, sf_dir, "benchmark").filter("item_id < 4").select("item_id", F.col("text").alias("query")))
-    rows = read(spark, sf_dir, "conversations").crossJoin(items).withColumn("score", T.memory_score(F.col("query"), F.col("text"))).filter("score >= 0.06")
-    w = Window.partitionBy("item_id").orderBy(F.desc("score"), "conv_id", "turn")
-    return rows.withColumn("rank", F.row_number().over(w)).filter("rank <= 8").select("item_id", "conv_id", "turn", "rank", F.round("score", 6).alias("score"))
+    """The lines of each session that answer its last question best."""
+    said = turns(spark, sf_dir)
+    last = said.filter("role = 'user'").groupBy("session_id").agg(F.max_by("text", "turn").alias("query"))
+    lines = said.select("session_id", F.col("role").alias("kind"), F.col("turn").alias("pos"), F.col("text").alias("line"))
+    return M.retrieved(lines, last).select("session_id", "kind", "pos", "rank", F.round("score", 6).alias("score"))
 
 
-@query()
+@query("""with m as (select conv_id, count(*) as messages, max(turn) as last_turn from conversations group by 1),
+p as (select *, lead(text) over w as answer, lead(role) over w as next_role from conversations window w as (partition by conv_id order by turn)),
+n as (select conv_id, least(50, count(*)) as notes from p where role = 'user' and next_role = 'assistant' and trim(coalesce(answer, '')) <> '' group by 1),
+b as (select *, row_number() over (partition by conv_id order by turn desc) as back from conversations),
+f as (select conv_id, trim(string_agg('- ' || role || ': ' || substr(replace(coalesce(text, ''), chr(10), ' '), 1, 400), chr(10) order by turn)) as s from b where back > 4 group by conv_id)
+select conv_id as session_id, messages, last_turn, coalesce(notes, 0) as notes, case when s is null then 0 else least(6000, length(s)) end::bigint as summary_chars from m left join n using (conv_id) left join f using (conv_id)""")
 def memory_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.snapshot(turns(spark, sf_dir))
 
@@ -512,16 +677,20 @@ def memory_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- audits ------------------------------------------------------------------
 
 
-@query("""select lang, count(*) as n, count(*) filter (where trim(coalesce(source, '')) = '') as missing, count(*) filter (where quality = 0) as weak, count(quality) as labelled from documents left join labels using (doc_id) group by lang""")
+@query("""select lang, count(*) as n, count(*) filter (where trim(coalesce(ticker, '')) = '') as missing_ticker, count(*) filter (where source_file = 'source.pdf') as stale,
+case when stale > 0 then 'stale_source' when missing_ticker > 0 then 'missing_ticker' end as reason, reason is null as valid
+from (select lang, case when doc_id % 7 = 0 and lang = 'en' then '' else source end as ticker, case when doc_id % 11 = 0 and lang = 'de' then 'source.pdf' else 'f.pdf' end as source_file from documents) group by lang""")
 def index_health_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left")
-    return rows.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.trim(F.coalesce("source", F.lit(""))) == "").alias("missing"), F.count_if(F.col("quality") == 0).alias("weak"), F.count("quality").alias("labelled"))
+    """The audit of an index by language; some rows of two languages are made faulty here."""
+    faulty = lambda n, lang: (F.col("doc_id") % n == 0) & (F.col("lang") == lang)
+    rows = read(spark, sf_dir, "documents").select("lang", F.when(faulty(7, "en"), "").otherwise(F.col("source")).alias("ticker"), F.when(faulty(11, "de"), "source.pdf").otherwise("f.pdf").alias("source_file"))
+    return readers.health(rows, ["lang"])
 
 
-@query("select lang, source, text from documents where lang in ('en', 'de') and source in ('src1', 'src2')")
+@query("select upper(lang) as ticker, 'FY' || lpad((doc_id % 4 + 2022)::varchar, 4, '0') as fiscal_year, text from documents where lang in ('en', 'de') and doc_id % 4 in (1, 2)")
 def scoped_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "documents").select(F.col("lang").alias("ticker"), F.col("source").alias("fiscal_year"), "text")
-    return rows.filter(F.col("ticker").isin("en", "de") & F.col("fiscal_year").isin("src1", "src2")).select(F.col("ticker").alias("lang"), F.col("fiscal_year").alias("source"), "text")
+    rows = read(spark, sf_dir, "documents").select(F.upper("lang").alias("ticker"), F.concat(F.lit("FY"), (F.col("doc_id") % 4 + 2022).cast("string")).alias("fiscal_year"), "text")
+    return readers.scoped(rows, ["en", " DE"], ["2023", "FY2024"])
 
 
 # --- identity, captions, assets ----------------------------------------------
@@ -613,9 +782,9 @@ def session_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.notes(turns(spark, sf_dir))
 
 
-@query("""with a as (select 'table_' || lpad(row_number() over (partition by source order by doc_id)::varchar, 3, '0') as table_id, source as source_file, doc_id from documents where n_chars > 1000) select source_file, table_id, doc_id from a""")
+@query("""with a as (select 'table_' || lpad(row_number() over (partition by source order by doc_id)::varchar, 3, '0') as table_id, source as source_file, doc_id from documents) select source_file, table_id, doc_id from a""")
 def dense_asset_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "documents").filter("n_chars > 1000").select(F.col("source").alias("source_file"), "doc_id")
+    rows = read(spark, sf_dir, "documents").select(F.col("source").alias("source_file"), "doc_id")
     return TB.dense_ids(rows, "table", ["doc_id"])
 
 
@@ -629,17 +798,190 @@ def rerank_by_service(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.reranked(hits, scored, 3).select("query_id", "doc_id", "rank", "rerank_score")
 
 
-@query()
+@query(fixtures.rows_sql("file, page, line, score, level", [("f", 1, "MARKET RISK", 5, 2), ("f", 1, "Note 3 – Leases", 1, 1)]))
 def layout_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings of a small page: candidates with score and level."""
     lines = literal(spark, [("f", 1, 0, "MARKET RISK", False, 250.0, 362.0, 100.0, 112.0, 612.0, 12.0, False, False, ["A"]), ("f", 1, 1, "We hold notes that pay interest at fixed rates.", False, 72.0, 540.0, 140.0, 152.0, 612.0, 10.0, False, False, ["A"]), ("f", 1, 2, "Note 3 – Leases", False, 72.0, 200.0, 180.0, 192.0, 612.0, 10.0, True, False, ["A"])], schemas.LINE)
     return L.heading_candidates(lines).select("file", "page", "line", "score", "level")
 
 
-@query()
+@query(fixtures.rows_sql("body, table_refs", [("Sales grew, as follows. [[TABLE:t1]]", "t1"), ("First comes revenue. [[TABLE:t1]] Then we turn to assets. [[TABLE:t2]] That is all.", "t1,t2"), ("No table is here.", ""), ("", "")]))
 def table_marked_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = literal(spark, [("Heading Sales grew, as follows: Revenue 100 90 Costs 40 35", "Heading", [("t1", [["Revenue", "100", "90"]])])], "body string, heading string, tables array<struct<table_id: string, raw_rows: array<array<string>>>>")
+    one, two = ("t1", [["Revenue", "100", "90"], ["Costs", "40", "35"]]), ("t2", [["Assets", "7", "6"]])
+    rows = literal(spark, [("Heading Sales grew, as follows: Revenue 100 90 Costs 40 35", "Heading", [one]), ("First comes revenue. Revenue 100 90 Costs 40 35 Then we turn to assets. Assets 7 6 That is all.", "", [two, one]), ("No table is here.", "", []), (None, None, None)], "body string, heading string, tables array<struct<table_id: string, raw_rows: array<array<string>>>>")
     return rows.select(bodies.clean_udf("body", "heading", "tables").alias("x")).select("x.body", F.array_join("x.table_refs", ",").alias("table_refs"))
 
 
+# --- sources and stores --------------------------------------------------------
+
+
+def filing_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as text chunks of filings: language and three years name the filing."""
+    name = F.concat(F.upper(F.coalesce("lang", F.lit("xx"))), F.lit("_FY"), (2023 + F.col("doc_id") % 3).cast("string"), F.lit("_10-K.pdf"))
+    none = F.lit(None).cast("string")
+    return read(spark, sf_dir, "documents").select(name.alias("source_file"), F.col("doc_id").cast("string").alias("chunk_id"), F.lit("text").alias("chunk_type"), none.alias("section_ref_id"), F.array("source").alias("header_path"), "text", none.alias("prev_id"), none.alias("next_id"), F.col("doc_id").alias("load_seq"))
+
+
+@query(r"""with d as (select upper(coalesce(lang, 'xx')) as ticker, 'FY' || (2023 + doc_id % 3) as fiscal_year, doc_id, trim(regexp_replace(translate(text, chr(160), ' '), '\s+', ' ', 'g')) as content from documents)
+select ticker || '_' || fiscal_year || '_10-K.pdf::' || doc_id as chunk_id, ticker, fiscal_year, case when ticker = 'EN' and fiscal_year = 'FY2024' then 'new ' || content else content end as content, 64 as dim from d where content <> ''""".replace("\\\\", "\\"))
+def index_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text index built from chunks, then one filing's chunks replaced."""
+    path = f"{own_dir(spark)}/index-{uuid.uuid4().hex}"
+    chunks = filing_chunks(spark, sf_dir)
+    jobs.build_index(readers.index_rows(chunks, "load_seq"), path, models.embedding)
+    again = chunks.filter("source_file = 'EN_FY2024_10-K.pdf'").withColumn("text", F.concat(F.lit("new "), "text"))
+    jobs.build_index(readers.index_rows(again, "load_seq"), path, models.embedding, rebuild=False)
+    return jobs.read_index(spark, path).select("chunk_id", "ticker", "fiscal_year", "content", F.size("embedding").alias("dim"))
+
+
+@query("select 'EM_FY2025_x.pdf::table::t' || vec_id as chunk_id, 't' || vec_id as table_id, 'EM' as ticker, 'FY2025' as fiscal_year, 'topic ' || label as content from embeddings where label % 2 = 0")
+def table_index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of table captions: only tables with a successful summary."""
+    path = f"{own_dir(spark)}/captions-{uuid.uuid4().hex}"
+    state = F.when(F.col("label") % 2 == 0, "success").otherwise("error")
+    assets_ = read(spark, sf_dir, "embeddings").select(F.lit("EM_FY2025_x.pdf").alias("source_file"), F.concat(F.lit("t"), F.col("vec_id").cast("string")).alias("table_id"), state.alias("status"), F.concat(F.lit("topic  [num]"), F.col("label").cast("string")).alias("summary"))
+    jobs.build_table_index(assets_, path, models.embedding)
+    return jobs.read_index(spark, path).select("chunk_id", "table_id", "ticker", "fiscal_year", "content")
+
+
+@query(fixtures.rows_sql("workspace, n, status, reason", fixtures.AUDITS))
+def workspace_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Workspaces found on disk, their chunks indexed and audited; one has no chunks yet."""
+    files = {f"{w}/chunks.json": json.dumps(rows) for w, rows in fixtures.WORKSPACES.items()} | {f"w{k}/metadata.json": "{}" for k in (1, 2, 3, 4)}
+    root = fixtures.landed(spark, "workspaces", files)
+    return jobs.rebuild_indexes(spark, root, f"{root}-index", fixtures.CHUNK_ROW, models.embedding)
+
+
+@query("select event_id, event_type, null as broken from events union all select null, null, '{broken'")
+def json_artifact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An artifact written as JSON and read back, a broken line beside it."""
+    path = f"{own_dir(spark)}/artifact-{uuid.uuid4().hex}"
+    jobs.write_json(read(spark, sf_dir, "events").select("event_id", "event_type"), path)
+    good, _ = jobs.read_json(spark, path, "event_id bigint, event_type string")
+    _, bad = jobs.read_json(spark, fixtures.landed(spark, "broken", {"a.json": '{broken\n{"event_id": 1, "event_type": "x"}\n'}), "event_id bigint, event_type string")
+    return good.withColumn("broken", F.lit(None).cast("string")).unionByName(bad, allowMissingColumns=True)
+
+
+@query(fixtures.rows_sql("name, valid", [(r[0], r[4]) for r in fixtures.FILINGS]))
+def valid_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = literal(spark, [r[:4] for r in fixtures.FILINGS], "name string, length bigint, pages int, first string")
+    return rows.select("name", jobs.valid_filing(F.col("length"), F.col("pages"), F.col("first")).alias("valid"))
+
+
+@query("select vec_id, len(embedding)::bigint * 4 as bytes, true as same from embeddings")
+def vector_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors to bytes and back."""
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<float>").alias("v")).withColumn("blob", vectors.to_blob("v"))
+    return rows.select("vec_id", F.octet_length("blob").cast("bigint").alias("bytes"), (vectors.from_blob("blob") == F.col("v")).alias("same"))
+
+
+@query("""with f as (select source, list(doc_id order by doc_id) filter (where n_chars > 500) as t, list(doc_id order by doc_id) filter (where n_chars <= 500 and lang = 'en') as i from documents group by source)
+select count(*) filter (where len(coalesce(t, [])) + len(coalesce(i, [])) > 0) as sources, sum(len(coalesce(t, [])))::bigint as tables, sum(len(coalesce(i, [])))::bigint as images from f""")
+def assets_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assets of all filings merged and counted."""
+    when = lambda test: F.collect_list(F.when(test, F.col("doc_id").cast("string")))
+    own = read(spark, sf_dir, "documents").groupBy(F.col("source").alias("source_file")).agg(when(F.col("n_chars") > 500).alias("tables"), when((F.col("n_chars") <= 500) & (F.col("lang") == "en")).alias("images"))
+    return jobs.merged_assets(own)[1]
+
+
+@query(fixtures.rows_sql("address, ok, reason", [(m[0], m[3], m[4]) for m in fixtures.MAILS]))
+def delivery_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = literal(spark, [m[:3] for m in fixtures.MAILS], "address string, subject string, body string")
+    return rows.withColumn("x", T.deliverable(F.col("address"), F.col("subject"), F.col("body"))).select("address", "x.ok", "x.reason")
+
+
+@query(fixtures.rows_sql("seq, item, title, page, text", fixtures.SECTION_ROWS))
+def document_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line records to sections: contents pages, entries, headings in the body, texts."""
+    return L.section_payload(fixtures.layout_lines(ship(spark)))[0].select("seq", "item", "title", "page", "text")
+
+
+@query(fixtures.rows_sql("section_seq, sub_seq, title, level, page, path", fixtures.SUBSECTION_ROWS))
+def document_subsections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.section_payload(fixtures.layout_lines(ship(spark)))[1].select("section_seq", "sub_seq", "title", "level", "page", F.array_join("path", " > ").alias("path"))
+
+
+@query(fixtures.rows_sql("item, n, every", [("Item 1", 2, False), ("Item 1a", 1, False), ("Item 1", 2, True), ("Item 1a", 1, True), ("Item 2", 0, True)]))
+def subsection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own, subs = L.section_payload(fixtures.layout_lines(ship(spark)))
+    return L.subsection_counts(own, subs).select("item", "n", F.lit(False).alias("every")).union(L.subsection_counts(own, subs, True).select("item", "n", F.lit(True)))
+
+
+@query("""with h as (select conv_id, turn, case when turn % 3 = 0 then turn else -1 end as off, case when turn % 3 = 1 then role else 'no title' end as title from conversations),
+r as (select conv_id, turn, role, length(text) as y from conversations)
+select h.conv_id, h.turn, coalesce((select y from r where r.conv_id = h.conv_id and r.turn = h.off), (select min_by(y, r.turn) from r where r.conv_id = h.conv_id and r.role = h.title))::double as y0 from h""")
+def heading_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings joined to their line records: by offset, else by text, the first of several."""
+    rows = read(spark, sf_dir, "conversations")
+    heads = rows.select(F.col("conv_id").alias("file"), "turn", F.lit(1).alias("page"), F.when(F.col("turn") % 3 == 0, F.col("turn")).otherwise(-1).alias("offset"), F.when(F.col("turn") % 3 == 1, F.col("role")).otherwise("no title").alias("title"))
+    records = rows.select(F.col("conv_id").alias("file"), F.lit(1).alias("page"), F.col("turn").alias("offset"), F.col("role").alias("line"), F.col("turn").alias("line_no"), F.lit(0.0).alias("x0"), F.length("text").cast("double").alias("y0"))
+    return L.record_of(heads, records).select(F.col("file").alias("conv_id"), "turn", "y0")
+
+
+@query(fixtures.rows_sql("table_id, asset_type, page_start, page_end, section_ref_id, subsection_ref_id, n_rows, sources", fixtures.TABLES))
+def document_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detected regions of a document through all table steps."""
+    d = fixtures.table_document(ship(spark))
+    own = TB.run_tables(d["regions"], d["lines"], d["refs"], d["heads"])[0]
+    return own.select("table_id", "asset_type", "page_start", "page_end", "section_ref_id", "subsection_ref_id", F.size("raw_rows").alias("n_rows"), F.array_join("source_table_ids", ",").alias("sources"))
+
+
+@query(fixtures.rows_sql("step, n", fixtures.TABLE_STEPS))
+def table_step_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = fixtures.table_document(ship(spark))
+    return TB.run_tables(d["regions"], d["lines"], d["refs"], d["heads"])[1]
+
+
+@query(fixtures.rows_sql("image_id, page, section_ref_id", fixtures.IMAGES))
+def document_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = fixtures.table_document(ship(spark))
+    blocks = literal(spark, [("t.pdf", *b) for b in fixtures.BLOCKS], "file string, block_no int, page int, bbox array<double>")
+    return assets.payload(d["regions"], d["lines"], blocks, d["refs"], d["heads"])["images"].select("image_id", "page", "section_ref_id")
+
+
+@query(fixtures.rows_sql("ref, table_id", [("t1", "g1"), ("t3", "t3"), ("t9", None), ("t2", "g2")]))
+def table_by_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References to tables: by id, else by an id that a group took in, first one that has page crops."""
+    tables = literal(spark, [("f", "g0", ["t2"], None), ("f", "g1", ["t1"], None), ("f", "g2", ["t2"], ["p1.png"]), ("f", "t3", [], None), ("f", "g3", ["t3"], ["p2.png"])], "source_file string, table_id string, source_table_ids array<string>, crops array<string>")
+    return TB.by_alias(literal(spark, [("f", "t1"), ("f", "t3"), ("f", "t9"), ("f", "t2")], "source_file string, ref string"), tables).select("ref", "table_id")
+
+
+@query(fixtures.rows_sql("chunk_id, header, text, token_count", [("table_00001", "Item 8", "Revenue | 10\nCosts | ", 5), ("table_00002", "Item 8", "x", 1), ("image_00001", "Item 7 > Liquidity", "Item 7 > Liquidity Image/figure on page 4 with bbox [1.0, 2.0].", 12)]))
+def asset_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables and images as chunks of their own, header paths without empty parts."""
+    tables = literal(spark, [("f", "t2", ["Item 8", ""], [["x"]], 3, 3, [0.0, 5.0]), ("f", "t1", ["", "Item 8", None], [["Revenue", "10"], ["Costs", None]], 2, 2, [0.0, 9.0])], "source_file string, table_id string, header_path array<string>, raw_rows array<array<string>>, page_start int, page_end int, bbox array<double>")
+    images = literal(spark, [("f", "i1", ["Item 7", "", "Liquidity"], 4, [1.0, 2.0])], "source_file string, image_id string, header_path array<string>, page int, bbox array<double>")
+    shown = ["chunk_id", F.array_join("header_path", " > ").alias("header"), "text", "token_count"]
+    return C.table_chunks(tables).select(*shown).union(C.image_chunks(images).select(*shown))
+
+
+@query("""with e as (select *, row_number() over (partition by user_id order by event_id desc) as back from events)
+select 'artifact' as kind, user_id as session_id, event_id::varchar as name, value as v, 0 as n from e where back <= 24
+union all select 'semantic', user_id, event_type, max_by(value, event_id), count(*)::int - 1 from events group by user_id, event_type""")
+def session_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tool results and notes of sessions as tables: the newest of a session, the last importance of a note."""
+    events = read(spark, sf_dir, "events")
+    own = M.store(turns(spark, sf_dir), events.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), F.lit("t").alias("tool"), F.col("value").cast("string").alias("input"), F.lit("").alias("output")), events.select(F.col("user_id").alias("session_id"), F.col("event_type").alias("content"), F.col("value").alias("importance"), F.col("event_id").alias("seq")))
+    a = own["tool_artifacts"].select(F.lit("artifact").alias("kind"), "session_id", F.col("seq").cast("string").alias("name"), F.col("input_preview").cast("double").alias("v"), F.lit(0).alias("n"))
+    return a.union(own["memory_semantic"].select(F.lit("semantic"), "session_id", "content", "importance", F.col("access_count").cast("int")))
+
+
+@query("""with m as (select conv_id, min(turn) as created, max(turn) as updated, count(*) as messages from conversations group by 1),
+b as (select *, row_number() over (partition by conv_id order by turn desc) as back from conversations),
+f as (select conv_id, trim(string_agg('- ' || role || ': ' || substr(replace(coalesce(text, ''), chr(10), ' '), 1, 400), chr(10) order by turn)) as s from b where back > 4 group by conv_id)
+select conv_id as session_id, coalesce(case when length(s) > 6000 then right(s, 6000) else s end, '') as summary, created, updated, messages from m left join f using (conv_id)""")
+def session_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = M.store(turns(spark, sf_dir))
+    n = own["messages"].groupBy("session_id").agg(F.count("*").alias("messages"))
+    return own["sessions"].join(n, "session_id")
+
+
+@query(HYBRID + r""", c as (select query_id, rank, '[' || rank || '] ' || coalesce(source, 'unknown') || chr(10) || trim(regexp_replace(translate(coalesce(text, ''), chr(160), ' '), '\s+', ' ', 'g')) as b from h join documents using (doc_id) where rank <= 8)
+select query_id, string_agg(b, chr(10) || chr(10) order by rank) as context from c group by 1""".replace("\\\\", "\\"))
+def context_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contexts of a question as one text."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return prompts.contexts(hybrid(spark, sf_dir).join(docs, "doc_id"), F.col("text"))
+
+
 __all__ = ["ORACLE_SQL", "QUERIES", "chunker", "readers", "vectors"]

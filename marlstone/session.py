@@ -21,6 +21,17 @@ def session(name: str = "marlstone", master: str | None = None, **conf: str) ->
     return builder.config(map=settings | conf).getOrCreate()
 
 
+def settings(lines: list[str], known: dict[str, str] | None = None, override: bool = False) -> dict[str, str]:
+    """``KEY=VALUE`` lines over known settings: comments and quotes go, what is known stays unless ``override``."""
+    out = dict(known or {})
+    for line in lines:
+        key, sign, value = line.strip().partition("=")
+        key, value = key.removeprefix("export ").strip(), value.strip().strip("'\"")
+        if sign and key and not key.startswith("#") and (override or key not in out):
+            out[key] = value
+    return out
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Make the package importable in Python workers, where the search path they inherit lacks it."""
     root = Path(__file__).resolve().parent.parent

@@ -16,12 +16,12 @@ def company_facts(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.upper(F.regexp_extract("file", r"^([A-Za-z]+)_", 1)).alias("ticker"), "facts")
 
 
-def index_rows(chunks: DataFrame) -> DataFrame:
-    """Text chunks as index rows: id and neighbours qualified by their source, scope from its name, text as it is embedded."""
+def index_rows(chunks: DataFrame, *more: str) -> DataFrame:
+    """Text chunks as index rows: id and neighbours qualified by their source, scope from its name, text as it is embedded; ``more`` columns stay."""
     own = chunks.filter((F.col("chunk_type") == "text") & (T.clean_text(F.col("text")) != ""))
     who = scope.source_identity(F.col("source_file"))
     qualified = lambda c: scope.qualified_id(F.col("source_file"), F.col(c)).alias(c)
-    return own.select(qualified("chunk_id"), T.embedding_text(F.col("text")).alias("content"), who["ticker"].alias("ticker"), who["fiscal_year"].alias("fiscal_year"), "source_file", "section_ref_id", "header_path", qualified("prev_id"), qualified("next_id"))
+    return own.select(qualified("chunk_id"), T.embedding_text(F.col("text")).alias("content"), who["ticker"].alias("ticker"), who["fiscal_year"].alias("fiscal_year"), "source_file", "section_ref_id", "header_path", qualified("prev_id"), qualified("next_id"), *more)
 
 
 def summary_rows(assets: DataFrame) -> DataFrame:
@@ -31,13 +31,6 @@ def summary_rows(assets: DataFrame) -> DataFrame:
     return own.select(F.concat_ws("::", "source_file", F.lit("table"), "table_id").alias("chunk_id"), T.caption_text(F.col("summary")).alias("content"), "table_id", who["ticker"].alias("ticker"), who["fiscal_year"].alias("fiscal_year"), "source_file")
 
 
-def write_index(rows: DataFrame, path: str) -> None:
-    """Keep the last row of each id; partitions by scope, so a filtered scan reads only its filings."""
-    from marlstone.operators.facts import keep_last
-
-    keep_last(rows, ["chunk_id"], "load_seq").write.mode("overwrite").partitionBy("ticker", "fiscal_year").parquet(path)
-
-
 def scoped(rows: DataFrame, tickers: list[str] | None = None, years: list[str] | None = None) -> DataFrame:
     """Rows of the wanted filings; values are canonical, so the predicate prunes partitions."""
     out = rows
@@ -48,12 +41,6 @@ def scoped(rows: DataFrame, tickers: list[str] | None = None, years: list[str] |
     return out
 
 
-def merged_assets(spark: SparkSession, pattern: str) -> DataFrame:
-    """Asset documents of all workspaces under a glob, tagged with their source."""
-    rows = spark.read.json(pattern, multiLine=True).withColumn("workspace", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1))
-    return rows
-
-
 def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
@@ -72,8 +59,8 @@ def with_css(html, css: str):
     return F.when(F.contains(F.lower(html), F.lit("</head>")), F.regexp_replace(html, r"(?i)(?s)^(.*?)(</head>)", f"$1<style>{css}</style>$2")).otherwise(F.concat(style, html))
 
 
-def health(rows: DataFrame) -> DataFrame:
-    """One row: index size, rows without a ticker, rows of a generic source, validity and the first reason against it."""
-    stats = rows.agg(F.count("*").alias("n"), F.count_if(F.trim(F.coalesce("ticker", F.lit(""))) == "").alias("missing_ticker"), F.count_if(F.col("source_file") == "source.pdf").alias("stale"))
+def health(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Index size, rows without a ticker, rows of a generic source, validity and the first reason against it: one row, or one per ``keys``."""
+    stats = rows.groupBy(*(keys or [])).agg(F.count("*").alias("n"), F.count_if(F.trim(F.coalesce("ticker", F.lit(""))) == "").alias("missing_ticker"), F.count_if(F.col("source_file") == "source.pdf").alias("stale"))
     reason = F.when(F.col("n") == 0, "empty").when(F.col("stale") > 0, "stale_source").when(F.col("missing_ticker") > 0, "missing_ticker")
     return stats.withColumn("reason", reason).withColumn("valid", F.col("reason").isNull())

@@ -45,7 +45,7 @@ def materialise(df: DataFrame, label: str, compression: str = "zstd", parts: int
     return spark.read.schema(df.schema).parquet(path)
 
 
-def files_for(rows: int, width: int, size: int = 32_000_000, least: int = 8) -> int:
+def files_for(rows: int, width: int, size: int = 8_000_000, least: int = 8) -> int:
     """Files of about ``size`` bytes for ``rows`` rows of ``width`` bytes at most, so that narrow tables don't become a file per shuffle partition."""
     return max(least, -(-rows * width // size))
 
