@@ -52,6 +52,8 @@ STRENGTH = 0.25
 AGREE = 36
 #: Texts of a block; two blocks meet in one task.
 BLOCK = 256
+#: Tasks over which the texts of a bucket are spread where they meet what is known of it.
+SALT = 8
 #: Keys that may be broadcast (16 bytes each); beyond, the join shuffles.
 BROADCAST_KEYS = 2_000_000
 CACHE = 200_000
@@ -246,7 +248,7 @@ def dealt(members: DataFrame) -> DataFrame:
     sizes = members.groupBy("band", "bucket", "label").agg(F.count("*").alias("n"))
     top = sizes.groupBy("band", "bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("every"))
     many = lambda n: F.ceil(n / BLOCK).cast("int")
-    own = members.join(top.select("band", "bucket", F.col("top.label").alias("most"), many(F.col("top.n")).alias("large"), many(F.col("every") - F.col("top.n")).alias("others")), ["band", "bucket"])
+    own = of_bucket(members, top.select("band", "bucket", F.col("top.label").alias("most"), many(F.col("top.n")).alias("large"), many(F.col("every") - F.col("top.n")).alias("others")))
     own = own.withColumn("block", F.pmod(F.xxhash64("key"), F.when(F.col("label") == F.col("most"), F.col("large")).otherwise(F.col("others"))).cast("int"))
     until = lambda n: F.sequence(F.lit(0), n - 1)
     met = F.when(F.col("label") == F.col("most"), F.transform(until(F.col("others")), lambda i: F.struct(i.alias("i"), (-1 - F.col("block")).alias("j"))))
@@ -255,6 +257,13 @@ def dealt(members: DataFrame) -> DataFrame:
     return own.select("band", "bucket", "key", "label", "side", "block", F.explode(met).alias("m")).select("band", "bucket", "m.i", "m.j", "side", "block", "key", "label")
 
 
+def of_bucket(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``rows`` (``band``, ``bucket``, ``key``) with what is ``known`` of their buckets; a large bucket is spread over several tasks."""
+    spread = rows.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALT)))
+    every = known.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALT - 1).cast("bigint"))))
+    return spread.join(every, ["band", "bucket", "salt"]).drop("salt")
+
+
 class Meeting:
     """The texts of one meeting: which may be similar to which, by their signatures."""
 
@@ -373,17 +382,17 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     buckets = texts.select("key", F.posexplode("bands").alias("band", "bucket"))
     stars = buckets.groupBy("band", "bucket").agg(F.min("key").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
     stars = common.materialise(stars, "stars", parts=wide)
-    pairs = buckets.join(stars, ["band", "bucket"]).filter("key != a").select("a", F.col("key").alias("b")).distinct()
+    pairs = of_bucket(buckets, stars).filter("key != a").select("a", F.col("key").alias("b")).distinct()
     pairs = common.materialise(pairs, "pairs", parts=wide)
     links = verified(pairs, texts, docs, idf, threshold, parts)
     labels = components(links)
     # what is left: buckets with members of several classes
-    members = buckets.join(stars.select("band", "bucket"), ["band", "bucket"]).join(labels, "key", "left").select("band", "bucket", "key", F.coalesce("label", "key").alias("label"))
+    members = of_bucket(buckets, stars.select("band", "bucket")).join(labels, "key", "left").select("band", "bucket", "key", F.coalesce("label", "key").alias("label"))
     members = common.materialise(members, "members", parts=wide)
     mixed = members.groupBy("band", "bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("band", "bucket")
     mixed = common.materialise(mixed, "mixed", parts=wide)
     if not mixed.isEmpty():
-        more = links_across(members.join(mixed, ["band", "bucket"]), texts, docs, idf, threshold, parts)
+        more = links_across(of_bucket(members, mixed), texts, docs, idf, threshold, parts)
         common.discard(labels)
         labels = components(links.union(more))
     for table in (texts, stars, pairs, members, mixed):
