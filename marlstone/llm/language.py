@@ -166,8 +166,10 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     languages = sorted({r[2] for r in rows})
     model = Model(languages, np.log((1 + n) / (1 + frequency)) + 1)
     data = [(np.frombuffer(a, np.uint16).astype(np.int64), np.frombuffer(c, np.uint16).astype(np.int64), languages.index(lang)) for a, c, lang in rows]
-    aside = [r for k, r in enumerate(data) if k % 5 == 0 and len(r[0])]
-    model.fit([r for k, r in enumerate(data) if k % 5])
+    seen: dict[int, int] = {}
+    nth = [seen.update({kind: seen.get(kind, -1) + 1}) or seen[kind] for *_, kind in data]
+    aside = [r for r, k in zip(data, nth, strict=True) if k % 5 == 4 and len(r[0])]  # of each language every fifth, so that a rare one is learnt first
+    model.fit([r for r, k in zip(data, nth, strict=True) if k % 5 != 4])
     if aside and languages:
         model.heat = common.temperature(np.array([model.logits(a, c) for a, c, _ in aside]), np.array([k for *_, k in aside]))
     return model
