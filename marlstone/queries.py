@@ -320,12 +320,34 @@ def doc_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("source").alias("file"), F.col("lang").alias("section_id"), F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("unit_id"), F.col("doc_id").alias("unit_seq"), F.concat(F.lit("Part > "), "lang").alias("header"), F.col("text").alias("body"))
 
 
-@query()
+CHUNKS = r"""with recursive d as (select doc_id, source, case when lang is null then '' else 'Part > ' || lang || chr(10) || chr(10) end as prefix, case when lang is null then 0 else 3 end as taken,
+  trim(regexp_replace(translate(coalesce(text, ''), chr(160), ' '), '\s+', ' ', 'g')) as body from documents),
+w as (select *, string_split(body, ' ') as words, 480 - taken as size from d where body <> ''),
+s as (select doc_id, size, list_transform(string_split(regexp_replace(body, '([.!?]) ', '\1' || chr(1), 'g'), chr(1)), lambda x: len(string_split(x, ' '))) as n from w where taken + len(words) > 500),
+p as (select *, list_transform(range(0, len(n) + 1), lambda k: coalesce(list_sum(n[1:k]), 0)::bigint) as upto, list_transform(range(0, len(n)), lambda k: coalesce(list_max(list_filter(range(1, k + 1), lambda j: n[j] > size)), 0)) as low,
+  list_transform(range(0, len(n)), lambda k: coalesce(list_min(list_filter(range(k + 1, len(n) + 1), lambda j: n[j] > size)) - 1, len(n))) as high from s),
+r as (select doc_id, 0::bigint as k, 0::bigint as b, (case when n[1] > size then 1 else least(high[1], greatest(1, len(list_filter(upto, lambda x: x <= size)) - 1)) end)::bigint as e from p
+  union all select doc_id, k + 1, b, (case when n[f + 1] > size then f + 1 else least(high[f + 1], greatest(f + 1, len(list_filter(upto, lambda x: x <= upto[b + 1] + size)) - 1)) end)::bigint
+  from (select p.*, r.k, r.e as f, case when n[r.e + 1] > size then r.e else greatest(r.b, r.e - 2, low[r.e + 1]) end::bigint as b from r join p using (doc_id) where r.e < len(n))),
+g as (select r.doc_id, k, upto[b + 1] as first, upto[e + 1] - upto[b + 1] as total, case when n[b + 1] > size then size when upto[e + 1] - upto[b + 1] > 520 then 430 else upto[e + 1] - upto[b + 1] end as block from r join p using (doc_id)),
+q as (select doc_id, k, off, first + off as first, least(block, total - off) as len from (select *, unnest(range(0, total, block)) as off from g)),
+o as (select q.*, words, taken, prefix, (row_number() over z = 1 or taken + len >= 100)::int as opens from q join w using (doc_id) window z as (partition by q.doc_id order by k, off)),
+m as (select *, sum(opens) over (partition by doc_id order by k, off) as grp from o),
+c as (select doc_id, grp, any_value(taken) as taken, any_value(prefix) as prefix, string_split(string_agg(array_to_string(words[first + 1:first + len], ' '), ' ' order by k, off), ' ') as x from m group by doc_id, grp),
+h as (select *, case when taken + len(x) <= 500 then len(x) else greatest(500 - taken, 80) end as room from c),
+t as (select doc_id, grp, off, prefix || array_to_string(x[off + 1:off + room], ' ') as text, taken + least(room, len(x) - off) as token_count from (select *, unnest(range(0, len(x), room)) as off from h)
+  union all select doc_id, 0, 0, prefix || body, taken + len(words) from w where taken + len(words) <= 500),
+u as (select t.*, source, row_number() over (partition by doc_id order by grp, off) - 1 as split_index, count(*) over (partition by doc_id) as split_count from t join d using (doc_id)),
+v as (select source as file, 'text_' || lpad((row_number() over (partition by source order by doc_id, split_index))::varchar, 5, '0') as chunk_id, 'u' || doc_id as unit_id, text, token_count::bigint as token_count, split_index::int as split_index, split_count from u)
+"""
+
+
+@query(CHUNKS + "select * from v")
 def chunk_sentence_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.chunked(doc_units(spark, sf_dir)).select("file", "chunk_id", "unit_id", "text", "token_count", "split_index", "split_count")
 
 
-@query()
+@query(CHUNKS + "select count(*) as chunks, count(*) filter (where token_count > 500) as long, count(*) filter (where token_count < 100) as short, count(*) filter (where split_index > 0) as continued from v")
 def chunk_payload_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.counters(C.chunked(doc_units(spark, sf_dir)))
 
