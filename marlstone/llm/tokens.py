@@ -30,7 +30,7 @@ CHUNKS: dict[str, Callable[[str], list[str]]] = {"word_bpe_49k.json": str.split,
 #: Vocabulary files that lower-case a text first.
 LOWER = {"word_bpe_49k.json"}
 #: Cached chunks, and cached words, of a worker; beyond, the later half goes.
-CACHE = 300_000
+CACHE = 500_000
 
 
 def visible_bytes() -> list[str]:
