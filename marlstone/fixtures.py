@@ -356,3 +356,13 @@ def star(spark: SparkSession) -> dict[str, DataFrame]:
     parts = spark.createDataFrame(PART_ROWS, schemas.BREAKDOWN + ", pos int")
     docs = documents(spark, [*FACTS, *BALANCES])
     return FA.star(docs, companies, parts, parts.filter("name <> 'South'"))
+
+# id, rows, text around, markdown, topic, labels of the markdown
+TOPICS = [
+    (1, [["Revenue", "10"], ["Gross margin", "5"], ["Operating income", "3"]], "SUMMARY RESULTS OF OPERATIONS Fiscal Year 2025 Compared with Fiscal Year 2024", None, "consolidated summary results of operations with revenue, margins, and earnings FY2025 vs FY2024", ""),
+    (2, [["Research and development", "5"], ["As a percent of revenue", "2%"]], "OPERATING EXPENSES in 2025 and 2024", "| Label | 2025 |\n|---|---|\n| Sales | 5 |\n| Sales | 6 |\n| (x) | 1 |\n| Up $5 | 2 |", "research and development operating expenses and percent of revenue FY2025 vs FY2024", "Label,Sales,Up [amount]"),
+    (3, [["Marketing", "5"]], "Operating expenses rose", None, "marketing operating expenses", ""),
+    (4, [["Total revenue", "5"], ["Net income", "2"]], "", None, "consolidated summary results of operations with total revenue, net income", ""),
+    (5, [["Inventories", "5"], ["Receivables", "2"]], "2025 2024", None, "Inventories FY2025 vs FY2024", ""),
+    (6, [["$ 5", "1"], ["(In millions)", ""]], None, "no table", "", ""),
+]

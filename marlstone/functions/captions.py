@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,7 +13,13 @@ from marlstone.functions import text as T
 AMOUNT = r"(?i)\$[\d,]+(?:\.\d+)?(?:\s*(?:million|billion|thousand|m|b))?"
 NUMBER = r"\(?[\d,]+(?:\.\d+)?\)?%?"
 PERCENT = r"\(?[\d,]+(?:\.\d+)?\)?%"
-BOILERPLATE = r"(?i)^(?:(?:the\s+)?table\s+(?:presents|shows|displays|contains|summarizes|lists)\b|(?:key\s+)?financial performance metrics\b)"
+BOILERPLATE = [
+    r"^(?:the\s+)?table\s+(?:presents|shows|displays|contains|summarizes|lists)\b",
+    r"^key financial performance metrics\b",
+    r"^financial performance metrics\b",
+]
+HEADINGS = r"(?i)\b(SUMMARY RESULTS OF OPERATIONS|RESULTS OF OPERATIONS|OPERATING EXPENSES|REPORTABLE SEGMENTS)\b"
+GROWTH = r"(?i)(?:growth across each of our segments|summary results of operations)"
 UNIT = r"(?i)^\(?In (?:millions|thousands)"
 COMPARES = r"(?i)\b(?:vs\.?|compared|change|comparison|expenses|operations|revenue|income)\b"
 
@@ -63,4 +71,34 @@ def weak_topic(c: Column) -> Column:
 
 
 def boilerplate(c: Column) -> Column:
-    return F.coalesce(c, F.lit("")).rlike(BOILERPLATE)
+    text = F.coalesce(c, F.lit(""))
+    return functools.reduce(Column.__or__, [text.rlike(f"(?i){p}") for p in BOILERPLATE])
+
+
+def markdown_labels(markdown: Column, n: int = 10) -> Column:
+    """The first cells of a markdown table's rows, figures masked, each once."""
+    rows = F.filter(F.transform(F.split(F.coalesce(markdown, F.lit("")), "\n"), F.trim), lambda x: F.startswith(x, F.lit("|")) & ~F.contains(x, F.lit("---")))
+    cells = F.transform(rows, lambda x: F.get(F.filter(F.transform(F.split(x, r"\|"), F.trim), lambda c: c != ""), F.lit(0)))
+    labels = F.transform(F.filter(cells, lambda c: c.isNotNull()), masked_context)
+    return F.slice(F.array_distinct(F.filter(labels, lambda c: (c != "") & ~F.startswith(c, F.lit("(")))), 1, n)
+
+
+def inferred_topic(rows: Column, corpus: Column) -> Column:
+    """A topic from a table's row labels, the heading near it and the years around it; empty where no row has a label.
+
+    Tables of results are named as such, with what they are about; tables of
+    expenses by their first label; all others by their first label alone.
+    """
+    labels, near = row_labels(rows), F.coalesce(corpus, F.lit(""))
+    low = F.transform(labels, F.lower)
+    has = lambda word: F.exists(low, lambda x: F.contains(x, F.lit(word)))
+    years = year_pair(near)
+    tail = F.when(years.isNotNull(), F.concat(F.lit(" FY"), years["newer"], F.lit(" vs FY"), years["older"])).otherwise("")
+    heading = F.upper(F.regexp_extract(near, HEADINGS, 1))
+    theme = F.when(has("revenue") & has("margin"), "revenue, margins, and earnings").when(has("expense"), F.array_join(F.slice(low, 1, 2), " and ")).when(F.size(low) >= 2, F.array_join(F.slice(low, 1, 3), ", ")).when(F.size(low) == 1, F.get(low, F.lit(0))).otherwise("key metrics")
+    results = F.concat(F.lit("consolidated summary results of operations with "), theme, tail)
+    behind = F.exists(F.slice(low, F.lit(2), F.greatest(F.size(low), F.lit(1))), lambda x: F.contains(x, F.lit("percent")) | F.contains(x, F.lit("revenue")))
+    expenses = F.concat(F.get(low, F.lit(0)), F.when(behind, " operating expenses and percent of revenue").otherwise(" operating expenses"), tail)
+    money = has("revenue") & (near.rlike(GROWTH) | ((F.size(low) >= 3) & has("gross margin")) | has("operating income") | has("net income") | has("diluted earnings"))
+    named = F.concat(F.get(labels, F.lit(0)), tail)
+    return T.clean_text(F.when(heading == "SUMMARY RESULTS OF OPERATIONS", results).when((heading == "OPERATING EXPENSES") & (F.size(low) > 0), expenses).when(money, results).otherwise(F.coalesce(named, F.lit(""))))

@@ -754,6 +754,12 @@ def caption_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", captions.weak_topic(F.col("topic")).alias("weak"), captions.boilerplate(F.col("topic")).alias("boilerplate"))
 
 
+@query(fixtures.rows_sql("id, topic, labels", [(t[0], t[4], t[5]) for t in fixtures.TOPICS]))
+def caption_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = literal(spark, [t[:4] for t in fixtures.TOPICS], "id int, raw_rows array<array<string>>, corpus string, markdown string")
+    return rows.select("id", captions.inferred_topic(F.col("raw_rows"), F.col("corpus")).alias("topic"), F.array_join(captions.markdown_labels(F.col("markdown")), ",").alias("labels"))
+
+
 @query(fixtures.values("with t", "source_file, table_id, ids, pos", [(a, b, c if c is not None else [], d) for a, b, c, d in fixtures.LOOKUP]).replace("[]", "[]::varchar[]") + """, k as (select source_file, table_id, pos, unnest([table_id] || ids || list_transform(ids, lambda x: x || '_merged')) as key from t),
 r as (select source_file || '::' || key as table_key, table_id, pos, row_number() over (partition by source_file || '::' || key order by pos, case when key = table_id then 0 else 1 end) as turn from k)
 select table_key, table_id from r where turn = 1""")

@@ -26,11 +26,10 @@ def session_memory(turns: DataFrame) -> DataFrame:
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         summary, recent = state.get if state.exists else ("", [])
         recent = list(recent)
-        for pdf in batches:
-            for row in pdf.sort_values("turn").itertuples():
-                recent.append(f"{row.role}: {(row.text or '')}")
-        folded = [f"- {x.replace(chr(10), ' ')[: FOLD_CHARS + x.index(':') + 2]}" for x in recent[:-KEEP]]
-        summary = "\n".join(x for x in (summary, *folded) if x)[-SUMMARY_CHARS:]
+        for pdf in batches:  # what is older than the window is folded batch by batch, so no list holds a whole session
+            recent += [f"{row.role}: {(row.text or '')}" for row in pdf.sort_values("turn").itertuples()]
+            folded = [f"- {x.replace(chr(10), ' ')[: FOLD_CHARS + x.index(':') + 2]}" for x in recent[:-KEEP]]
+            summary, recent = "\n".join(x for x in (summary, *folded) if x)[-SUMMARY_CHARS:], recent[-KEEP:]
         state.update((summary, recent[-KEEP:]))
         yield pd.DataFrame({"session_id": [key[0]], "summary": [summary], "recent": [len(recent[-KEEP:])]})
 
