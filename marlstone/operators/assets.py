@@ -118,3 +118,27 @@ def progress(steps: DataFrame) -> DataFrame:
     done, running = F.count_if(F.col("state") == "done"), F.count_if(F.col("state") == "running")
     share = F.floor(100 * done / 3) + F.when(running > 0, 8).otherwise(0)
     return steps.groupBy("job_id").agg(F.when(done >= 3, 100).otherwise(F.least(share, F.lit(95))).cast("int").alias("percent"))
+
+
+def enriched(files: DataFrame, audit: DataFrame, payloads: DataFrame) -> DataFrame:
+    """Files (``file_id``, ``chunks``, ``tables``) with the state of their index and, where a count is missing, the one of their payload."""
+    state = audit.select("file_id", F.col("valid").alias("index_ready"), F.col("reason").alias("index_reason"))
+    other = payloads.select("file_id", F.col("chunks").alias("other_chunks"), F.col("tables").alias("other_tables"))
+    joined = files.join(state, "file_id", "left").join(other, "file_id", "left")
+    return joined.select("file_id", F.coalesce("chunks", "other_chunks", F.lit(0)).alias("chunks"), F.coalesce("tables", "other_tables", F.lit(0)).alias("tables"), F.coalesce("index_ready", F.lit(False)).alias("index_ready"), "index_reason")
+
+
+def event_lines(steps: DataFrame, runs: DataFrame) -> DataFrame:
+    """Runs as lines of events (``run_id``, ``pos``, ``line``): started, a start and an end for each step, done or error.
+
+    ``steps``: ``run_id``, ``step``, ``tool``, ``size``; ``runs``: ``run_id``, ``error`` (null where the run ended well).
+    """
+    numbered = steps.withColumn("n", F.row_number().over(Window.partitionBy("run_id").orderBy("step")))
+    line = lambda *c: F.to_json(F.struct(*c))
+    kind = lambda x: F.lit(x).alias("type")
+    begun = numbered.select("run_id", (2 * F.col("n") - 1).alias("pos"), line(kind("step_start"), F.col("n").alias("step"), "tool").alias("line"))
+    ended = numbered.select("run_id", (2 * F.col("n")).alias("pos"), line(kind("step"), F.col("n").alias("step"), "tool", "size").alias("line"))
+    last = runs.join(numbered.groupBy("run_id").agg(F.max("n").alias("n")), "run_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    first = runs.select("run_id", F.lit(0).alias("pos"), line(kind("started")).alias("line"))
+    done = F.when(F.col("error").isNull(), line(kind("done"), F.col("n").alias("steps"))).otherwise(line(kind("error"), "error"))
+    return first.union(begun).union(ended).union(last.select("run_id", (2 * F.col("n") + 1).alias("pos"), done.alias("line")))

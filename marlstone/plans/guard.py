@@ -157,3 +157,8 @@ def answer(spark: SparkSession, question: str, generate: Callable[[str], str], c
 
 def as_json(result: Answer) -> str:
     return json.dumps(asdict(result), default=str)
+
+
+def payload(result: Answer, rows: int = 50) -> dict[str, Any]:
+    """What a tool call shows of an answer: ok where the question was dealt with, the first ``rows`` rows."""
+    return {"tool": "sql", "ok": result.status in ("success", "empty_result", "cannot_answer"), "question": result.question, "status": result.status, "sql": result.sql, "row_count": len(result.rows), "rows": result.rows[:rows], "correction_used": result.corrected, "error_message": result.error, "latency_ms": result.latency_ms}

@@ -433,16 +433,17 @@ def income_balance_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(said).select("company_ticker", "fiscal_year", F.col("margin").cast("double").alias("margin"), F.col("return_on_assets").cast("double").alias("return_on_assets"))
 
 
-@query(fixtures.rows_sql("question, status, sql, corrected, rows, error", [
-    ("ok", "success", "SELECT ticker FROM companies", False, 2, None), ("wrong", "success", "SELECT name FROM companies", True, 2, None), ("none", "cannot_answer", "CANNOT_ANSWER", False, 0, None),
-    ("empty", "empty_result", "SELECT ticker FROM companies WHERE name = 'nobody'", False, 0, None), ("bad", "error", "DELETE FROM companies", False, 0, "forbidden keyword DELETE"),
+@query(fixtures.rows_sql("question, status, sql, corrected, rows, error, ok", [
+    ("ok", "success", "SELECT ticker FROM companies", False, 2, None, True), ("wrong", "success", "SELECT name FROM companies", True, 2, None, True), ("none", "cannot_answer", "CANNOT_ANSWER", False, 0, None, True),
+    ("empty", "empty_result", "SELECT ticker FROM companies WHERE name = 'nobody'", False, 0, None, True), ("bad", "error", "DELETE FROM companies", False, 0, "forbidden keyword DELETE", False),
 ]))
 def question_to_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions answered by statements of a stand-in generator, one of them corrected."""
     fixtures.star(spark)["companies"].createOrReplaceTempView("companies")
     says = {"ok": "```sql\nSELECT ticker FROM companies;\n```", "wrong": "SELECT nme FROM companies", "none": "CANNOT_ANSWER", "empty": "SELECT ticker FROM companies WHERE name = 'nobody'", "bad": "DELETE FROM companies"}
     out = [guard.answer(spark, q, says.__getitem__, (lambda *_: "SELECT name FROM companies") if q == "wrong" else None) for q in says]
-    return spark.createDataFrame([(a.question, a.status, a.sql, a.corrected, len(a.rows), a.error) for a in out], "question string, status string, sql string, corrected boolean, rows int, error string")
+    shown = [guard.payload(a) for a in out]
+    return spark.createDataFrame([(a["question"], a["status"], a["sql"], a["correction_used"], a["row_count"], a["error_message"], a["ok"]) for a in shown], "question string, status string, sql string, corrected boolean, rows int, error string, ok boolean")
 
 
 @query("select 'region' as field, n_regionkey::varchar as key, array_to_string(list_sort(list(distinct n_name)), ',') as names from nation group by 2 union all select 'segment', c_nationkey::varchar, array_to_string(list_sort(list(distinct c_mktsegment)), ',') from customer group by 2")
@@ -1012,4 +1013,167 @@ def context_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prompts.contexts(hybrid(spark, sf_dir).join(docs, "doc_id"), F.col("text"))
 
 
+# --- texts, predicates and lookups ---------------------------------------------
+
+
+@query("""select doc_id, case when coalesce(source, '') = '' and coalesce(text, '') = '' then 'none' else concat_ws(chr(10), nullif(coalesce(source, ''), ''), nullif(coalesce(text, ''), '')) end as searched,
+concat_ws(chr(10), case when coalesce(source, '') <> '' then 'Section: ' || source end, nullif(substr(coalesce(text, ''), 1, 100), '')) as reranked from documents""")
+def search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as they are searched and as a reranker reads them."""
+    path = F.array(F.coalesce("source", F.lit("")))
+    return read(spark, sf_dir, "documents").select("doc_id", T.searchable_text(path, F.col("text"), F.lit("none")).alias("searched"), T.rerank_text(path, F.col("text"), 100).alias("reranked"))
+
+
+@query("""with b as (select o_orderkey, (o_orderkey % 300)::double as x0, (o_custkey % 400)::double as y0, x0 + 50 + o_orderkey % 260 as x1, y0 + 40 + o_custkey % 350 as y1 from orders)
+select o_orderkey, greatest(x0 - 8, 0) as left_, greatest(y0 - 6, 0) as top, least(x1 + 8, 612) as right_, least(y1 + 6, 792) as bottom,
+coalesce(list_max(list_filter(range(72, 145, 6), lambda d: (x1 - x0) * (y1 - y0) / 5184 * d * d <= 850000)), 72)::int as dpi from b""")
+def box_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes with margins on the page, and the largest resolution of their pictures."""
+    x, y = (F.col("o_orderkey") % 300).cast("double"), (F.col("o_custkey") % 400).cast("double")
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", F.array(x, y, x + 50 + F.col("o_orderkey") % 260, y + 40 + F.col("o_custkey") % 350).alias("b"))
+    p = TB.padded(F.col("b"), 8.0, 6.0)
+    return rows.select("o_orderkey", p[0].alias("left_"), p[1].alias("top"), p[2].alias("right_"), p[3].alias("bottom"), TB.largest_dpi(F.col("b")).alias("dpi"))
+
+
+ROW_FLAGS = [
+    (1, ["Revenue", "10", "9"], True, False, True), (2, ["(in millions)", "2025", "2024"], True, False, True), (3, ["Year", "Amount per share"], False, True, True), (4, ["January 5, 2024", "Declared"], True, False, True),
+    (5, ["Total of it", "x"], False, False, True), (6, ["Net income", "many words"], False, False, True), (7, ["We sell things", "in many places"], False, False, False), (8, [None, ""], False, False, False), (9, ["Thereafter", "5"], False, False, True), (10, ["x", "5"], False, False, False),
+]
+
+
+@query(fixtures.rows_sql("id, data, header, item", [(r[0], *r[2:]) for r in ROW_FLAGS]))
+def table_row_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = literal(spark, [r[:2] for r in ROW_FLAGS], "id int, r array<string>")
+    return rows.select("id", TB.data_row(F.col("r")).alias("data"), TB.header_row(F.col("r")).alias("header"), TB.line_item_row(F.col("r")).alias("item"))
+
+
+@query(r"""with w as (select doc_id, len(regexp_extract_all(coalesce(text, ''), '\S+')) as n, len(list_filter(regexp_extract_all(coalesce(text, ''), '\S+'), lambda x: regexp_matches(x, '[0-9]'))) as d, len(regexp_extract_all(coalesce(text, ''), '[.!?](\s|$)')) as e from documents)
+select doc_id, n >= 5 and ((d / greatest(n, 1) > 0.30 and e = 0) or (d / greatest(n, 1) > 0.22 and e < 3)) as residue from w""")
+def table_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that read like the rest of a flattened table."""
+    return read(spark, sf_dir, "documents").select("doc_id", C.table_residue(F.coalesce("text", F.lit(""))).alias("residue"))
+
+
+@query("select doc_id::varchar as table_id, n_chars as page_start from documents where n_chars >= 100 and coalesce(lang, '') <> 'en' order by n_chars, doc_id::varchar limit 50")
+def tables_to_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first tables to parse, in page order, behind a page and outside some items."""
+    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("table_id"), F.col("n_chars").alias("page_start"), F.col("lang").alias("item"))
+    return assets.to_parse(rows, min_page=100, without_items=["en"], n=50).select("table_id", "page_start")
+
+
+@query("""select d.doc_id::varchar as table_id, coalesce(case when d.lang = 'en' then 'success' end, case when l.quality = 1 then 'success' end) as status, coalesce(case when d.lang = 'en' then 'own' end, case when l.quality = 1 then 'old ' || l.toxic end) as summary
+from documents d left join labels l using (doc_id)""")
+def parse_carry_over(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Earlier successful parses fill in where a table has none."""
+    own = F.col("lang") == "en"
+    now = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("table_id"), F.when(own, "success").alias("status"), F.when(own, "own").alias("summary"))
+    old = read(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("table_id"), F.when(F.col("quality") == 1, "success").otherwise("error").alias("status"), F.concat(F.lit("old "), F.col("toxic").cast("string")).alias("summary"))
+    return assets.carried_over(now, old).select("table_id", "status", "summary")
+
+
+GATES = [(1, "abc", "2025", "ok", "FY2025"), (2, "abc, xyz", None, "needs_decomposition", None), (3, "ABC", "2024,FY2025", "ok", None), (4, None, " fy2024 ", "ok", "FY2024"), (5, " , ", "", "ok", None)]
+
+
+@query(fixtures.rows_sql("id, status, fiscal_year", [(g[0], g[3], g[4]) for g in GATES]))
+def scope_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One company at a time, one year or none."""
+    rows = literal(spark, [g[:3] for g in GATES], "id int, tickers string, years string")
+    status, year = scope.one_scope(scope.scope_list(F.col("tickers"), scope.ticker), scope.scope_list(F.col("years"), scope.fiscal_year))
+    return rows.select("id", F.coalesce(status, F.lit("ok")).alias("status"), year.alias("fiscal_year"))
+
+
+MARKED = "One. Two. Three. [[TABLE:a]] Four. Five. Six. [[TABLE:b]] Seven."
+
+
+@query(fixtures.rows_sql("id, near", [(1, "Two. Three. [[TABLE:a]] Four. Five. Five. Six. [[TABLE:b]] Seven."), (2, "Five. Six. [[TABLE:b]] Seven."), (3, MARKED), (4, "No marker.")]))
+def text_around_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = literal(spark, [(1, MARKED, None), (2, MARKED, ["b"]), (3, MARKED, ["z"]), (4, "No marker.", None)], "id int, content string, wanted array<string>")
+    return rows.select("id", bodies.around_udf("content", "wanted").alias("near"))
+
+
+@query(fixtures.rows_sql("kind, page, top, rows", [("table_header_band", 1, 700.0, "Year | Amount"), ("table_continuation", 2, 60.0, "2025 | 7 | 8")]))
+def header_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A header at the bottom of a page that no region holds, and the data row that goes on under it."""
+    lines = literal(spark, [("f", 1, 700.0, ["Year", "Amount"]), ("f", 1, 690.0, ["We sell things"]), ("f", 1, 100.0, ["Year", "Amount"]), ("f", 1, 770.0, ["Year", "Fair value"]), ("f", 2, 60.0, ["2025", "7", "8"]), ("f", 2, 90.0, ["2024", "5", "6"])], "file string, page int, top double, cells array<string>")
+    regions = literal(spark, [("f", 1, [0.0, 765.0, 500.0, 780.0]), ("f", 2, [0.0, 300.0, 500.0, 400.0])], "source_file string, page_start int, bbox array<double>")
+    bands = assets.header_bands(lines, regions)
+    shown = ["page", "top", F.array_join(F.transform("raw_rows", TB.row_text), "; ").alias("rows")]
+    return bands.select(F.col("asset_type").alias("kind"), *shown).union(assets.continuations(bands, lines, regions).select("asset_type", *shown))
+
+
+@query("""with n as (select user_id, event_type, event_id, value, lag(value) over (partition by user_id, event_type order by value, event_id) as before from events)
+select event_id, sum(case when abs(value - before) <= 4 then 0 else 1 end) over (partition by user_id, event_type order by value, event_id)::bigint as cluster from n""")
+def line_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fragments in lines: a new one where the place moves by more than four points."""
+    rows = read(spark, sf_dir, "events").select(F.col("user_id").alias("file"), F.col("event_type").alias("page"), F.col("value").alias("y0"), F.col("event_id").alias("x0"))
+    return TB.line_clusters(rows).select(F.col("x0").alias("event_id"), "cluster")
+
+
+@query(fixtures.rows_sql("table_id, text_anchor", [("table_001", "The following table shows sales"), ("table_002", None), ("table_003", "Assets are as follows here"), ("table_004", None), ("table_005", None)]))
+def table_text_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest line above a region that says something."""
+    lines = literal(spark, [("f.pdf", 1, 95.0, "(in millions)"), ("f.pdf", 1, 90.0, "short"), ("f.pdf", 1, 80.0, "The following table shows sales"), ("f.pdf", 1, 60.0, "A line that is farther away"), ("f.pdf", 1, 250.0, "Assets are as follows here"), ("f.pdf", 2, 400.0, "A line below the regions")], "file string, page int, y1 double, line string")
+    own = TB.text_anchors(fixtures.regions(ship(spark)), lines)
+    return own.select("table_id", F.when(F.col("table_id") != "table_002", F.col("text_anchor")).alias("text_anchor"))
+
+
+@query(fixtures.rows_sql("ref_id, table_refs", [("I1", "table_group_001"), ("I1::sub_001", "table_group_001"), ("I2", "table_group_002,table_004"), ("I2::sub_001", "table_group_002,table_004")]))
+def section_table_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Table ids of each section and subsection, without those that groups took in."""
+    d = fixtures.table_document(ship(spark))
+    own = TB.run_tables(d["regions"], d["lines"], d["refs"], d["heads"])[0]
+    return TB.unit_refs(own).select("ref_id", F.array_join("table_refs", ",").alias("table_refs"))
+
+
+@query("select doc_id::varchar as chunk_id, coalesce(source, '') || ' > ' || coalesce(lang, '') as header, substr(trim(regexp_replace(translate(coalesce(text, ''), chr(160), ' '), '\\s+', ' ', 'g')), 1, 260) as preview, len(regexp_extract_all(coalesce(text, ''), '\\S+'))::bigint as token_count from documents".replace("\\\\", "\\"))
+def chunk_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks as a list shows them."""
+    none = F.lit(None).cast("bigint").alias("token_count")
+    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.array(F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))).alias("header_path"), "text", none)
+    return assets.chunk_rows(rows)
+
+
+@query("""with s as (select conv_id, row_number() over (partition by conv_id order by turn) as n, role, length(coalesce(text, '')) as size from conversations), m as (select conv_id, max(n) as n from s group by 1)
+select conv_id as run_id, 0::bigint as pos, '{"type":"started"}' as line from m union all select conv_id, 2 * n - 1, '{"type":"step_start","step":' || n || ',"tool":"' || role || '"}' from s
+union all select conv_id, 2 * n, '{"type":"step","step":' || n || ',"tool":"' || role || '","size":' || size || '}' from s
+union all select conv_id, 2 * n + 1, case when conv_id % 5 = 0 then '{"type":"error","error":"stopped"}' else '{"type":"done","steps":' || n || '}' end from m""")
+def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs as lines of events: started, steps, done or error."""
+    rows = read(spark, sf_dir, "conversations")
+    steps = rows.select(F.col("conv_id").alias("run_id"), F.col("turn").alias("step"), F.col("role").alias("tool"), F.length(F.coalesce("text", F.lit(""))).alias("size"))
+    runs = rows.select(F.col("conv_id").alias("run_id")).distinct().withColumn("error", F.when(F.col("run_id") % 5 == 0, "stopped"))
+    return assets.event_lines(steps, runs).select("run_id", F.col("pos").cast("bigint").alias("pos"), "line")
+
+
+@query(fixtures.rows_sql("file_id, chunks, tables, index_ready, index_reason", [("a", 5, 2, True, None), ("b", 7, 0, False, "stale_source"), ("c", 0, 3, False, None)]))
+def file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with the state of their index, missing counts from their payloads."""
+    files = literal(spark, [("a", 5, None), ("b", None, 0), ("c", None, None)], "file_id string, chunks int, tables int")
+    audit = literal(spark, [("a", True, None), ("b", False, "stale_source")], "file_id string, valid boolean, reason string")
+    return assets.enriched(files, audit, literal(spark, [("a", 9, 2), ("b", 7, 9), ("c", None, 3)], "file_id string, chunks int, tables int"))
+
+
+@query(fixtures.rows_sql("id, body", [(1, "We sold more."), (2, "Costs 40 35 stay where no row of three cells is."), (3, "A (b) [c] d")]))
+def flattened_rows_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies without the flattened rows of a table; cells are taken as they are written."""
+    rows = literal(spark, [(1, "We sold Total 10  9 more.", [["Total", "10", "9"], ["x", None, None]]), (2, "Costs 40 35 stay where no row of three cells is.", [["Costs", "40"]]), (3, "A (b) [c] x.y (1) 2 d", [["x.y", "(1)", "2"]])], "id int, body string, rows array<array<string>>")
+    return rows.select("id", C.without_rows(F.col("body"), F.col("rows")).alias("body"))
+
+
+@query("select count(*) as n, count(distinct status) as kinds, max(question) as last from (select case when turn % 2 = 0 then 'a' else 'b' end as status, text as question from conversations union all select 'c', 'zzz')")
+def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two appends to a log of questions, read back."""
+    path = f"{own_dir(spark)}/audit-{uuid.uuid4().hex}"
+    readers.append_log(read(spark, sf_dir, "conversations").select(F.when(F.col("turn") % 2 == 0, "a").otherwise("b").alias("status"), F.col("text").alias("question")), path)
+    readers.append_log(literal(spark, [("c", "zzz")], "status string, question string"), path)
+    return spark.read.schema("status string, question string").json(path).agg(F.count("*").alias("n"), F.count_distinct("status").alias("kinds"), F.max("question").alias("last"))
+
+
+@query(fixtures.rows_sql("id, shown, plain", [(1, "a | \nb | c", "It rose."), (2, "| a |", "One.\nTwo."), (3, "raw", "")]))
+def table_and_answer_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables as text, parsed markdown first; answers without the agent's own lines."""
+    rows = literal(spark, [(1, " ", [["a", None], ["b", "c"]], "raw", "Thought: x\nIt rose.\n Action: y"), (2, "| a |", [["x"]], "raw", "One.\nObservation: z\nTwo."), (3, None, [], "raw", None)], "id int, parsed string, rows array<array<string>>, raw string, answer string")
+    return rows.select("id", T.markdown(F.col("parsed"), F.col("rows"), F.col("raw")).alias("shown"), T.without_meta_lines(F.col("answer")).alias("plain"))
+
+
 __all__ = ["ORACLE_SQL", "QUERIES", "chunker", "readers", "vectors"]
