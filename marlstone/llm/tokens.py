@@ -60,8 +60,10 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
-        names = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(names) or "(?!)", re.IGNORECASE)
+        names = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, names)) or "(?!)", re.IGNORECASE)
+        # what all names begin with before their first letter: a text without it needs no search
+        self.opening = re.match("[^a-zA-Z]*", os.path.commonprefix(names))[0]
         self.chunks = CHUNKS.get(os.path.basename(path))
         self.lower = os.path.basename(path) in LOWER
         self.cache: dict[str, bytes] = common.cache("tokens", {})
@@ -106,7 +108,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; null is the empty text."""
-        cut: list[list[str] | None] = [None if self.chunks is None or (text and (OTHER.search(text) or self.special.search(text))) else self.chunks(text or "") for text in texts]
+        cut: list[list[str] | None] = [None if self.chunks is None or (text and (OTHER.search(text) or (self.opening in text and self.special.search(text)))) else self.chunks(text or "") for text in texts]
         seen = set().union(*(c for c in cut if c))
         new = seen.difference(self.cache)
         if new:
