@@ -159,8 +159,13 @@ def section_of(assets: DataFrame, refs: DataFrame, page_height: float = 792.0) -
     3. the last section whose pages hold the asset, else the last that started before.
 
     A file has some twenty sections, so assets meet all of them and one
-    aggregate per asset chooses.
+    aggregate per asset chooses.  Several rows of an asset count as one, whose
+    ``y0`` is the first there is by ``pos``, or the least where assets have no
+    ``pos``: the order in which rows arrive decides nothing.
     """
+    if "pos" in assets.columns:
+        rows = Window.partitionBy("asset_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        assets = assets.withColumn("y0", F.first("y0", ignorenulls=True).over(rows))
     w = Window.partitionBy("file").orderBy("start_offset", "section_ref_id")
     end = F.greatest(F.coalesce(F.lead("start_page").over(w) - 1, F.lit(1 << 30)), F.col("start_page"))
     spans = refs.select("file", "section_ref_id", "start_page", (F.coalesce("end_page", end) if "end_page" in refs.columns else end).alias("end_page"), F.row_number().over(w).alias("pos"))
@@ -170,7 +175,7 @@ def section_of(assets: DataFrame, refs: DataFrame, page_height: float = 792.0) -
     earliest = lambda test: F.min(F.when(test, F.struct("pos", "section_ref_id")))["section_ref_id"]
     holds, here = (first <= page) & (page <= last), first == page
     found = both.groupBy("asset_id").agg(
-        F.first("y0").alias("y0"),
+        F.min("y0").alias("y0"),
         latest((first < page) & (last >= page)).alias("goes_on"),
         latest(last == page - 1).alias("ended"),
         F.count_if(here).alias("starts"),

@@ -558,8 +558,9 @@ def interval_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = lambda c: F.floor(F.date_diff(F.to_date(c), F.lit("1990-01-01").cast("date")) / 200).cast("int")
     orders = read(spark, sf_dir, "orders")
     refs = orders.select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("section_ref_id"), F.col("o_orderkey").alias("start_offset"), page("o_orderdate").alias("start_page"))
-    lines = read(spark, sf_dir, "lineitem").join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    assets_ = lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("asset_id"), F.col("o_custkey").alias("file"), page("l_shipdate").alias("page"), (F.col("l_quantity") * 16).alias("y0"))
+    placed = read(spark, sf_dir, "lineitem").select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias("pos"))  # any_value takes a line's first row in the table
+    lines = placed.join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    assets_ = lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("asset_id"), F.col("o_custkey").alias("file"), page("l_shipdate").alias("page"), (F.col("l_quantity") * 16).alias("y0"), "pos")
     return L.section_of(assets_, refs)
 
 

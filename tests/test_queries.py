@@ -51,3 +51,22 @@ def test_odd_texts(spark, tmp_path, name):
     want = c.sql(queries.ORACLE_SQL[name])
     got = queries.QUERIES[name](spark, str(tmp_path)).select(*want.columns)
     assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+def test_interval_section_takes_the_first_row_of_a_line(spark, tmp_path):
+    """Lines whose rows lie in several files at different heights: the first in the table has the height."""
+    day = "timestamp '2000-01-01' + make_interval(0, 0, 0, cast(200 * {} as int))"
+    spark.range(40).selectExpr("id as o_orderkey", "cast(0 as bigint) as o_custkey", day.format("id % 8") + " as o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = spark.range(0, 4000, 1, 8).selectExpr("(id * 7) % 40 as l_orderkey", "cast(id % 3 as int) as l_linenumber", day.format("(id % 8)") + " as l_shipdate", "cast((id * id) % 50 + if(id % 11 = 0, null, 0) as double) as l_quantity")
+    lines.write.option("parquet.block.size", 1024).parquet(f"{tmp_path}/lineitem.parquet")
+    c = duckdb.connect(config={"threads": 1})
+    for name in ("orders", "lineitem"):
+        c.sql(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    want = sorted(c.sql(queries.ORACLE_SQL["interval_section"]).fetchall())
+    for size in ("128m", "1k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = queries.QUERIES["interval_section"](spark, str(tmp_path)).select("asset_id", "section_ref_id")
+            assert sorted(map(tuple, got.collect())) == want
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
